@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii, tiff
+from . import decontam, huffman, language, packing, pii, tiff
+from .workspace import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "token-ids").path("files")
+    huffman.write_ids(_table(spark, sf_dir, "documents"), path)
+    return huffman.read_digest(spark, path)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +41,9 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op3_token_ids": op3_token_ids,
+    "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op9_tiff": op9_tiff,
