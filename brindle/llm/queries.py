@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, huffman, language, packing, pii, tiff
+from . import decontam, huffman, language, neardup, packing, pii, tiff
 from .workspace import Workspace
 
 
@@ -40,6 +40,10 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, threshold=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_token_ids": op3_token_ids,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op9_tiff": op9_tiff,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -66,4 +71,13 @@ its AS (SELECT doc_id, count(DISTINCT item_id) n_items, string_agg(DISTINCT CAST
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items,
        sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op10_near_duplicates": f"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'), lambda x: true) w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] END) g FROM t),
+e AS (SELECT doc_id, len(g) n, unnest(g) x FROM s),
+p AS (SELECT a.doc_id u, b.doc_id v FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+y AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r(d, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT y.v, r.c FROM r JOIN y ON y.u = r.d)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) n_shingles, min(c) component_id, s.doc_id = min(c) kept FROM s JOIN r ON r.d = s.doc_id GROUP BY s.doc_id, len(g)""",
 }
