@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, huffman, language, neardup, packing, pii, tiff
+from . import decontam, huffman, language, neardup, packing, pii, repeats, tiff
 from .workspace import Workspace
 
 
@@ -36,6 +36,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
+    "op8_repeats": op8_repeats,
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
 }
