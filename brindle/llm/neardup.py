@@ -10,12 +10,13 @@ linked when ``100 * |A n B| >= threshold * |A u B|`` on the full sets.
 2. A SuperMinHash signature per class is cut into ``bands`` bands of ``rows``
    components; classes that share a band are candidates.  With 32 bands of 5 a
    pair at similarity 0.8 is missed with probability 3e-6.
-3. In each bucket the class that meets most others is the hub.  Members are
-   compared with their hub, confirmed links merge components, and buckets whose
-   members are in one component are done.  Others go on without that hub; after
-   ``HUB_ROUNDS`` rounds all pairs still between components are compared.  So
-   every link between candidates is found or lies within a component, and a
-   group of copies costs a number of pairs in proportion to its size.
+3. Candidates of a band are compared with its hub first (``hubs``).  Classes
+   that are still apart after ``HUB_ROUNDS`` rounds, such as texts that have a
+   long passage in common and little else, are compared by prefixes: with
+   elements ordered from rare to common, sets of similarity t share one of the
+   first ``n - ceil(t n) + 1`` elements of either, at places that leave room for
+   the overlap.  This loses no link and leaves out pairs that share only what
+   very many have.
 4. Components come from repeated star contraction (``components``).
 
 Nulls: a null text has no words; a row with a null id keeps its counts, is
@@ -32,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from . import hubs
 from .superminhash import band_keys, signatures
 from .textops import ASCII_LOWER, U64, grams, mix, owners, pieces, powers, run_hashes, runs, utf8
 from .workspace import Workspace
 
 SHINGLE, THRESHOLD = 5, 80
 BANDS, ROWS = 32, 5
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Up to so many ids of candidates are sent to all tasks; beyond, texts are joined with them.
 BROADCAST_IDS = 300_000
 
@@ -113,52 +114,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+SLOTS, BLOCK = 1 << 18, 1 << 12
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many elements fall into each of SLOTS hash slots: a table of fixed size that orders elements from rare to common."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), U64) & U64(SLOTS - 1)).astype(np.int64), 1)
+        blocks = np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([total.reshape(-1, BLOCK)[i].tobytes() for i in blocks], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[block] = total.get(block, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros((SLOTS // BLOCK, BLOCK), np.int64)
+    schema = "block long, counts binary"
+    for block, counts in sets.select("set").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
+        out[block] = np.frombuffer(counts, np.int64)
+    return out.ravel()
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int, space: Workspace) -> DataFrame:
+    """Pairs (a, b) of items of different components that share a prefix element and may be similar enough."""
+    items = members.select("item", "component").distinct()
+    own = space.write(sets.join(items, F.col("rep") == F.col("item")).select("item", "component", "set"), "rest")
+    sent = members.sparkSession.sparkContext.broadcast(_slot_counts(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i in range(batch.num_rows):
+                x = np.frombuffer(batch.column(2)[i].as_buffer(), U64)
+                n, take = len(x), len(x) - (threshold * len(x) + 99) // 100 + 1
+                x = x[np.lexsort((x, counts[(x & U64(SLOTS - 1)).astype(np.int64)]))][:take]
+                for into, value in zip(out, (x.view(np.int64), np.full(take, batch.column(0)[i].as_py()), np.full(take, batch.column(1)[i].as_py()), np.full(take, n), np.arange(take))):
+                    into.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["key", "item", "component", "n", "place"])
+
+    rows = space.write(hubs.crowded(own.mapInArrow(run, "key long, item long, component long, n long, place long")), "prefixes", batch_rows=256)
+    x, y = rows.alias("x"), rows.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    room = 100 * most >= threshold * (F.col("x.n") + F.col("y.n") - most)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")) & (F.col("x.component") != F.col("y.component")) & room).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept."""
-    spark, space = docs.sparkSession, Workspace(docs.sparkSession, "neardup")
+    space = Workspace(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = space.write(_signed(docs, shingle, bands, rows), "signed")
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = space.write(classes, "classes")
-    members = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    crowded = members.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    met = space.write(members.join(crowded, "key"), "met")
-    degree = met.groupBy("rep").agg(F.sum("crowd").alias("degree"))
-    active = space.write(met.join(degree, "rep").select("key", "rep", "n", "degree", F.col("rep").alias("component")), "active-0")
-    space.drop("met")
-    stars = spark.createDataFrame([], "u long, v long")
-    if active.count():
-        few = space.write(active.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-        few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
-        sets = space.write(_sets(docs.join(few, "doc_id", "left_semi"), shingle), "sets")
-        tested, links, k = None, None, 0
-        while True:
-            similar_size = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
-            top = F.max(F.struct("degree", (-F.col("rep")).alias("back"), "n", "component"))
-            hubs = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), top.alias("hub")).where("low <> high").select("key", "hub")
-            open_members = active.join(hubs, "key")
-            if k < hub_rounds:
-                hub = -F.col("hub.back")
-                pairs = open_members.where((F.col("component") != F.col("hub.component")) & similar_size(F.col("n"), F.col("hub.n"))).select(F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b"))
-            else:
-                x, y = open_members.alias("x"), open_members.alias("y")
-                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & similar_size(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-            pairs = pairs.where("a <> b").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = space.write(pairs, f"pairs-{k}")
-            links = space.write(_confirmed(pairs, sets, threshold), f"links-{k}")
-            if links.limit(1).count():
-                stars = connected(space, stars.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links), f"stars-{k}")
-            if k >= hub_rounds:
-                break
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            rest = open_members.where("rep <> -hub.back").select("key", "rep", "n", "degree").join(stars, F.col("rep") == F.col("u"), "left")
-            rest = rest.select("key", "rep", "n", "degree", F.coalesce("v", "rep").alias("component"))
-            k += 1
-            active = space.write(rest, f"active-{k}")
-            if not active.limit(1).count():
-                break
+    met = space.write(hubs.crowded(classes.select(F.explode("keys").alias("key"), F.col("rep").alias("item"), F.struct(F.col("n_shingles").alias("n")).alias("info"))), "met")
+    few = space.write(met.select(F.col("item").alias("doc_id")).distinct(), "candidates")
+    few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    sets = space.write(_sets(docs.join(few, "doc_id", "left_semi"), shingle), "sets")
+    similar_size = lambda x, y: 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
+    confirm = lambda pairs, name: space.write(_confirmed(pairs, sets, threshold), name, batch_rows=128)
+    stars = hubs.components(space, met, similar_size, confirm, hub_rounds, lambda members: _prefix_pairs(members, sets, threshold, space))
     found = classes.join(stars, classes["rep"] == stars["u"], "left").select("h1", "h2", "n_shingles", F.coalesce("v", "rep").alias("found"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("found"))).otherwise(F.col("doc_id"))

@@ -13,6 +13,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,18 @@ def _clean() -> None:
                 _remove(spark, path)
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, int]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 class Workspace:
     """The tables of one run of one operator."""
 
@@ -53,9 +66,10 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Write df as a table and return what is read back from it."""
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, compression: str = "zstd", batch_rows: int = 1024) -> DataFrame:
+        """Write df as a table and return what is read back from it; its Arrow batches are kept small."""
+        with _settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": batch_rows, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}):
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
