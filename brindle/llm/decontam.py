@@ -141,6 +141,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     return _by_broadcast(docs, items) if size <= broadcast_bytes else _by_join(docs, items)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs whose text shares no window with the benchmark; all their columns stay."""
+    known = contamination(docs, benchmark, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    return docs.join(known, same, "left_anti")
+
+
 def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.collect()  # at most broadcast_bytes
     sent = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))

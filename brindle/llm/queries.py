@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, huffman, language, neardup, packing, pii, repeats, tiff
+from . import decontam, huffman, language, licenses, lines, neardup, packing, pii, repeats, tiff
 from .workspace import Workspace
 
 
@@ -18,12 +18,20 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "token-ids").path("files")
     huffman.write_ids(_table(spark, sf_dir, "documents"), path)
     return huffman.read_digest(spark, path)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -48,20 +56,41 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, threshold=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_lines": op2_lines,
     "op3_token_ids": op3_token_ids,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_repeats": op8_repeats,
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = [(name, licenses.words_of(text)) for name, text in licenses.TEMPLATES.items()]
+_SIZED = [(name, w, min(licenses.SHINGLE, len(w))) for name, w in _TEMPLATES]
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{' '.join(w)}', {k}, {(len(licenses.shingles_of(w, k)) - 1).bit_length()})" for name, w, k in _SIZED)
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": f"""
+WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) v(license, body, size, power)),
+tr AS (SELECT license, size, power, list_distinct([array_to_string(b[i:i + size - 1], ' ') for i in range(1, len(b) - size + 2)]) runs FROM (SELECT *, string_split(body, ' ') b FROM t)),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') w FROM documents),
+ds AS (SELECT doc_id, size, [array_to_string(w[i:i + size - 1], ' ') for i in range(1, len(w) - size + 2)] r FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) >= size),
+wn AS (SELECT doc_id, size, power, b, r[b + 1:b + (2 << power)] win FROM (SELECT doc_id, ds.size, power, r, unnest(range(0, len(r), 1 << power)) b FROM ds JOIN (SELECT DISTINCT size, power FROM t) USING (size))),
+m AS (SELECT doc_id, license, b, len(list_intersect(win, runs)) x, len(runs) n FROM wn JOIN tr USING (size, power) WHERE list_has_any(win, runs))
+SELECT doc_id, license, max(x / n) containment, count(DISTINCT b) n_windows, min(b) first_word FROM m WHERE 100 * x >= 80 * n GROUP BY doc_id, license""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM benchmark WHERE item_id IS NOT NULL),
