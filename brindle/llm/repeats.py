@@ -8,14 +8,15 @@ place: the least hash among their K-grams.  So the corpus is cut by anchors.
 2. For the others, each run of window starts that share an anchor gives a
    context: its bytes from the first window to the end of the last.  Equal
    contexts of a chunk are sent once, with all their places, to the bucket of
-   the anchor.  An anchor that more than ``hot`` chunks have sends its windows
-   one by one instead, each to the bucket of its own hash, so that no bucket
-   gathers all surroundings of a very common passage.
-3. A bucket builds one enhanced suffix array (suffixes, common prefix lengths,
-   left neighbours) of the windows that occur more than once in it, scans it
-   with a stack into the tree of common-prefix intervals, and drops intervals
-   whose occurrences all have the same byte to the left: they are inside longer
-   ones.  What is left are maximal repeats with all their occurrences.
+   the anchor.  An anchor with more than ``hot`` places sends its windows one by
+   one instead, each to the bucket of its own hash, so that no bucket gathers
+   all surroundings of a very common passage.
+3. A bucket takes its contexts by ranges of anchors, about ``SLICE_BYTES`` at a
+   time, builds an enhanced suffix array (suffixes, common prefix lengths, left
+   neighbours) of the windows that occur more than once, scans it with a stack
+   into the tree of common-prefix intervals, and drops intervals whose
+   occurrences all have the same byte to the left: they are inside longer ones.
+   What is left are maximal repeats with all their occurrences.
 4. Places go back to their chunks.
 
 A repeat longer than a context comes out in overlapping pieces, each with its
@@ -39,15 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import U64, mix, owners, pieces, run_hashes, runs, utf8
+from .textops import U64, mix, owners, pieces, run_hashes, runs, trim, utf8
 from .workspace import Workspace
 
 LENGTH = 50
 K = 16
-#: Chunks that have an anchor, beyond which its windows are sent one by one.
-HOT_CHUNKS = 4096
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 48 << 20
+#: Places of an anchor, beyond which its windows are sent one by one.
+HOT_PLACES = 20_000
+#: Bytes of contexts for one suffix array.
+SLICE_BYTES = 1 << 20
+#: Bytes of text in a chunk, and for each bucket.
+CHUNK_TEXT, BUCKET_BYTES = 2 << 20, 24 << 20
 MIN_BUCKETS = 24
 
 _HIGH = U64(0xFFFFFFFF00000000)
@@ -113,7 +116,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K) -
     place = (least[start] & ~_HIGH).astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1))))
     first, last = start[cut], start[np.append(cut[1:], len(start)) - 1]
-    return np.searchsorted(at, first, side="right") - 1, first, last, hashes[place[cut]]
+    # hashes of minima are small ones; mixed again they are even
+    return np.searchsorted(at, first, side="right") - 1, first, last, mix(hashes[place[cut]] ^ U64(0xA0761D6478BD642F))
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -127,7 +131,7 @@ CHUNK_SCHEMA = "chunk long, doc_ids array<bigint>, sizes array<bigint>, body bin
 def _chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in (p for b in batches for p in pieces(b)):
+        for batch in (p for b in batches for p in pieces(b, limit=CHUNK_TEXT)):
             raw, at = utf8(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(at)], pa.list_(pa.int64())), pa.array([_packed(raw)], pa.binary())], names=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
             number += 1
@@ -152,7 +156,7 @@ PART_SCHEMA = "bucket long, chunk long, part binary"
 
 
 def _named(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
-    """The distinct anchors of each chunk by bucket, and whether two of its documents have them."""
+    """The distinct anchors of each chunk by bucket; with each, twice the number of its places there (up to 127) and whether two documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,29 +166,33 @@ def _named(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
                 known, first, order = _distinct(hashes)
                 last = np.append(first[1:], len(order)) - 1
                 several = doc[order[first]] != doc[order[last]] if len(known) else np.empty(0, bool)
+                many = (np.minimum(last - first + 1, 127) * 2 + several).astype(np.uint8)
                 cuts = np.searchsorted(_bucket(known, buckets), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cuts))
-                parts = [_packed(known[a:b].byteswap().view(np.uint8).reshape(-1, 8)[:, :6], np.packbits(several[a:b])) for a, b in zip(cuts[some], cuts[some + 1])]
+                parts = [_packed(known[a:b].byteswap().view(np.uint8).reshape(-1, 8)[:, :6], many[a:b]) for a, b in zip(cuts[some], cuts[some + 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(some), pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "chunk", "part"])
 
     return chunks.mapInArrow(run, PART_SCHEMA)
 
 
 def _flagged(hot: int):
-    """For each part, which anchors are in several documents (1) or in very many chunks (2)."""
+    """For each part, which anchors are in several documents (1) or have very many places (2)."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpacked(x) for x in table.column("part").to_pylist()]
         sizes = [len(p[0]) for p in parts]
         wide = np.zeros((sum(sizes), 8), np.uint8)
         wide[:, :6] = np.concatenate([p[0] for p in parts])
-        several = np.concatenate([np.unpackbits(p[1], count=n) for p, n in zip(parts, sizes)])
+        many = np.concatenate([p[1] for p in parts])
         _, first, order = _distinct(wide.view(">u8").ravel().astype(U64))
         count = np.diff(np.append(first, len(order)))
-        flag = np.where(count > hot, 2, ((count > 1) | (np.maximum.reduceat(several[order], first) > 0)).astype(np.int64)).astype(np.uint8)
+        several = (count > 1) | (np.maximum.reduceat(many[order] & 1, first) > 0)
+        places = np.add.reduceat((many[order] >> 1).astype(np.int64), first)
+        flag = np.where(several & (places > hot), 2, several).astype(np.uint8)
         out = np.empty(len(order), np.uint8)
         out[order] = np.repeat(flag, count)
         cuts = np.cumsum([0, *sizes])
+        trim()
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "part": pa.array([_packed(out[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
     return run
@@ -224,7 +232,7 @@ def _contexts(length: int, buckets: int):
             body = raw[np.repeat(start[head[mine]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
             n = count[mine]
             places = order[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            parts.append(_packed(size.astype(np.uint32), body, n.astype(np.uint32), ids[doc_of[places]], doc_of[places].astype(np.uint32), (start[places] - at[doc_of[places]]).astype(np.int64)))
+            parts.append(_packed((key[head[mine]] & U64(0xFFFF)).astype(np.uint16), size.astype(np.uint32), body, n.astype(np.uint32), ids[doc_of[places]], doc_of[places].astype(np.uint32), (start[places] - at[doc_of[places]]).astype(np.int64)))
         return pa.table({"bucket": pa.array(out, pa.int64()), "chunk": pa.array([left.column("chunk")[0].as_py()] * len(out), pa.int64()), "part": pa.array(parts, pa.binary())})
 
     return run
@@ -305,18 +313,39 @@ def _interval_groups(suffixes: SuffixArray, length: int) -> Iterator[tuple[int,
             yield depth, np.arange(a + first, a + last + 1)
 
 
+def _gathered(first: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Indices of the items of the groups first[i]:first[i + 1], for the groups in take."""
+    n = first[take + 1] - first[take]
+    return np.repeat(first[take] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Bucket:
-    """All contexts of one bucket."""
+    """Contexts with all their places, for a range of anchors."""
+
+    def __init__(self, size, body, count, row, ids, doc, place, length: int):
+        self.size, self.count, self.row, self.ids, self.doc, self.place, self.length = size, count, row, ids, doc, place, length
+        self.first = np.concatenate(([0], np.cumsum(count.astype(np.int64))))
+        self.least = np.minimum.reduceat(ids, self.first[:-1])
+        self.suffixes = SuffixArray(body, size, length)
 
-    def __init__(self, table: pa.Table, length: int):
-        self.chunks = table.column("chunk").to_pylist()
+    @staticmethod
+    def slices(table: pa.Table, length: int, limit: int) -> Iterator[Bucket]:
+        """The contexts of a table in slices that keep equal anchors together; rows of the table are chunks."""
         parts = [_unpacked(x) for x in table.column("part").to_pylist()]
-        self.row = np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts])
-        self.size, body, self.count, self.ids, self.doc, self.place = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        self.first = np.concatenate(([0], np.cumsum(self.count.astype(np.int64))))
-        self.least = np.minimum.reduceat(self.ids, self.first[:-1])
-        self.suffixes = SuffixArray(body, self.size, length)
-        self.length = length
+        row = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
+        anchor, size, body, count, ids, doc, place = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        del parts
+        order = np.argsort(anchor, kind="stable")
+        bytes_at, places_at = (np.concatenate(([0], np.cumsum(x.astype(np.int64)))) for x in (size, count))
+        total, anchor = np.cumsum(size[order].astype(np.int64)), anchor[order]
+        begin = 0
+        while begin < len(order):
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, side="right"))
+            end = int(np.searchsorted(anchor, anchor[max(begin, min(end, len(order)) - 1)], side="right"))
+            take = order[begin:end]
+            which = _gathered(places_at, take)
+            yield Bucket(size[take], body[_gathered(bytes_at, take)], count[take], row[which], ids[which], doc[which], place[which], length)
+            begin = end
 
     def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(occurrence, start, end) inside its context, of what a document with a smaller id has too."""
@@ -346,19 +375,21 @@ class Bucket:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _ranges(length: int):
+def _ranges(length: int, slice_bytes: int):
     """Places to remove, by chunk: (document in the chunk, start, end)."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = Bucket(table, length)
-        which, start, end = bucket.removed()
-        row, doc = bucket.row[which], bucket.doc[which]
-        start, end = start + bucket.place[which], end + bucket.place[which]
+        chunks, found = table.column("chunk").to_pylist(), []
+        for bucket in Bucket.slices(table, length, slice_bytes):
+            which, start, end = bucket.removed()
+            found.append((bucket.row[which], bucket.doc[which], start + bucket.place[which], end + bucket.place[which]))
+        row, doc, start, end = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((start, doc, row))
-        cuts = np.searchsorted(row[order], np.arange(len(bucket.chunks) + 1))
+        trim()
+        cuts = np.searchsorted(row[order], np.arange(len(chunks) + 1))
         some = np.flatnonzero(np.diff(cuts))
         parts = [_packed(*(x[order[cuts[r] : cuts[r + 1]]] for x in (doc, start, end))) for r in some.tolist()]
-        return pa.table({"chunk": pa.array([bucket.chunks[r] for r in some.tolist()], pa.int64()), "part": pa.array(parts, pa.binary())})
+        return pa.table({"chunk": pa.array([chunks[r] for r in some.tolist()], pa.int64()), "part": pa.array(parts, pa.binary())})
 
     return run
 
@@ -366,21 +397,22 @@ def _ranges(length: int):
 GROUP_SCHEMA = "group_id long, length long, doc_id long, start long"
 
 
-def _groups(length: int):
+def _groups(length: int, slice_bytes: int):
     """Maximal repeats of a bucket: rows of one group_id are all occurrences of one string, in bytes from the start of the text."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = Bucket(table, length)
-        s, rows, n = bucket.suffixes, [], int(table.column("bucket")[0].as_py()) << 36
-        occurrences = lambda string, offset: [(int(bucket.ids[o]), int(bucket.place[o]) + offset) for o in range(bucket.first[string], bucket.first[string + 1])]
-        for depth, members in _interval_groups(s, length):
-            n += 1
-            rows += [(n, depth, *x) for m in members.tolist() for x in occurrences(int(s.string[m]), int(s.offset[m]))]
-        shared = set(s.string[s.offset == 0].tolist())
-        for string in np.flatnonzero(bucket.count > 1).tolist():
-            if string not in shared:  # equal contexts of one chunk alone
+        rows, n = [], int(table.column("bucket")[0].as_py()) << 36
+        for bucket in Bucket.slices(table, length, slice_bytes):
+            s = bucket.suffixes
+            occurrences = lambda string, offset: [(int(bucket.ids[o]), int(bucket.place[o]) + offset) for o in range(bucket.first[string], bucket.first[string + 1])]  # noqa: B023, E731
+            for depth, members in _interval_groups(s, length):
                 n += 1
-                rows += [(n, int(bucket.size[string]), *x) for x in occurrences(string, 0)]
+                rows += [(n, depth, *x) for m in members.tolist() for x in occurrences(int(s.string[m]), int(s.offset[m]))]
+            shared = set(s.string[s.offset == 0].tolist())
+            for string in np.flatnonzero(bucket.count > 1).tolist():
+                if string not in shared:  # equal contexts of one chunk alone
+                    n += 1
+                    rows += [(n, int(bucket.size[string]), *x) for x in occurrences(string, 0)]
         columns = list(zip(*rows)) if rows else [()] * 4
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("group_id", "length", "doc_id", "start"), columns)})
 
@@ -407,14 +439,14 @@ def _shared_contexts(space: Workspace, docs: DataFrame, length: int, hot: int, b
     return chunks, contexts
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CHUNKS, buckets: int | None = None) -> DataFrame:
+def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT_PLACES, buckets: int | None = None) -> DataFrame:
     """group_id, length, doc_id, start (bytes): maximal repeats of at least ``length`` bytes with all their occurrences.
 
     A repeat is reported in pieces of at most a context, and an interval inside
     a longer repeat may be reported along with it where a context begins.
     """
     _, contexts = _shared_contexts(Workspace(docs.sparkSession, "repeats"), _plain(docs), length, hot, buckets)
-    return contexts.groupBy("bucket").applyInArrow(_groups(length), GROUP_SCHEMA)
+    return contexts.groupBy("bucket").applyInArrow(_groups(length, SLICE_BYTES), GROUP_SCHEMA)
 
 
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -441,14 +473,14 @@ def _kept(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CHUNKS, buckets: int | None = None, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT_PLACES, buckets: int | None = None, with_text: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document: what is left after removing each byte of a string of ``length`` bytes that a document with a smaller id has too.
 
     ``with_text`` adds the bytes that are kept, as binary: a cut may fall inside a character.
     """
     space, docs = Workspace(docs.sparkSession, "repeats"), _plain(docs)
     chunks, contexts = _shared_contexts(space, docs, length, hot, buckets)
-    ranges = space.write(contexts.groupBy("bucket").applyInArrow(_ranges(length), "chunk long, part binary"), "ranges", "none")
+    ranges = space.write(contexts.groupBy("bucket").applyInArrow(_ranges(length, slice_bytes), "chunk long, part binary"), "ranges", "none")
     space.drop("flags")
     out = chunks.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(_kept(with_text), RESULT_SCHEMA + ", kept binary" * with_text)
     zero, body = F.lit(0).cast("long"), F.coalesce("text", F.lit("")).cast("binary")

@@ -8,6 +8,7 @@ the validity mask themselves.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one vector pass works on (a longer document goes alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _MIX1, _MIX2, _ODD = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, dtype=U64)
@@ -54,6 +55,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
+def trim() -> None:
+    """Give free memory back to the system: a Python worker lives on after its task, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most ``limit`` bytes of text, or one row."""
     if not batch.num_rows:
@@ -64,6 +78,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, side="right")) - 1)
         yield batch.slice(begin, end - begin)
         begin = end
+    trim()
 
 
 def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

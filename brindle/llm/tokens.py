@@ -23,7 +23,7 @@ from .textops import ASCII_LOWER, utf8
 #: The tokenizer file: a name known to the package of public tokenizers, or a path.
 TOKENIZER = "word_bpe_49k.json"
 CACHE_IDS = 4_000_000
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def tokenizer_path(name: str) -> str:
