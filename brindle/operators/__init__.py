@@ -1 +1 @@
-
+"""Operations on whole tables: DataFrames in, DataFrames out."""

@@ -1 +1,30 @@
+"""Keyed state over streams: counters and stock that change event by event."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def vote_stream(events: DataFrame, candidate: str, increment: str) -> DataFrame:
+    """The counter of each candidate, for output mode update or complete."""
+    return events.groupBy(candidate).agg(F.sum(increment).alias("votes"))
+
+
+def stock_stream(sales: DataFrame, title: str, initial: int) -> DataFrame:
+    """Stock of each title, from an initial number, after every micro-batch of sales: (title, in_stock, sold, rejected), output mode update."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stock, sold, rejected = state.get if state.exists else (initial, 0, 0)
+        asked = sum(len(p) for p in parts)
+        now = min(stock, asked)
+        stock, sold, rejected = stock - now, sold + now, rejected + asked - now
+        state.update((stock, sold, rejected))
+        yield pd.DataFrame({"title": [key[0]], "in_stock": [stock], "sold": [sold], "rejected": [rejected]})
+
+    schema = "in_stock long, sold long, rejected long"
+    return sales.groupBy(F.col(title).alias("title")).applyInPandasWithState(step, f"title string, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
