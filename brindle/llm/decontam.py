@@ -143,8 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs whose text shares no window with the benchmark; all their columns stay."""
-    known = contamination(docs, benchmark, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    known = contamination(docs, benchmark, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("__hit_id")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__hit_id"))
     return docs.join(known, same, "left_anti")
 
 

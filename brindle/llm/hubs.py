@@ -15,20 +15,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
 from .workspace import Workspace
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """The rows of (key, item, info) whose key another item has too; one sort by key, and no group is held in memory."""
-    from pyspark.sql import Window
+def crowded(members: DataFrame, similar: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The rows of (key, item, info) whose key another item has too, without pairs alone in a key that aren't ``similar``.
 
+    One sort by key; rows look at two neighbours on either side, so no group is held in memory.
+    """
     by = Window.partitionBy("key").orderBy("item")
-    beside = F.coalesce(F.lag("item").over(by) != F.col("item"), F.lit(False)) | F.coalesce(F.lead("item").over(by) != F.col("item"), F.lit(False))
-    return members.withColumn("beside", beside).where("beside").drop("beside")
+    near = {f"__{f.__name__}_{n}": f("item", n).over(by) for f in (F.lag, F.lead) for n in (1, 2)}
+    before, after = F.coalesce(F.col("__lag_1") != F.col("item"), F.lit(False)), F.coalesce(F.col("__lead_1") != F.col("item"), F.lit(False))
+    keep = before | after
+    if similar is not None:
+        near |= {"__lag_info": F.lag("info").over(by), "__lead_info": F.lead("info").over(by)}
+        none = lambda *names: F.coalesce(*[F.col(f"__{n}") for n in names]).isNull()
+        alone = (none("lag_1", "lead_2") & after) | (none("lead_1", "lag_2") & before)
+        keep &= ~alone | similar(F.col("info"), F.coalesce("__lag_info", "__lead_info"))
+    return members.select("*", *[c.alias(name) for name, c in near.items()]).where(keep).select(*members.columns)
 
 
 def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Column], Column], confirm: Callable[[DataFrame, str], DataFrame], rounds: int, remaining: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -45,7 +53,7 @@ def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Colu
     stars, tested, k = spark.createDataFrame([], "u long, v long"), None, 0
     while active.limit(1).count():
         top = F.max(F.struct("degree", (-F.col("item")).alias("back"), "component", "info"))
-        hubs = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), top.alias("hub")).where("low <> high").select("key", "hub")
+        hubs = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), top.alias("hub")).where("low <> high").select("key", "size", "hub")
         members, hub = active.join(hubs, "key"), -F.col("hub.back")
         if k < rounds:
             pairs = members.where((F.col("component") != F.col("hub.component")) & similar(F.col("info"), F.col("hub.info"))).select(F.least("item", hub).alias("a"), F.greatest("item", hub).alias("b"))
@@ -64,7 +72,7 @@ def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Colu
         if k >= rounds:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        rest = members.where(F.col("item") != hub).select("key", "item", "info", "degree").join(stars, F.col("item") == F.col("u"), "left")
+        rest = members.where((F.col("item") != hub) & (F.col("size") > 2)).select("key", "item", "info", "degree").join(stars, F.col("item") == F.col("u"), "left")
         k += 1
         active = space.write(rest.select("key", "item", "info", "degree", F.coalesce("v", "item").alias("component")), f"active-{k}")
     return stars

@@ -3,7 +3,7 @@
 A line is what line feeds separate; its normal form is its words (digits,
 letters with A-Z lowered, non-ASCII characters) with single spaces between.
 Lines without a word are never touched.  Two normal forms are linked when their
-64-bit SimHashes over words differ in at most 3 bits and their edit similarity
+64-bit SimHashes over distinct words differ in at most 3 bits and their edit similarity
 ``1 - distance / longer length`` is at least ``similarity``.  Of each group of
 connected lines the first occurrence stays, by (doc_id, place in the text); all
 others are removed, in every document.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hubs
-from .textops import ASCII_LOWER, U64, mix, pieces, powers, run_hashes, runs, utf8
+from .textops import ASCII_LOWER, U64, mix, pieces, powers, run_hashes, runs, trim, utf8
 from .workspace import Workspace
 
 SIMILARITY = 80
@@ -37,7 +37,7 @@ BITS, FLIPS = 64, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 HUB_ROUNDS = 3
 #: Up to so many ids of documents are sent to all tasks; beyond, texts are joined with them.
-BROADCAST_IDS = 300_000
+BROADCAST_IDS = 100_000
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
@@ -57,17 +57,27 @@ def line_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def simhashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The SimHash of each run first[i]:first[i + 1] of hashes; empty runs give 0."""
+    """The SimHash of the distinct hashes (40 bits of each) of every run first[i]:first[i + 1]; empty runs give 0.
+
+    Each word counts once: otherwise a few very common words would decide the
+    bits of every long line of a language.
+    """
     out = np.zeros(len(first) - 1, U64)
-    some = np.flatnonzero(np.diff(first))
-    if not len(some):
+    if not len(hashes):
         return out
-    size = np.diff(first)[some]
+    if len(out) >= 1 << 24:  # more lines than fit beside 40 bits
+        half = len(out) // 2
+        return np.concatenate((simhashes(hashes[: first[half]], first[: half + 1]), simhashes(hashes[first[half] :], first[half:] - first[half])))
+    key = np.sort((np.repeat(np.arange(len(out), dtype=U64), np.diff(first)) << U64(40)) | (hashes >> U64(24)))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    line = (key >> U64(40)).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    size = np.diff(np.append(begin, len(line)))
     parts = -(-size // 255)  # sums of at most 255 bits fit in a byte
-    begin = np.repeat(first[some], parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(np.add.reduceat(bits, begin, axis=0, dtype=np.uint8).astype(np.int64), np.cumsum(parts) - parts, axis=0)
-    out[some] = np.packbits(2 * sums > size[:, None], axis=1).view(">u8").ravel()
+    cuts = np.repeat(begin, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
+    bits = np.unpackbits(mix(key & U64((1 << 40) - 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.add.reduceat(np.add.reduceat(bits, cuts, axis=0, dtype=np.uint8).astype(np.int64), np.cumsum(parts) - parts, axis=0)
+    out[line[begin]] = np.packbits(2 * sums > size[:, None], axis=1).view(">u8").ravel()
     return out
 
 
@@ -109,46 +119,50 @@ def normal_form(line: str) -> str:
     return b" ".join(data[a:b] for a, b in zip(begin.tolist(), end.tolist())).decode()
 
 
-def _common(a: str, i: int, b: str, j: int) -> int:
-    """Length of the common prefix of a[i:] and b[j:]."""
-    n, step, limit = 0, 16, min(len(a) - i, len(b) - j)
-    while n < limit:
-        k = min(step, limit - n)
-        if a[i + n : i + n + k] == b[j + n : j + n + k]:
-            n, step = n + k, step * 4
-        elif k == 1:
-            break
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    if a[:1] != b[:1]:
+        return 0
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
         else:
-            step = max(1, k // 4)
-            if step == 1:
-                while n < limit and a[i + n] == b[j + n]:
-                    n += 1
-                break
-    return n
+            high = middle - 1
+    return low
 
 
 def edit_distance_within(a: str, b: str, limit: int) -> int | None:
-    """The Levenshtein distance if it is at most limit; furthest-reaching points by diagonal, so the work follows the distance."""
-    if abs(len(a) - len(b)) > limit:
+    """The Levenshtein distance if it is at most limit: one column of the table at a time, as the bits of two integers."""
+    n = _common(a, b)
+    a, b = a[n:][::-1], b[n:][::-1]
+    n = _common(a, b)
+    a, b = sorted((a[n:], b[n:]), key=len)
+    if len(b) - len(a) > limit:
         return None
-    goal, reach = len(b) - len(a), {0: _common(a, 0, b, 0)}
-    if goal == 0 and reach[0] == len(a):
-        return 0
-    for cost in range(1, limit + 1):
-        now = {}
-        for d in range(max(-cost, -len(a)), min(cost, len(b)) + 1):  # d = place in b - place in a
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            if i < 0:
-                continue
-            i = min(i, len(a), len(b) - d)
-            if i + d < 0:
-                continue
-            i += _common(a, i, b, i + d)
-            now[d] = i
-            if d == goal and i == len(a):
-                return cost
-        reach = now
-    return None
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, cost, left = every, 0, len(a), len(b)
+    for c in b:
+        same = places.get(c, 0)
+        down = same | less
+        across = ((same & more) + more ^ more) | same
+        up, low = less | (every & ~(across | more)), more & across
+        left -= 1
+        if up & last:
+            cost += 1
+        elif low & last:
+            cost -= 1
+        if cost - left > limit:
+            return None
+        up, low = up << 1 | 1, low << 1
+        more, less = (low | ~(down | up)) & every, up & down & every
+    return cost if cost <= limit else None
 
 
 def similar_lines(a: str, b: str, similarity: int) -> bool:
@@ -168,6 +182,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, space: Workspace, name: str)
                 for line, item in zip(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()):
                     items.append(item), forms.append(normal_form(lines[line]))
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(forms, pa.string())], names=["item", "form"])
+        trim()
 
     return docs.join(by_doc, ["doc_id", "body"]).select("text", "lines", "items").mapInArrow(run, "item long, form string").dropDuplicates(["item"])
 
@@ -181,9 +196,10 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
     keys = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
     members = distinct.select(F.explode(F.array(*keys)).alias("key"), "item", F.struct("sim", "size").alias("info"))
-    met = space.write(hubs.crowded(members), "met")
     near = lambda x, y: (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= FLIPS) & (100 * F.least(x["size"], y["size"]) >= (similarity - 25) * F.greatest(x["size"], y["size"]))
 
+    met = space.write(hubs.crowded(members, near), "met")
+
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         items = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
         wanted = distinct.join(items, "item").select("item", "first.*")
@@ -193,6 +209,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
             for batch in batches:
                 keep = [similar_lines(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            trim()
 
         left, right = forms.select(F.col("item").alias("a"), F.col("form").alias("x")), forms.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
@@ -226,7 +243,7 @@ def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int =
     gone = _decided(docs, similarity, hub_rounds, Workspace(docs.sparkSession, "lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             kept = [_kept_lines(t or "", g) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             n_gone = [len(g or ()) for g in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in kept], pa.int64()), pa.array(n_gone, pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t, _ in kept], pa.string())], names=[x.split()[0] for x in RESULT_SCHEMA.split(", ")])
@@ -237,12 +254,12 @@ def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int =
 def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """docs with the repeated lines taken out of ``text`` and ``n_chars``, if there is one, counted anew; null texts stay null."""
     gone = _decided(_with_body(docs), similarity, hub_rounds, Workspace(docs.sparkSession, "lines"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("gone").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("__line_id"), F.col("body").alias("__line_body"), F.col("gone").alias("__line_gone"))
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("_gone", s["i"]))
-    new = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
-    out = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_body")), "left").withColumn("text", new)
+    left = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__line_gone", s["i"]))
+    new = F.when(F.col("__line_gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
+    out = docs.join(gone, (docs["doc_id"].cast("long") == F.col("__line_id")) & (F.xxhash64(text) == F.col("__line_body")), "left").withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

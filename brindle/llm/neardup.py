@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import hubs
 from .superminhash import band_keys, signatures
-from .textops import ASCII_LOWER, U64, grams, mix, owners, pieces, powers, run_hashes, runs, utf8
+from .textops import ASCII_LOWER, U64, grams, mix, owners, pieces, powers, run_hashes, runs, trim, utf8
 from .workspace import Workspace
 
 SHINGLE, THRESHOLD = 5, 80
@@ -108,6 +108,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 shared = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * shared >= threshold * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(keep))
+        trim()
 
     left = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
@@ -174,11 +175,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     signed = space.write(_signed(docs, shingle, bands, rows), "signed")
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = space.write(classes, "classes")
-    met = space.write(hubs.crowded(classes.select(F.explode("keys").alias("key"), F.col("rep").alias("item"), F.struct(F.col("n_shingles").alias("n")).alias("info"))), "met")
+    similar_size = lambda x, y: 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
+    met = space.write(hubs.crowded(classes.select(F.explode("keys").alias("key"), F.col("rep").alias("item"), F.struct(F.col("n_shingles").alias("n")).alias("info")), similar_size), "met")
     few = space.write(met.select(F.col("item").alias("doc_id")).distinct(), "candidates")
     few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
     sets = space.write(_sets(docs.join(few, "doc_id", "left_semi"), shingle), "sets")
-    similar_size = lambda x, y: 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
     confirm = lambda pairs, name: space.write(_confirmed(pairs, sets, threshold), name, batch_rows=128)
     stars = hubs.components(space, met, similar_size, confirm, hub_rounds, lambda members: _prefix_pairs(members, sets, threshold, space))
     found = classes.join(stars, classes["rep"] == stars["u"], "left").select("h1", "h2", "n_shingles", F.coalesce("v", "rep").alias("found"))

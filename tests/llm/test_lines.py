@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from brindle.llm import lines
-from brindle.llm.textops import ASCII_LOWER, run_hashes
+from brindle.llm.textops import ASCII_LOWER, U64, mix, run_hashes
 
 DOCS = "doc_id long, text string"
 
@@ -34,11 +34,12 @@ def test_edit_distance():
 
 def word_hash(word):
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(run_hashes(ASCII_LOWER[raw], np.array([0]), np.array([len(raw)]))[0])
+    short = run_hashes(ASCII_LOWER[raw], np.array([0]), np.array([len(raw)])) >> U64(24)
+    return int(mix(short)[0])
 
 
 def simhash(form):
-    words = [word_hash(w) for w in form.split(" ")]
+    words = [word_hash(w) for w in set(form.split(" "))]
     return sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in words) > len(words))
 
 
