@@ -5,7 +5,9 @@ vector of ``BUCKETS`` dimensions, projected by a fixed Gaussian matrix to
 ``AXES`` coordinates and quantised; its place is the Hilbert key of those.
 Documents are range-sorted by (key, doc_id), so each partition is a stretch of
 the curve and equal or similar documents lie side by side, and each stretch is
-cut into sequences of ``size`` ids.  What is left at the end of a stretch is cut
+cut into sequences of ``size`` ids.  Long documents travel in rows of ``ROW_IDS``
+ids, so that stretches of equally many rows have about equally many ids, and a
+document may go on in the next stretch.  What is left at the end of a stretch is cut
 into powers of two, which need no padding either.
 
 Nulls: a null text counts as empty and packs its end id alone; null ids sort
@@ -28,6 +30,7 @@ from .textops import U64, mix, pieces
 from .workspace import Workspace
 
 SIZE = 2048
+ROW_IDS = 4096
 BUCKETS, AXES, AXIS_BITS = 1024, 4, 15
 
 
@@ -86,10 +89,15 @@ def _placed(docs: DataFrame, name: str, end_id: int) -> DataFrame:
         for batch in (p for b in batches for p in pieces(b, limit=tokens.TEXT_BYTES)):
             ids, first = encode.encode(batch.column(1))
             keys = where.keys(ids, first)
-            packed = [ids[a:b].astype("<u4").tobytes() + end_id.to_bytes(4, "little") for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "place", "ids"])
+            rows: list[list] = [[], [], [], [], []]
+            for doc, key, a, b in zip(batch.column(0).to_pylist(), keys.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                whole = ids[a:b].astype("<u4").tobytes() + end_id.to_bytes(4, "little")
+                for start in range(0, b - a + 1, ROW_IDS):
+                    for into, value in zip(rows, (doc, key, start, b - a + 1, whole[4 * start : 4 * (start + ROW_IDS)])):
+                        into.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.binary())], names=["doc_id", "place", "start", "doc_tokens", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, place long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, place long, start long, doc_tokens long, ids binary")
 
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -114,12 +122,16 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int, with_ids: bool) -> Ite
         rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset, *([bytes(ids)] * with_ids)))
 
     for batch in batches:
-        for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            view, total, start = memoryview(ids), len(ids) // 4, 0
-            while start < total:
-                n = min(size - held, total - start)
-                open_pieces.append((doc, start, view[4 * start : 4 * (start + n)], total))
-                start, held = start + n, held + n
+        for doc, begin, total, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            view, have, at = memoryview(ids), len(ids) // 4, 0
+            while at < have:
+                n = min(size - held, have - at)
+                last = open_pieces[-1] if open_pieces else None
+                if last and last[0] == doc and last[1] + len(last[2]) // 4 == begin + at and begin + at > 0:  # the same document goes on
+                    open_pieces[-1] = (doc, last[1], bytes(last[2]) + bytes(view[4 * at : 4 * (at + n)]), total)
+                else:
+                    open_pieces.append((doc, begin + at, view[4 * at : 4 * (at + n)], total))
+                at, held = at + n, held + n
                 if held == size:
                     offset = 0
                     for piece in open_pieces:
@@ -147,5 +159,5 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = 1, tokenizer: str = to
     space = Workspace(docs.sparkSession, "packing")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = space.write(_placed(plain, tokenizer, end_id), "placed")
-    stretch = placed.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id", F.xxhash64("ids")).select("doc_id", "ids")
+    stretch = placed.repartitionByRange("place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start", "doc_tokens").select("doc_id", "start", "doc_tokens", "ids")
     return stretch.mapInArrow(lambda batches: _packed(batches, size, with_ids), PIECE_SCHEMA + ", ids binary" * with_ids)
