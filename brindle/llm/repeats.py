@@ -233,6 +233,7 @@ def _contexts(length: int, buckets: int):
             n = count[mine]
             places = order[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             parts.append(_packed((key[head[mine]] & U64(0xFFFF)).astype(np.uint16), size.astype(np.uint32), body, n.astype(np.uint32), ids[doc_of[places]], doc_of[places].astype(np.uint32), (start[places] - at[doc_of[places]]).astype(np.int64)))
+        trim()
         return pa.table({"bucket": pa.array(out, pa.int64()), "chunk": pa.array([left.column("chunk")[0].as_py()] * len(out), pa.int64()), "part": pa.array(parts, pa.binary())})
 
     return run
@@ -242,7 +243,7 @@ def _contexts(length: int, buckets: int):
 
 
 class SuffixArray:
-    """The enhanced suffix array of those suffixes of many short strings that have ``length`` bytes or more and share them."""
+    """The enhanced suffix array of those suffixes of many short strings that share ``length`` bytes or more and can begin a maximal repeat."""
 
     def __init__(self, body: np.ndarray, size: np.ndarray, length: int):
         at = np.concatenate(([0], np.cumsum(size.astype(np.int64))))
@@ -250,9 +251,12 @@ class SuffixArray:
         room = at[string + 1] - np.arange(len(body))
         start = np.flatnonzero(room >= length)
         if len(start):
-            value = rolling(body, length)[start]
-            _, first, order = _distinct(value)
-            start = np.sort(start[order[np.repeat(np.diff(np.append(first, len(order))), np.diff(np.append(first, len(order)))) > 1]])
+            _, first, order = _distinct(rolling(body, length)[start])
+            left = self._left(body, start, at, string)[order]
+            count = np.diff(np.append(first, len(order)))
+            low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
+            # windows with one byte to their left everywhere are inside longer repeats
+            start = np.sort(start[order[np.repeat((count > 1) & ((low != high) | (low == -1)), count)]])
         wide = -(-int(size.max(initial=length)) // 8) * 8
         padded = np.concatenate((body, np.zeros(wide, np.uint8)))
         text = sliding_window_view(padded, wide)[start]
@@ -262,8 +266,7 @@ class SuffixArray:
         text, start = text[order], start[order]
         self.start, self.string = start, string[start]
         self.offset, self.room = start - at[self.string], room[start]
-        #: The byte to the left of a suffix, or -1 where its string begins.
-        self.left = np.where(self.offset > 0, body[start - 1].astype(np.int64), -1) if len(start) else start
+        self.left = self._left(body, start, at, string)
         #: Common prefix with the suffix before; 0 for the first.
         self.common = np.zeros(len(start), np.int64)
         if len(start) > 1:
@@ -271,6 +274,11 @@ class SuffixArray:
             same = np.where(other.any(axis=1), other.argmax(axis=1), wide)
             self.common[1:] = np.minimum(same, np.minimum(self.room[1:], self.room[:-1]))
 
+    @staticmethod
+    def _left(body: np.ndarray, start: np.ndarray, at: np.ndarray, string: np.ndarray) -> np.ndarray:
+        """The byte to the left of each suffix, or -1 where its string begins."""
+        return np.where(start > at[string[start]], body[start - 1].astype(np.int64), -1) if len(start) else start
+
 
 def intervals(common: list[int], left: list[int], length: int) -> Iterator[tuple[int, int, int]]:
     """(common prefix, first, last) of the intervals of at least ``length``, inner before outer, by one scan with a stack.
