@@ -22,21 +22,28 @@ from .components import connected
 from .workspace import Workspace
 
 
+#: Rows that a row is compared with on either side in the sort by key.
+REACH = 4
+
+
 def crowded(members: DataFrame, similar: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """The rows of (key, item, info) whose key another item has too, without pairs alone in a key that aren't ``similar``.
+    """The rows of (key, item, info) whose key another item has too, without those of keys of up to REACH rows that are ``similar`` to no other row.
 
-    One sort by key; rows look at two neighbours on either side, so no group is held in memory.
+    One sort by key; rows look at REACH neighbours on either side, so no group is held in memory.
     """
     by = Window.partitionBy("key").orderBy("item")
-    near = {f"__{f.__name__}_{n}": f("item", n).over(by) for f in (F.lag, F.lead) for n in (1, 2)}
-    before, after = F.coalesce(F.col("__lag_1") != F.col("item"), F.lit(False)), F.coalesce(F.col("__lead_1") != F.col("item"), F.lit(False))
-    keep = before | after
+    added = {"__before": F.lag("item").over(by), "__after": F.lead("item").over(by)}
+    if similar is not None:
+        added |= {f"__{f.__name__}_{n}": f("info", n).over(by) for f in (F.lag, F.lead) for n in range(1, REACH + 1)}
+    keep = F.coalesce(F.col("__before") != F.col("item"), F.lit(False)) | F.coalesce(F.col("__after") != F.col("item"), F.lit(False))
     if similar is not None:
-        near |= {"__lag_info": F.lag("info").over(by), "__lead_info": F.lead("info").over(by)}
-        none = lambda *names: F.coalesce(*[F.col(f"__{n}") for n in names]).isNull()
-        alone = (none("lag_1", "lead_2") & after) | (none("lead_1", "lag_2") & before)
-        keep &= ~alone | similar(F.col("info"), F.coalesce("__lag_info", "__lead_info"))
-    return members.select("*", *[c.alias(name) for name, c in near.items()]).where(keep).select(*members.columns)
+        others = [F.col(c) for c in added if c not in ("__before", "__after")]
+        few = sum((o.isNotNull().cast("int") for o in others), F.lit(0)) < REACH  # then all rows of the key are in reach
+        met = F.lit(False)
+        for o in others:
+            met |= F.coalesce(similar(F.col("info"), o), F.lit(False))
+        keep &= ~few | met
+    return members.select("*", *[c.alias(name) for name, c in added.items()]).where(keep).select(*members.columns)
 
 
 def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Column], Column], confirm: Callable[[DataFrame, str], DataFrame], rounds: int, remaining: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ from .workspace import Workspace
 SIMILARITY = 80
 BITS, FLIPS = 64, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Up to so many ids of documents are sent to all tasks; beyond, texts are joined with them.
 BROADCAST_IDS = 100_000
 
