@@ -56,13 +56,17 @@ MIN_BUCKETS = 24
 _HIGH = U64(0xFFFFFFFF00000000)
 
 
+#: Chunks and contexts are most of what this operator shuffles; a stronger level is worth its time.
+_CODEC = pa.Codec("zstd", compression_level=5)
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     raw = pickle.dumps(arrays, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+    return pickle.loads(_CODEC.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True))
 
 
 # ---- anchors and contexts ---------------------------------------------------------------------------
