@@ -3,15 +3,25 @@
 A line is what line feeds separate; its normal form is its words (digits,
 letters with A-Z lowered, non-ASCII characters) with single spaces between.
 Lines without a word are never touched.  Two normal forms are linked when their
-64-bit SimHashes over distinct words differ in at most 3 bits and their edit similarity
-``1 - distance / longer length`` is at least ``similarity``.  Of each group of
+edit similarity ``1 - distance / longer length`` is at least ``similarity``
+(``flips=None``, as the query and the pipeline have it).  Of each group of
 connected lines the first occurrence stays, by (doc_id, place in the text); all
 others are removed, in every document.
 
-Equal normal forms are one row from the start.  The SimHash is cut into five
-blocks; as three flipped bits leave two blocks whole, lines that share any two
-blocks (ten keys of about 26 bits) are all candidates.  They are compared by
-hubs (``hubs``) and confirmed on their texts.
+Equal normal forms are one row from the start.  Keys only retrieve; none of
+them decides.  Short lines have a key for each word, and the shortest for each
+character, that is left out: these meet whatever differs in one of them, surely.
+Other lines have MinHash keys of two minima each, over pairs of words up to
+PAIR_WORDS words, over runs of GRAM_WORDS words and GRAM_BYTES bytes or more in
+longer ones.  Lines that share a key are compared by hubs (``hubs``) and
+confirmed on their texts; of lines of over FAR_CHARS characters those whose
+64-bit SimHashes are FAR bits apart or less.  What shares no key is lost: pairs
+of which most words are misspelt, mainly; the README has the measured recall.
+
+With ``flips`` (3 by default) lines are linked only if also their SimHashes over distinct words differ in at most so many bits, which leaves out
+most changes in short lines.  The SimHash is cut into five blocks; as three
+flipped bits leave two blocks whole, lines that share any two blocks (ten keys
+of about 26 bits) are all candidates.
 
 Nulls: a null text is one empty line; a row with a null id is kept as it is
 and makes no other line go.  Rows that repeat id and text share one fate.
@@ -25,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hubs
@@ -34,7 +44,16 @@ from .workspace import Workspace
 
 SIMILARITY = 80
 BITS, FLIPS = 64, 3
+#: Retrieval by edit similarity: lines of up to so many words, or characters without spaces, have a key for each one left out.
+DROP_WORDS, DROP_CHARS = 12, 24
+#: Lines of up to PAIR_WORDS words: keys of two minima each over runs of at least 2 words and PAIR_BYTES bytes.  Lines of GRAM_LINE words or more: keys of
+#: GRAM_EACH minima each over runs of at least GRAM_WORDS words and GRAM_BYTES bytes.
+PAIR_WORDS, PAIR_BYTES, PAIR_KEYS = 20, 8, 16
+GRAM_LINE, GRAM_WORDS, GRAM_BYTES, GRAM_KEYS, GRAM_EACH = 17, 2, 12, 18, 2
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Of lines that share a key, those of over FAR_CHARS characters are not compared if over FAR bits of their SimHashes differ:
+#: unrelated lines differ in about 28, lines with a fifth of their words changed in about 14.
+FAR, FAR_CHARS = 24, 40
 HUB_ROUNDS = 1
 #: Up to so many ids of documents are sent to all tasks; beyond, texts are joined with them.
 BROADCAST_IDS = 100_000
@@ -81,11 +100,85 @@ def simhashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long"
+def _inverse_powers(n: int) -> np.ndarray:
+    """The inverses of ``powers(n)``, modulo 2**64."""
+    steps = np.full(n, U64(pow(int(powers(2)[1]), -1, 1 << 64)), dtype=U64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=U64)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line with words: both hashes of its normal form, its SimHash and the bytes of its words."""
+def _ranges(first: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each item of the runs in take, offsets between those runs)."""
+    n = np.diff(first)[take]
+    at = np.concatenate(([0], np.cumsum(n)))
+    return np.arange(int(at[-1])) - np.repeat(at[:-1] - first[:-1][take], n), at
+
+
+def _without_one(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, run) of every run, whole and with each of its items left out that has at most half of its size."""
+    if not len(hashes):
+        return np.empty(0, U64), np.empty(0, np.int64)
+    run = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * powers(len(hashes) + 1)[: len(hashes)], dtype=U64)))
+    shift, inverse = _inverse_powers(len(hashes) + 1), _inverse_powers(2)[-1]
+    item = np.arange(len(hashes))
+    left = (total[item] - total[at[run]] + (total[at[run + 1]] - total[item + 1]) * inverse) * shift[at[run]]
+    whole = (total[at[1:]] - total[at[:-1]]) * shift[at[:-1]]
+    bytes_before = np.concatenate(([0], np.cumsum(size)))
+    small = 2 * size <= (bytes_before[at[1:]] - bytes_before[at[:-1]])[run]
+    return mix(np.concatenate((left[small], whole))), np.concatenate((run[small], np.arange(len(whole))))
+
+
+def _minima(values: np.ndarray, run: np.ndarray, keys: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, run): ``keys`` keys of ``each`` minima under different orders, for every run that has a value."""
+    if not len(values):
+        return np.empty(0, U64), np.empty(0, np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    out = []
+    for k in range(keys):
+        key = np.full(len(begin), k, U64)
+        for e in range(each):
+            key = mix((key << U64(1)) + key + np.minimum.reduceat(mix(values + U64((k * each + e + 1) * 0x9E6C63D0876A9A47 & (1 << 64) - 1)), begin))
+        out.append(key)
+    return np.concatenate(out), np.tile(run[begin], keys)
+
+
+def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of 48 bits, offsets of lines in them); line i has the words first[i]:first[i + 1].  Similar lines share a key, others hardly."""
+    n_words, size = np.diff(first), end - begin
+    bytes_before = np.concatenate(([0], np.cumsum(size)))
+    found = []
+    take = np.flatnonzero((n_words > 1) & (n_words <= DROP_WORDS))
+    item, at = _ranges(first, take)
+    key, run = _without_one(hashes[item], at, size[item])
+    found.append((key, take[run]))
+    take = np.flatnonzero((n_words > 0) & (bytes_before[first[1:]] - bytes_before[first[:-1]] <= 4 * DROP_CHARS))
+    item, at = _ranges(first, take)
+    byte = np.repeat(begin[item] - (np.cumsum(size[item]) - size[item]), size[item]) + np.arange(int(size[item].sum()))
+    head = np.flatnonzero((low[byte] & 0xC0) != 0x80)  # the first byte of each character
+    chars = run_hashes(low[byte], head, np.append(head[1:], len(byte)))
+    at = np.searchsorted(head, np.concatenate(([0], np.cumsum(size[item])))[at])
+    short = np.flatnonzero(np.diff(at) <= DROP_CHARS)
+    item, at = _ranges(at, short)
+    key, run = _without_one(chars[item] ^ U64(0xD6E8FEB86659FD93), at, np.ones(len(item), np.int64))
+    found.append((key, take[short][run]))
+    line = np.repeat(np.arange(len(n_words)), n_words)
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * powers(len(hashes) + 1)[: len(hashes)], dtype=U64)))
+    shift = _inverse_powers(len(hashes) + 1)
+    for which, n, n_bytes, keys, each in ((n_words <= PAIR_WORDS, 2, PAIR_BYTES, PAIR_KEYS, 2), (n_words >= GRAM_LINE, GRAM_WORDS, GRAM_BYTES, GRAM_KEYS, GRAM_EACH)):
+        until = np.maximum(np.searchsorted(bytes_before, bytes_before[:-1] + n_bytes), np.arange(len(line)) + n)
+        item = np.flatnonzero(which[line] & (until <= first[1:][line]))
+        found.append(_minima(mix((total[until[item]] - total[item]) * shift[item] + U64(n)), line[item], keys, each))
+    key, run = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(run, kind="stable")
+    return key[order] >> U64(16), np.searchsorted(run[order], np.arange(len(n_words) + 1))
+
+
+LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, keys array<long>"
+
+
+def _lines(docs: DataFrame, simhash: bool) -> DataFrame:
+    """One row per line with words: both hashes of its normal form, its SimHash, the form's characters and, unless SimHashes decide, its retrieval keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -103,10 +196,12 @@ def _lines(docs: DataFrame) -> DataFrame:
             at_some = first[some]
             one = np.add.reduceat(hashes * weight, at_some) if len(some) else hashes
             two = np.add.reduceat(mix(hashes ^ U64(0x2545F4914F6CDD1D)) * weight, at_some) if len(some) else hashes
-            size = np.add.reduceat(end - begin, at_some) if len(some) else begin
+            more = np.concatenate(([0], np.cumsum((low & 0xC0) == 0x80)))  # bytes that don't begin a character
+            size = np.add.reduceat(end - begin - (more[end] - more[begin]) + 1, at_some) - 1 if len(some) else begin
             sim = simhashes(hashes, first)[some]
+            keys, key_at = (np.empty(0, U64), np.zeros(len(some) + 1, np.int64)) if simhash or not len(some) else retrieval_keys(low, begin, end, hashes, np.append(at_some, len(hashes)))
             rows = pa.array(doc[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line[some], pa.int32()), *(pa.array(mix(x).view(np.int64)) for x in (one, two)), pa.array(sim.view(np.int64)), pa.array(size, pa.int64())], names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line[some], pa.int32()), *(pa.array(mix(x).view(np.int64)) for x in (one, two)), pa.array(sim.view(np.int64)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(keys.view(np.int64)))], names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text", "body").mapInArrow(run, LINE_SCHEMA)
 
@@ -187,18 +282,29 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, space: Workspace, name: str)
     return docs.join(by_doc, ["doc_id", "body"]).select("text", "lines", "items").mapInArrow(run, "item long, form string").dropDuplicates(["item"])
 
 
-def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace) -> DataFrame:
+def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None) -> DataFrame:
     """(doc_id, body, lines): numbers of the lines to remove."""
-    lines = space.write(_lines(docs.where("doc_id is not null")), "lines")
+    keyed = space.write(_lines(docs.where("doc_id is not null"), flips is not None), "keyed")
     place = F.struct("doc_id", "body", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"))
+    distinct = keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
+    lines = space.write(keyed.select("doc_id", "body", "line", "h1", "h2"), "lines")
+    del keyed
+    space.drop("keyed")
     part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
-    keys = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
-    members = distinct.select(F.explode(F.array(*keys)).alias("key"), "item", F.struct("sim", "size").alias("info"))
-    near = lambda x, y: (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= FLIPS) & (100 * F.least(x["size"], y["size"]) >= (similarity - 25) * F.greatest(x["size"], y["size"]))
+    blocks = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
+    keys = F.col("keys") if flips is None else F.array(*blocks)
+    members = distinct.select(F.explode(keys).alias("key"), "item", F.struct("sim", "size").alias("info"))
+
+    def near(x: Column, y: Column) -> Column:
+        """What the edit similarity implies for lengths, and for SimHashes almost surely; with ``flips`` what the definition asks of these."""
+        long = F.greatest(x["size"], y["size"])
+        fits = 100 * (long - F.least(x["size"], y["size"])) <= (100 - similarity) * long
+        apart = F.bit_count(x["sim"].bitwiseXOR(y["sim"]))
+        return fits & ((apart <= FAR) | (long <= FAR_CHARS) if flips is None else apart <= flips)
 
     met = space.write(hubs.crowded(members, near), "met")
+    space.drop()
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         items = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
@@ -237,10 +343,10 @@ def _kept_lines(text: str, gone: list[int] | None) -> tuple[str, int]:
 RESULT_SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
 
-def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS) -> DataFrame:
     """One row per document: its lines, how many were removed, and the digest of the rest."""
     docs = _with_body(docs)
-    gone = _decided(docs, similarity, hub_rounds, Workspace(docs.sparkSession, "lines"))
+    gone = _decided(docs, similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -251,9 +357,9 @@ def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int =
     return docs.join(gone, ["doc_id", "body"], "left").select("doc_id", "text", "gone").mapInArrow(run, RESULT_SCHEMA)
 
 
-def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS) -> DataFrame:
     """docs with the repeated lines taken out of ``text`` and ``n_chars``, if there is one, counted anew; null texts stay null."""
-    gone = _decided(_with_body(docs), similarity, hub_rounds, Workspace(docs.sparkSession, "lines"))
+    gone = _decided(_with_body(docs), similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips)
     gone = gone.select(F.col("doc_id").alias("__line_id"), F.col("body").alias("__line_body"), F.col("gone").alias("__line_gone"))
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")

@@ -19,7 +19,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_digest(_table(spark, sf_dir, "documents"))
+    return lines.line_digest(_table(spark, sf_dir, "documents"), flips=None)
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
