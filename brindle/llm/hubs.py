@@ -13,37 +13,46 @@ to its size.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
 from .workspace import Workspace
 
 
-#: Rows that a row is compared with on either side in the sort by key.
-REACH = 4
+def crowded(space: Workspace, members: DataFrame, name: str) -> DataFrame:
+    """The rows of members (key, item and further numbers) whose key another item has too, written as a table; repeated rows once.
 
+    Rows are dealt by ranges of (key, item), so that not even a key with very
+    many rows is one task's work, sorted, and read in order.  The first and the
+    last row of a range stay, as what lies beyond isn't seen: some rows without
+    company remain, none with company goes.
+    """
+    columns = members.columns
 
-def crowded(members: DataFrame, similar: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """The rows of (key, item, info) whose key another item has too, without those of keys of up to REACH rows that are ``similar`` to no other row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, of which the next one isn't known yet, and whether it stays
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held[0], pa.Table.from_batches([batch])])
+            key, item = (table.column(c).to_numpy() for c in ("key", "item"))
+            same = key[1:] == key[:-1]
+            fresh = np.append(True, ~(same & (item[1:] == item[:-1])))
+            rows = np.flatnonzero(fresh)
+            same = key[rows[1:]] == key[rows[:-1]]
+            stays = np.append(held is None or held[1], same) | np.append(same, False)
+            held = table.slice(int(rows[-1]), 1), bool(stays[-1])
+            yield from table.take(pa.array(rows[:-1][stays[:-1]])).to_batches()
+        if held is not None:
+            yield from held[0].to_batches()
 
-    One sort by key; rows look at REACH neighbours on either side, so no group is held in memory.
-    """
-    by = Window.partitionBy("key").orderBy("item")
-    added = {"__before": F.lag("item").over(by), "__after": F.lead("item").over(by)}
-    if similar is not None:
-        added |= {f"__{f.__name__}_{n}": f("info", n).over(by) for f in (F.lag, F.lead) for n in range(1, REACH + 1)}
-    keep = F.coalesce(F.col("__before") != F.col("item"), F.lit(False)) | F.coalesce(F.col("__after") != F.col("item"), F.lit(False))
-    if similar is not None:
-        others = [F.col(c) for c in added if c not in ("__before", "__after")]
-        few = sum((o.isNotNull().cast("int") for o in others), F.lit(0)) < REACH  # then all rows of the key are in reach
-        met = F.lit(False)
-        for o in others:
-            met |= F.coalesce(similar(F.col("info"), o), F.lit(False))
-        keep &= ~few | met
-    return members.select("*", *[c.alias(name) for name, c in added.items()]).where(keep).select(*members.columns)
+    ordered = members.repartitionByRange("key", "item").sortWithinPartitions("key", "item")
+    return space.write(ordered.mapInArrow(run, members.schema), name, batch_rows=1 << 14).select(*columns)
 
 
 def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Column], Column], confirm: Callable[[DataFrame, str], DataFrame], rounds: int, remaining: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

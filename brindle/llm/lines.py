@@ -8,29 +8,43 @@ edit similarity ``1 - distance / longer length`` is at least ``similarity``
 connected lines the first occurrence stays, by (doc_id, place in the text); all
 others are removed, in every document.
 
-Equal normal forms are one row from the start.  Keys only retrieve; none of
-them decides.  Short lines have a key for each word, and the shortest for each
-character, that is left out: these meet whatever differs in one of them, surely.
-Other lines have MinHash keys of two minima each, over pairs of words up to
-PAIR_WORDS words, over runs of GRAM_WORDS words and GRAM_BYTES bytes or more in
-longer ones.  Lines that share a key are compared by hubs (``hubs``) and
-confirmed on their texts; of lines of over FAR_CHARS characters those whose
-64-bit SimHashes are FAR bits apart or less.  What shares no key is lost: pairs
-of which most words are misspelt, mainly; the README has the measured recall.
-
-With ``flips`` (3 by default) lines are linked only if also their SimHashes over distinct words differ in at most so many bits, which leaves out
-most changes in short lines.  The SimHash is cut into five blocks; as three
-flipped bits leave two blocks whole, lines that share any two blocks (ten keys
-of about 26 bits) are all candidates.
+1. Equal normal forms (by their 128-bit BLAKE2 digests) are one row from the
+   start.
+2. A line's SimHash has 64 bits voted on by its distinct words, and up to
+   BLOCKS_KEPT blocks voted on each by its own share of the line's pairs of
+   neighbouring words, of about SHARE pairs (half of it in short lines).  A change touches the blocks of the
+   pairs it falls in and leaves all others whole: as long as these are fewer
+   than the blocks, two lines have a block in common.  (Blocks cut out of one
+   SimHash would not do: similar lines differ in up to 20 of its 64 bits, spread
+   over all blocks.)  A block that all its pairs must agree on is kept as their
+   sum.  Lines near the border of two block sizes have both.
+3. Short lines have a key for each word, and the shortest for each character,
+   that is left out: these meet whatever differs in one of them, surely.
+4. Lines that share a key are compared by hubs (``hubs``), unless their lengths
+   or, above FAR_CHARS characters, over FAR bits of their SimHashes differ;
+   then the edit similarity of the texts decides.
+
+Keys only retrieve; none of them decides.  What shares no key is lost: pairs of
+which most words are misspelt, mainly; the README has the measured recall.
+
+With ``flips`` (3 by default) lines are linked only if also their SimHashes
+differ in at most so many bits, which leaves out most changes in short lines.
+The SimHash is cut into five blocks; as three flipped bits leave two blocks
+whole, lines that share any two blocks are all candidates, without loss.
 
 Nulls: a null text is one empty line; a row with a null id is kept as it is
-and makes no other line go.  Rows that repeat id and text share one fate.
+and makes no other line go.  Rows that repeat id and text share one fate, and
+of several equal lines in one text the first stays.  Texts of any length are
+read whole.  An empty table gives an empty result.  Of further columns,
+whatever their names, ``line_digest`` reads none and ``drop_repeated_lines``
+keeps all.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,19 +58,18 @@ from .workspace import Workspace
 
 SIMILARITY = 80
 BITS, FLIPS = 64, 3
-#: Retrieval by edit similarity: lines of up to so many words, or characters without spaces, have a key for each one left out.
+#: Lines of up to so many words, or characters without spaces, have a key for each one left out.
 DROP_WORDS, DROP_CHARS = 12, 24
-#: Lines of up to PAIR_WORDS words: keys of two minima each over runs of at least 2 words and PAIR_BYTES bytes.  Lines of GRAM_LINE words or more: keys of
-#: GRAM_EACH minima each over runs of at least GRAM_WORDS words and GRAM_BYTES bytes.
-PAIR_WORDS, PAIR_BYTES, PAIR_KEYS = 20, 8, 16
-GRAM_LINE, GRAM_WORDS, GRAM_BYTES, GRAM_KEYS, GRAM_EACH = 17, 2, 12, 18, 2
+#: Pairs of words in a block, blocks kept of a line, and how near to the border of two block sizes (in powers of two) it has both.
+SHARE, BLOCKS_KEPT, BORDER = 3, 12, 0.3
+#: Lines of more pairs of words keep only blocks of two pairs or more: single ones are too common to tell anything.
+SINGLE_PAIRS = 24
+#: The five blocks of a SimHash (first bit, bits) for ``flips``.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Of lines that share a key, those of over FAR_CHARS characters are not compared if over FAR bits of their SimHashes differ:
-#: unrelated lines differ in about 28, lines with a fifth of their words changed in about 14.
-FAR, FAR_CHARS = 24, 40
-HUB_ROUNDS = 1
-#: Up to so many ids of documents are sent to all tasks; beyond, texts are joined with them.
-BROADCAST_IDS = 100_000
+#: of 1000 unrelated lines one differs in as few, similar ones differ in 6 mostly and in 21 at most.
+FAR, FAR_CHARS = 22, 40
+HUB_ROUNDS = 2
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
@@ -129,18 +142,26 @@ def _without_one(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[
     return mix(np.concatenate((left[small], whole))), np.concatenate((run[small], np.arange(len(whole))))
 
 
-def _minima(values: np.ndarray, run: np.ndarray, keys: int, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, run): ``keys`` keys of ``each`` minima under different orders, for every run that has a value."""
-    if not len(values):
-        return np.empty(0, U64), np.empty(0, np.int64)
-    begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    out = []
-    for k in range(keys):
-        key = np.full(len(begin), k, U64)
-        for e in range(each):
-            key = mix((key << U64(1)) + key + np.minimum.reduceat(mix(values + U64((k * each + e + 1) * 0x9E6C63D0876A9A47 & (1 << 64) - 1)), begin))
-        out.append(key)
-    return np.concatenate(out), np.tile(run[begin], keys)
+def block_keys(hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(key, line) of the blocks of every line, in lists; each block is the sum of its share of the pairs of neighbouring words."""
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(line[:-1] == line[1:])
+    line, pair = line[at], mix(hashes[at] * U64(0x9E3779B97F4A7C15) + hashes[at + 1])
+    n, found, before = np.diff(first) - 1, [], None
+    size = np.log2(np.maximum(n, 1) / np.where(n > DROP_WORDS, SHARE, SHARE / 2))
+    for border in (-BORDER, BORDER):
+        level = np.maximum(0, np.ceil(size + border)).astype(np.int64)
+        block = (pair >> U64(32)) & ((U64(1) << level[line].astype(U64)) - U64(1))
+        fresh = np.ones(len(n), bool) if before is None else level != before
+        take = np.flatnonzero((block < BLOCKS_KEPT) & fresh[line])
+        slot = line[take] * BLOCKS_KEPT + block[take].astype(np.int64)
+        total = np.zeros(len(n) * BLOCKS_KEPT, U64)
+        np.add.at(total, slot, mix(pair[take]))
+        votes = np.bincount(slot, minlength=len(total))
+        some = np.flatnonzero(votes > np.repeat(n > SINGLE_PAIRS, BLOCKS_KEPT))
+        found.append((mix(total[some] + (some % BLOCKS_KEPT + 64 * level[some // BLOCKS_KEPT] + 1).astype(U64) * U64(0xD6E8FEB86659FD93)), some // BLOCKS_KEPT))
+        before = level
+    return found
 
 
 def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,23 +183,27 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
     item, at = _ranges(at, short)
     key, run = _without_one(chars[item] ^ U64(0xD6E8FEB86659FD93), at, np.ones(len(item), np.int64))
     found.append((key, take[short][run]))
-    line = np.repeat(np.arange(len(n_words)), n_words)
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * powers(len(hashes) + 1)[: len(hashes)], dtype=U64)))
-    shift = _inverse_powers(len(hashes) + 1)
-    for which, n, n_bytes, keys, each in ((n_words <= PAIR_WORDS, 2, PAIR_BYTES, PAIR_KEYS, 2), (n_words >= GRAM_LINE, GRAM_WORDS, GRAM_BYTES, GRAM_KEYS, GRAM_EACH)):
-        until = np.maximum(np.searchsorted(bytes_before, bytes_before[:-1] + n_bytes), np.arange(len(line)) + n)
-        item = np.flatnonzero(which[line] & (until <= first[1:][line]))
-        found.append(_minima(mix((total[until[item]] - total[item]) * shift[item] + U64(n)), line[item], keys, each))
+    found += block_keys(hashes, first)
     key, run = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(run, kind="stable")
     return key[order] >> U64(16), np.searchsorted(run[order], np.arange(len(n_words) + 1))
 
 
-LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, keys array<long>"
+LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, keys array<long>, form string"
+
+
+def forms(low: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the words of every line with single spaces between; every line has a word."""
+    size = end - begin + 1
+    out = np.append(low, 32).astype(np.uint8)[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    ends = np.cumsum(size)
+    out[ends - 1] = 32
+    lines_at = np.concatenate(([0], ends))[first]
+    return np.delete(out, lines_at[1:] - 1), lines_at - np.arange(len(lines_at))
 
 
 def _lines(docs: DataFrame, simhash: bool) -> DataFrame:
-    """One row per line with words: both hashes of its normal form, its SimHash, the form's characters and, unless SimHashes decide, its retrieval keys."""
+    """One row per line with words: the digest of its normal form, its SimHash, the form's characters, the form and, unless SimHashes decide, its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -186,22 +211,24 @@ def _lines(docs: DataFrame, simhash: bool) -> DataFrame:
             low = ASCII_LOWER[raw]
             doc, line, start, _ = line_bounds(raw, at)
             begin, end = runs(_IN_WORD[low], at)
+            if not len(begin):
+                continue
             hashes = run_hashes(low, begin, end)
             # an empty last line starts where the next document does; words belong to the later of both
             owner = np.searchsorted(start, begin, side="right") - 1
             first = np.searchsorted(owner, np.arange(len(start) + 1))
             some = np.flatnonzero(np.diff(first))
-            place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-            weight = powers(int(place.max(initial=0)) + 2)[place + 1]
-            at_some = first[some]
-            one = np.add.reduceat(hashes * weight, at_some) if len(some) else hashes
-            two = np.add.reduceat(mix(hashes ^ U64(0x2545F4914F6CDD1D)) * weight, at_some) if len(some) else hashes
-            more = np.concatenate(([0], np.cumsum((low & 0xC0) == 0x80)))  # bytes that don't begin a character
-            size = np.add.reduceat(end - begin - (more[end] - more[begin]) + 1, at_some) - 1 if len(some) else begin
-            sim = simhashes(hashes, first)[some]
-            keys, key_at = (np.empty(0, U64), np.zeros(len(some) + 1, np.int64)) if simhash or not len(some) else retrieval_keys(low, begin, end, hashes, np.append(at_some, len(hashes)))
+            first = np.append(first[some], len(hashes))
+            body, form_at = forms(low, begin, end, first)
+            data, cuts = body.tobytes(), form_at.tolist()
+            digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]), "<i8").reshape(-1, 2)
+            more = np.concatenate(([0], np.cumsum((body & 0xC0) == 0x80)))  # bytes that don't begin a character
+            size = np.diff(form_at) - np.diff(more[form_at])
+            keys, key_at = (np.empty(0, U64), np.zeros(len(some) + 1, np.int64)) if simhash else retrieval_keys(low, begin, end, hashes, first)
             rows = pa.array(doc[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line[some], pa.int32()), *(pa.array(mix(x).view(np.int64)) for x in (one, two)), pa.array(sim.view(np.int64)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(keys.view(np.int64)))], names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
+            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line[some], pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(simhashes(hashes, first).view(np.int64)), pa.array(size, pa.int64())]
+            columns += [pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(keys.view(np.int64))), pa.StringArray.from_buffers(len(some), pa.py_buffer(form_at.astype(np.int32)), pa.py_buffer(body))]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text", "body").mapInArrow(run, LINE_SCHEMA)
 
@@ -264,37 +291,20 @@ def similar_lines(a: str, b: str, similarity: int) -> bool:
     return edit_distance_within(a, b, (100 - similarity) * max(len(a), len(b)) // 100) is not None
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame, space: Workspace, name: str) -> DataFrame:
-    """(item, form): normal forms of the wanted lines (item, doc_id, body, line)."""
-    by_doc = space.write(wanted.groupBy("doc_id", "body").agg(F.collect_list("line").alias("lines"), F.collect_list("item").alias("items")), f"wanted-{name}")
-    by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_IDS else by_doc
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items, forms = [], []
-            for i in range(batch.num_rows):
-                lines = batch.column(0)[i].as_py().split("\n")
-                for line, item in zip(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()):
-                    items.append(item), forms.append(normal_form(lines[line]))
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(forms, pa.string())], names=["item", "form"])
-        trim()
-
-    return docs.join(by_doc, ["doc_id", "body"]).select("text", "lines", "items").mapInArrow(run, "item long, form string").dropDuplicates(["item"])
-
-
 def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None) -> DataFrame:
-    """(doc_id, body, lines): numbers of the lines to remove."""
+    """(doc_id, body, gone): numbers of the lines to remove."""
     keyed = space.write(_lines(docs.where("doc_id is not null"), flips is not None), "keyed")
     place = F.struct("doc_id", "body", "line")
     distinct = keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
-    lines = space.write(keyed.select("doc_id", "body", "line", "h1", "h2"), "lines")
-    del keyed
-    space.drop("keyed")
+    space.drop()
     part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
     blocks = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
     keys = F.col("keys") if flips is None else F.array(*blocks)
-    members = distinct.select(F.explode(keys).alias("key"), "item", F.struct("sim", "size").alias("info"))
+    crowd = hubs.crowded(space, distinct.select(F.explode(keys).alias("key"), "item"), "crowd")
+    space.drop()
+    info = F.struct("sim", "size").alias("info")
+    met = space.write(crowd.join(distinct.select("item", info), "item"), "met")
 
     def near(x: Column, y: Column) -> Column:
         """What the edit similarity implies for lengths, and for SimHashes almost surely; with ``flips`` what the definition asks of these."""
@@ -303,13 +313,10 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
         apart = F.bit_count(x["sim"].bitwiseXOR(y["sim"]))
         return fits & ((apart <= FAR) | (long <= FAR_CHARS) if flips is None else apart <= flips)
 
-    met = space.write(hubs.crowded(members, near), "met")
-    space.drop()
-
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         items = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
         wanted = distinct.join(items, "item").select("item", "first.*")
-        forms = space.write(_line_texts(docs, wanted, space, name), f"forms-{name}", batch_rows=128)
+        texts = space.write(keyed.join(wanted, ["doc_id", "body", "line"]).dropDuplicates(["item"]).select("item", "form"), f"forms-{name}")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -317,19 +324,35 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             trim()
 
-        left, right = forms.select(F.col("item").alias("a"), F.col("form").alias("x")), forms.select(F.col("item").alias("b"), F.col("form").alias("y"))
+        left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
-    stars = hubs.components(space, met, near, confirm, hub_rounds)
+    stars = hubs.components(space, met, near, confirm, hub_rounds, lambda members: _size_pairs(members, near, similarity))
     of = stars.select(F.col("u").alias("item"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("item"), F.col("v").alias("group")).distinct())
     grouped = distinct.select("item", "first").join(of, "item")
     best = grouped.groupBy("group").agg(F.min("first").alias("best"))
     best = space.write(of.join(best, "group").select("item", "best"), "best")
     stays = distinct.join(best, "item", "left").where("n > 1 or best is not null").select("h1", "h2", F.coalesce("best", "first").alias("stays"))
-    gone = lines.join(stays, ["h1", "h2"]).where(place != F.col("stays"))
+    gone = keyed.select("doc_id", "body", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(place != F.col("stays"))
     return gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone"))
 
 
+def _size_pairs(members: DataFrame, near: Callable[[Column, Column], Column], similarity: int) -> DataFrame:
+    """Pairs (a, b) of the members of a key that are ``near`` but in different components.
+
+    Sizes are cut into classes as wide as similar lines may differ, so a line meets its own class and the next longer one only.
+    """
+    step = -math.log(similarity / 100) if 0 < similarity < 100 else 1.0
+    of = F.floor(F.log(F.col("info.size").cast("double")) / step) if similarity > 0 else F.lit(0).cast("long")
+    classed = members.select("key", "item", "info", "component", of.alias("class"))
+    x = classed.withColumn("meets", F.explode(F.array(F.col("class"), F.col("class") + 1))).alias("x")
+    y = classed.alias("y")
+    ordered = F.struct(F.col("x.info.size"), F.col("x.item")) < F.struct(F.col("y.info.size"), F.col("y.item"))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.meets") == F.col("y.class"))
+    pairs = x.join(y, same & ordered & (F.col("x.component") != F.col("y.component")) & near(F.col("x.info"), F.col("y.info")))
+    return pairs.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b"))
+
+
 def _with_body(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("body"))
 

@@ -161,7 +161,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int, space: Wo
                     into.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["key", "item", "component", "n", "place"])
 
-    rows = space.write(hubs.crowded(own.mapInArrow(run, "key long, item long, component long, n long, place long")), "prefixes", batch_rows=256)
+    rows = hubs.crowded(space, space.write(own.mapInArrow(run, "key long, item long, component long, n long, place long"), "prefixes", batch_rows=256), "crowded-prefixes")
     x, y = rows.alias("x"), rows.alias("y")
     most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     room = 100 * most >= threshold * (F.col("x.n") + F.col("y.n") - most)
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = space.write(classes, "classes")
     similar_size = lambda x, y: 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
-    met = space.write(hubs.crowded(classes.select(F.explode("keys").alias("key"), F.col("rep").alias("item"), F.struct(F.col("n_shingles").alias("n")).alias("info")), similar_size), "met")
+    met = hubs.crowded(space, classes.select(F.explode("keys").alias("key"), F.col("rep").alias("item"), F.col("n_shingles").alias("n")), "met").select("key", "item", F.struct("n").alias("info"))
     few = space.write(met.select(F.col("item").alias("doc_id")).distinct(), "candidates")
     few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
     sets = space.write(_sets(docs.join(few, "doc_id", "left_semi"), shingle), "sets")
