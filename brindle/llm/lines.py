@@ -21,7 +21,7 @@ others are removed, in every document.
 3. Short lines have a key for each word, and the shortest for each character,
    that is left out: these meet whatever differs in one of them, surely.
 4. Lines that share a key are compared by hubs (``hubs``), unless their lengths
-   or, above FAR_CHARS characters, over FAR bits of their SimHashes differ;
+   or, in all but short lines, too many bits of their SimHashes differ (FAR);
    then the edit similarity of the texts decides.
 
 Keys only retrieve; none of them decides.  What shares no key is lost: pairs of
@@ -66,26 +66,19 @@ SHARE, BLOCKS_KEPT, BORDER = 3, 12, 0.3
 SINGLE_PAIRS = 24
 #: The five blocks of a SimHash (first bit, bits) for ``flips``.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Of lines that share a key, those of over FAR_CHARS characters are not compared if over FAR bits of their SimHashes differ:
-#: of 1000 unrelated lines one differs in as few, similar ones differ in 6 mostly and in 21 at most.
-FAR, FAR_CHARS = 22, 40
-HUB_ROUNDS = 2
+#: Of lines that share a key, those of over so many characters are compared only if at most so many bits of their SimHashes differ.
+#: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
+FAR = ((40, 24), (100, 19))
+HUB_ROUNDS = 1
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
 
-def line_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, number in it, start, end) of every line; an empty text has one."""
-    feeds = np.flatnonzero(raw == 10)
-    doc = np.concatenate((np.arange(len(at) - 1), np.searchsorted(at, feeds, side="right") - 1))
-    start = np.concatenate((at[:-1], feeds + 1))
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.concatenate((doc[1:] != doc[:-1], [True]))
-    end = np.where(new, at[doc + 1], np.append(start[1:], 0) - 1)
-    first = np.searchsorted(doc, doc)
-    return doc, np.arange(len(doc)) - first, start, end
+def ended(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts, each with a line feed behind it, so that line feeds end lines and part documents."""
+    raw, at = utf8(texts)
+    return np.insert(raw, at[1:], 10), at + np.arange(len(at))
 
 
 def simhashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -107,9 +100,14 @@ def simhashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(begin, len(line)))
     parts = -(-size // 255)  # sums of at most 255 bits fit in a byte
     cuts = np.repeat(begin, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
-    bits = np.unpackbits(mix(key & U64((1 << 40) - 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(np.add.reduceat(bits, cuts, axis=0, dtype=np.uint8).astype(np.int64), np.cumsum(parts) - parts, axis=0)
-    out[line[begin]] = np.packbits(2 * sums > size[:, None], axis=1).view(">u8").ravel()
+    bits, of_line, whole = mix(key & U64((1 << 40) - 1)), np.cumsum(parts) - parts, np.zeros(len(begin), U64)
+    for b in range(8):  # bit b of each byte; eight counters in a number
+        sums = np.add.reduceat((bits >> U64(b)) & U64(0x0101010101010101), cuts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        if len(cuts) > len(begin):
+            sums = np.add.reduceat(sums.astype(np.int64), of_line, axis=0)
+        most = (2 * sums.astype(np.int32) > size[:, None]).astype(np.uint8) << np.uint8(b)
+        whole |= np.ascontiguousarray(most).view("<u8").ravel()
+    out[line[begin]] = whole
     return out
 
 
@@ -192,14 +190,19 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
 LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, keys array<long>, form string"
 
 
-def forms(low: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the words of every line with single spaces between; every line has a word."""
+def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the words of every line with single spaces between; every line has a word, and a byte follows each word."""
+    keep = inside.copy()
+    keep[end] = True
+    keep[end[first[1:] - 1]] = False
     size = end - begin + 1
-    out = np.append(low, 32).astype(np.uint8)[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    size[first[1:] - 1] -= 1
     ends = np.cumsum(size)
-    out[ends - 1] = 32
-    lines_at = np.concatenate(([0], ends))[first]
-    return np.delete(out, lines_at[1:] - 1), lines_at - np.arange(len(lines_at))
+    out = low[keep]
+    gaps = np.ones(len(ends), bool)
+    gaps[first[1:] - 1] = False
+    out[ends[gaps] - 1] = 32
+    return out, np.concatenate(([0], ends))[first]
 
 
 def _lines(docs: DataFrame, simhash: bool) -> DataFrame:
@@ -207,26 +210,27 @@ def _lines(docs: DataFrame, simhash: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
-            raw, at = utf8(batch.column(1))
+            raw, at = ended(batch.column(1))
             low = ASCII_LOWER[raw]
-            doc, line, start, _ = line_bounds(raw, at)
-            begin, end = runs(_IN_WORD[low], at)
+            inside = _IN_WORD[low]
+            begin, end = runs(inside, at[[0, -1]])
             if not len(begin):
                 continue
             hashes = run_hashes(low, begin, end)
-            # an empty last line starts where the next document does; words belong to the later of both
-            owner = np.searchsorted(start, begin, side="right") - 1
-            first = np.searchsorted(owner, np.arange(len(start) + 1))
+            start = np.append(0, np.flatnonzero(raw == 10) + 1)
+            first = np.searchsorted(begin, start)
             some = np.flatnonzero(np.diff(first))
+            doc = np.searchsorted(at, start[some], side="right") - 1
+            line = some - np.searchsorted(start, at)[doc]
             first = np.append(first[some], len(hashes))
-            body, form_at = forms(low, begin, end, first)
+            body, form_at = forms(low, inside, begin, end, first)
             data, cuts = body.tobytes(), form_at.tolist()
             digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]), "<i8").reshape(-1, 2)
-            more = np.concatenate(([0], np.cumsum((body & 0xC0) == 0x80)))  # bytes that don't begin a character
+            more = np.concatenate(([0], np.cumsum((body & 0xC0) == 0x80, dtype=np.int32)))  # bytes that don't begin a character
             size = np.diff(form_at) - np.diff(more[form_at])
             keys, key_at = (np.empty(0, U64), np.zeros(len(some) + 1, np.int64)) if simhash else retrieval_keys(low, begin, end, hashes, first)
-            rows = pa.array(doc[some])
-            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line[some], pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(simhashes(hashes, first).view(np.int64)), pa.array(size, pa.int64())]
+            rows = pa.array(doc)
+            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(simhashes(hashes, first).view(np.int64)), pa.array(size, pa.int64())]
             columns += [pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(keys.view(np.int64))), pa.StringArray.from_buffers(len(some), pa.py_buffer(form_at.astype(np.int32)), pa.py_buffer(body))]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
 
@@ -305,19 +309,22 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     space.drop()
     info = F.struct("sim", "size").alias("info")
     met = space.write(crowd.join(distinct.select("item", info), "item"), "met")
+    wanted = distinct.join(crowd.select("item").distinct(), "item").select("item", "first.*")
+    texts = space.write(keyed.join(wanted, ["doc_id", "body", "line"]).dropDuplicates(["item"]).select("item", "form"), "texts")
+    space.drop()
 
     def near(x: Column, y: Column) -> Column:
         """What the edit similarity implies for lengths, and for SimHashes almost surely; with ``flips`` what the definition asks of these."""
         long = F.greatest(x["size"], y["size"])
         fits = 100 * (long - F.least(x["size"], y["size"])) <= (100 - similarity) * long
         apart = F.bit_count(x["sim"].bitwiseXOR(y["sim"]))
-        return fits & ((apart <= FAR) | (long <= FAR_CHARS) if flips is None else apart <= flips)
+        if flips is not None:
+            return fits & (apart <= flips)
+        for chars, bits in FAR:
+            fits &= (long <= chars) | (apart <= bits)
+        return fits
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        items = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
-        wanted = distinct.join(items, "item").select("item", "first.*")
-        texts = space.write(keyed.join(wanted, ["doc_id", "body", "line"]).dropDuplicates(["item"]).select("item", "form"), f"forms-{name}")
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = [similar_lines(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -334,7 +341,9 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     best = space.write(of.join(best, "group").select("item", "best"), "best")
     stays = distinct.join(best, "item", "left").where("n > 1 or best is not null").select("h1", "h2", F.coalesce("best", "first").alias("stays"))
     gone = keyed.select("doc_id", "body", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(place != F.col("stays"))
-    return gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone"))
+    gone = space.write(gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone")), "gone")
+    space.drop("keyed", "distinct", "crowd", "met", "texts", "best")
+    return gone
 
 
 def _size_pairs(members: DataFrame, near: Callable[[Column, Column], Column], similarity: int) -> DataFrame:

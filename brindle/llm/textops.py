@@ -95,31 +95,37 @@ def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def _lanes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(eight bytes as a number, its place in the run) of all runs in order, and the first of each run; bytes behind a run are 0."""
-    count = np.maximum(1, (ends - starts + 7) >> 3)
-    first = np.cumsum(count) - count
-    place = np.arange(int(count.sum()), dtype=np.int64) - np.repeat(first, count)
-    at = np.repeat(starts, count) + 8 * place
-    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
-    every = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    drop = np.clip(8 - (np.repeat(ends, count) - at), 0, 8).astype(U64) * U64(8)
-    value = np.where(drop < 64, (every[at] << drop) >> drop, U64(0)) if drop.any() else every[at]
-    return value, place, first
+def _lane(every: np.ndarray, at: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, or ``size`` if these are fewer, mixed."""
+    drop = np.clip(8 - size, 0, 7).astype(U64) << U64(3)
+    return mix(mix(((every[at] << drop) >> drop) ^ salt) + salt)
 
 
 def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte run; other seeds give independent ones.
+    """A 64-bit hash of each byte run, none of which is empty; other seeds give independent ones.
 
-    Every eight bytes go through ``mix``, with their place and the run's size, before they are added up: sums of
-    plain multiples would be equal for runs that are easy to construct.
+    Every eight bytes go through ``mix``, with their place, before they are added up: sums of plain multiples would be
+    equal for runs that are easy to construct.
     """
     if not len(starts):
         return np.empty(0, U64)
-    value, place, first = _lanes(raw, starts, ends)
-    salt = mix((place.astype(U64) + U64(1)) * _ODD + U64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1))
-    total = np.add.reduceat(mix(mix(value ^ salt) + salt), first)
-    return mix(total + mix((ends - starts).astype(U64) + salt[first]))
+    salts = lambda place: mix((place.astype(U64) + U64(1)) * _ODD + U64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1))
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    every = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    first = salts(np.arange(4))
+    total = _lane(every, starts, size, first[0])
+    for k in range(1, 4):
+        more = np.flatnonzero(size > 8 * k)
+        if not len(more):
+            break
+        total[more] += _lane(every, starts[more] + 8 * k, size[more] - 8 * k, first[k])
+    if len(more := np.flatnonzero(size > 32)):
+        count = (size[more] + 7 >> 3) - 4
+        begin = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(begin, count) + 4
+        total[more] += np.add.reduceat(_lane(every, np.repeat(starts[more], count) + 8 * place, np.repeat(size[more], count) - 8 * place, salts(place)), begin)
+    return mix(total + mix(size.astype(U64) + first[0]))
 
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
