@@ -7,7 +7,8 @@ least hash of every W consecutive runs (ties: all).  As W + K - 1 = 10, two
 texts that share 10 words share a kept fingerprint inside them, so joining
 fingerprints and extending each hit to both sides finds every shared window.
 Items of fewer than 10 words lie below that guarantee; their whole-item hash is
-looked up among all document runs of the same length.
+looked up among all document runs of the same length.  Hashes only find: what
+is reported has been compared word by word.
 
 A benchmark of at most ``broadcast_bytes`` of text is sent to all tasks, and
 documents are read once without a shuffle.  A larger one is joined: documents
@@ -16,7 +17,8 @@ of the benchmark's fingerprints is applied first.
 
 Nulls: a null text has no words; an item with null id or without words is left
 out.  Rows with null ids, repeated rows and repeated items are kept as they
-are; extra columns are ignored; an empty benchmark leaves all documents clean.
+are; texts of any length are read whole; extra columns are ignored; an empty
+benchmark leaves all documents clean, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import U64, grams, mix, owners, pieces, powers, utf8, words
+from .textops import ASCII_LOWER, U64, grams, mix, owners, pieces, powers, utf8, words
 
 SPAN = 10
 K = 5
@@ -57,15 +59,34 @@ def winnow(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found[keep], place[keep]
 
 
+class Words:
+    """The words of many texts: hashes, and the bytes behind them."""
+
+    def __init__(self, texts: pa.Array):
+        raw, at = utf8(texts)
+        self.hashes, self.first, self.starts, self.ends = words(raw, at, IN_WORD)
+        self.low = ASCII_LOWER[raw].tobytes()
+
+    def list(self, a: int, b: int) -> list[bytes]:
+        return [self.low[i:j] for i, j in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
+
+
+def _equal_runs(x: list[bytes], y: list[bytes], least: int) -> list[tuple[int, int]]:
+    """The runs of at least ``least`` places at which two lists of one size agree."""
+    if x == y:
+        return [(0, len(x))] if len(x) >= least else []
+    other = [-1, *(i for i, (p, q) in enumerate(zip(x, y)) if p != q), len(x)]
+    return [(a + 1, b) for a, b in zip(other, other[1:]) if b - a - 1 >= least]
+
+
 class Benchmark:
     """Items with their words, fingerprints and short-item hashes."""
 
     def __init__(self, ids: list[str], texts: list[str]):
-        raw, at = utf8(pa.array(texts, pa.string()))
-        self.ids = ids
-        self.words, self.first, _, _ = words(raw, at, IN_WORD)
+        self.ids, self.words = ids, Words(pa.array(texts, pa.string()))
+        hashes, self.first = self.words.hashes, self.words.first
         sizes = np.diff(self.first)
-        found, place = winnow(self.words, self.first)
+        found, place = winnow(hashes, self.first)
         order = np.argsort(found, kind="stable")
         self.prints, self.places = found[order], place[order]
         self.item_of = owners(self.first)
@@ -74,13 +95,13 @@ class Benchmark:
             if len(items := np.flatnonzero(sizes == n)):
                 whole = np.zeros(len(items), U64)
                 for i, p in enumerate(powers(n + 1)[1:]):
-                    whole += self.words[self.first[items] + i] * p
+                    whole += hashes[self.first[items] + i] * p
                 order = np.argsort(mix(whole), kind="stable")
                 self.short[n] = mix(whole)[order], items[order]
 
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def hits(self, texts: Words) -> list[tuple[int, int, int, int]]:
         """(document, first word, end word, item) of shared runs; words count from the start of the batch."""
-        out = []
+        out, hashes, first = [], texts.hashes, texts.first
         if len(self.prints):
             found, place = winnow(hashes, first)
             lo = np.searchsorted(self.prints, found)
@@ -94,22 +115,26 @@ class Benchmark:
                     if done.get((doc, at - pos), -1) >= pos:
                         continue  # inside a run that was extended before
                     item = int(self.item_of[at])
-                    a, b = _extend(hashes, pos, int(first[doc]), int(first[doc + 1]), self.words, at, int(self.first[item]), int(self.first[item + 1]))
+                    a, b = _extend(hashes, pos, int(first[doc]), int(first[doc + 1]), self.words.hashes, at, int(self.first[item]), int(self.first[item + 1]))
                     done[doc, at - pos] = b - 1
                     if b - a >= SPAN:
-                        out.append((doc, a, b, item))
+                        out += [(doc, a + i, a + j, item) for i, j in _equal_runs(texts.list(a, b), self.words.list(a + at - pos, b + at - pos), SPAN)]
         for n, (known, items) in self.short.items():
             found, place = grams(hashes, first, n)
             lo = np.searchsorted(known, found)
             owner = owners(first)
             for k in np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == found).tolist():
+                a = int(place[k])
+                mine = texts.list(a, a + n)
                 for e in range(int(lo[k]), int(np.searchsorted(known, found[k], side="right"))):
-                    out.append((int(owner[place[k]]), int(place[k]), int(place[k]) + n, int(items[e])))
+                    begin = int(self.first[items[e]])
+                    if mine == self.words.list(begin, begin + n):
+                        out.append((int(owner[a]), a, a + n, int(items[e])))
         return out
 
 
 def _extend(a: np.ndarray, i: int, a_low: int, a_end: int, b: np.ndarray, j: int, b_low: int, b_end: int) -> tuple[int, int]:
-    """The longest run of equal words around a[i] and b[j]."""
+    """The longest run of equal values around a[i] and b[j]."""
     n = min(a_end - i, b_end - j)
     other = np.flatnonzero(a[i : i + n] != b[j : j + n])
     end = i + (int(other[0]) if len(other) else n)
@@ -133,32 +158,58 @@ def _digest(ids) -> str:
     return hashlib.sha256(",".join(sorted(set(ids))).encode()).hexdigest()
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
+
+
+def _item_bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: its words, the words inside shared windows, the items they come from."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
+    items = _items(benchmark, item_col, item_text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    return _by_broadcast(docs, items) if size <= broadcast_bytes else _by_join(docs, items)
+    return _by_broadcast(docs, items) if _item_bytes(items) <= broadcast_bytes else _by_join(docs, items)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of docs whose text shares no window with the benchmark; all their columns stay."""
-    known = contamination(docs, benchmark, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias("__hit_id")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__hit_id"))
-    return docs.join(known, same, "left_anti")
+    """The rows of docs whose text shares no window with the benchmark; all their columns stay.
 
+    With a benchmark of up to ``broadcast_bytes`` rows are left out as they are
+    read; with a larger one hits are joined by id and text.
+    """
+    items = _items(benchmark, "item_id", "text")
+    if _item_bytes(items) <= broadcast_bytes:
+        sent, place = _sent(items), docs.columns.index("text")
 
-def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Benchmark(*sent.value)
+            for batch in (p for b in batches for p in pieces(b)):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[hit[0] for hit in known.hits(Words(batch.column(place)))]] = False
+                yield batch.filter(pa.array(clean))
+
+        return docs.mapInArrow(run, docs.schema)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = _by_join(plain, items, hit_keys=True).select(F.col("row_key").alias("__hit_key"))
+    return docs.join(known, F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("__hit_key"), "left_anti")
+
+
+def _sent(items: DataFrame):
     rows = items.collect()  # at most broadcast_bytes
-    sent = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    return items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
+    sent = _sent(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Benchmark(*sent.value)
         for batch in (p for b in batches for p in pieces(b)):
-            raw, at = utf8(batch.column(1))
-            hashes, first, _, _ = words(raw, at, IN_WORD)
+            texts = Words(batch.column(1))
             by: dict[int, tuple[list, set]] = {}
-            for doc, a, b, item in known.hits(hashes, first):
+            for doc, a, b, item in known.hits(texts):
                 ranges, seen = by.setdefault(doc, ([], set()))
                 ranges.append((a, b))
                 seen.add(known.ids[item])
@@ -166,7 +217,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
             hit, n_items, digest = np.zeros(n, np.int64), np.zeros(n, np.int64), [_digest(())] * n
             for doc, (ranges, seen) in by.items():
                 hit[doc], n_items[doc], digest[doc] = _covered(ranges), len(seen), _digest(seen)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(hit > 0)], names=[x.split()[0] for x in RESULT_SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(texts.first), pa.int64()), pa.array(hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(hit > 0)], names=[x.split()[0] for x in RESULT_SCHEMA.split(", ")])
 
     return docs.mapInArrow(run, RESULT_SCHEMA)
 
@@ -175,7 +226,7 @@ PRINT_SCHEMA = "row_key long, print long, pos long, around binary, before int, s
 
 
 def _prints(frame: DataFrame, key: str, bits) -> DataFrame:
-    """Fingerprints with up to SPAN - K words to either side, and short whole texts and runs under their own hashes.
+    """Fingerprints with up to SPAN - K words, as text, to either side, and short whole texts and runs under their own hashes.
 
     ``bits`` is None for items, or a broadcast filter and the short lengths for documents.
     """
@@ -184,8 +235,8 @@ def _prints(frame: DataFrame, key: str, bits) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, lengths = bits.value if bits is not None else (None, range(1, SPAN))
         for batch in (p for b in batches for p in pieces(b)):
-            raw, at = utf8(batch.column(1))
-            hashes, first, _, _ = words(raw, at, IN_WORD)
+            texts = Words(batch.column(1))
+            hashes, first = texts.hashes, texts.first
             keys, owner, sizes = batch.column(0).to_numpy(zero_copy_only=False), owners(first), np.diff(first)
             found, place = winnow(hashes, first)
             sets = [(found, place, np.full(len(found), SPAN))]
@@ -203,7 +254,7 @@ def _prints(frame: DataFrame, key: str, bits) -> DataFrame:
             doc = owner[place] if len(place) else place
             low = np.where(kind == SPAN, np.maximum(first[doc], place - (SPAN - K)), place)
             end = np.where(kind == SPAN, np.minimum(first[doc + 1] if len(doc) else doc, place + SPAN), place + kind)
-            around = [hashes[a:b].tobytes() for a, b in zip(low.tolist(), end.tolist())]
+            around = [b" ".join(texts.list(a, b)) for a, b in zip(low.tolist(), end.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(keys[doc], pa.int64()), pa.array(found.view(np.int64)), pa.array(place - first[doc], pa.int64()), pa.array(around, pa.binary()), pa.array(place - low, pa.int32()), pa.array(kind, pa.int32())], names=names)
 
     return frame.select(key, "text").mapInArrow(run, PRINT_SCHEMA)
@@ -215,15 +266,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = batch.to_pydict()
         keys, starts, ends, items = [], [], [], []
         for key, pos, x, bx, y, by, item, kind in zip(c["row_key"], c["pos"], c["around"], c["before"], c["item_around"], c["item_before"], c["item_id"], c["size"]):
-            p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            a, b = _extend(p, bx, 0, len(p), q, by, 0, len(q))
-            if b - a >= kind:
-                keys.append(key), starts.append(pos - bx + a), ends.append(pos - bx + b), items.append(item)
+            p, q = x.split(b" "), y.split(b" ")
+            a, n = -min(bx, by), min(len(p) - bx, len(q) - by)
+            for i, j in _equal_runs(p[bx + a : bx + n], q[by + a : by + n], kind):
+                keys.append(key), starts.append(pos + a + i), ends.append(pos + a + j), items.append(item)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(items, pa.string())], names=["row_key", "a", "b", "item_id"])
 
 
-def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """For benchmarks of any size: rows are named by a hash of id and text, so equal rows share one answer."""
+def _by_join(docs: DataFrame, items: DataFrame, hit_keys: bool = False) -> DataFrame:
+    """For benchmarks of any size: rows are named by a hash of id and text, so equal rows share one answer; ``hit_keys`` gives only the names of hit rows."""
     spark = docs.sparkSession
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     named = items.withColumn("row_key", F.xxhash64("item_id", "text")).distinct()
@@ -236,6 +287,8 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((table, sorted(lengths)))
     item_side = known.join(named.select("row_key", "item_id"), "row_key").select("print", "size", "item_id", F.col("around").alias("item_around"), F.col("before").alias("item_before"))
     shared = _prints(keyed, "row_key", sent).join(item_side, ["print", "size"]).mapInArrow(_shared, "row_key long, a long, b long, item_id string")
+    if hit_keys:
+        return shared.select("row_key").distinct()
     ordered = shared.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges"), F.array_sort(F.collect_set("item_id")).alias("ids"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
     covered = F.aggregate("ranges", start, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")))["n"]
