@@ -3,18 +3,26 @@
 The reader walks the chain of image file directories of either byte order,
 decodes strips or tiles stored plain or by PackBits, LZW or deflate, undoes
 horizontal differencing, and gives one row per page.  A damaged page becomes a
-row whose ``error`` says why; a null or empty column gives no page.
+row whose ``error`` says why, and so does one of more than ``max_samples``
+samples; blocks are unpacked no further than the page needs.
 
 The writer stores a byte payload as 8-bit gray pages of width 64.  Pages hold
-1024 rows; the first is a strip page, later ones alternate between tiles with
-horizontal differencing and strips.  Payloads of one row are PackBits, all
-others deflate, so equal payloads have equal files.
+1024 rows in strips of 256 rows or, every second page, in tiles with horizontal
+differencing.  Payloads of one row are PackBits, those of up to LZW_ROWS rows
+and every third page of longer ones LZW, all others deflate, so equal payloads
+have equal files.
+
+Defined cases: a null file gives no page, an empty one a row with an error; a
+null text is stored like an empty one, as 64 zeros; null ids and repeated rows
+are kept as they are; texts of any length are stored whole; further columns are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -33,16 +41,19 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 
-PAGE_WIDTH, PAGE_ROWS, TILE = 64, 1024, 64
+PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 1024, 256, 64
+LZW_ROWS = 8
+#: Samples of a page that the reader decodes at most.
+MAX_SAMPLES = 1 << 28
 
 
 class TiffError(ValueError):
     """What is wrong with a file or page."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int = sys.maxsize) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < need:
         head = data[i]
         i += 1
         if head < 128:
@@ -82,11 +93,13 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, need: int = sys.maxsize) -> bytes:
     """Most significant bit first, codes of 9 to 12 bits that widen one early."""
     table: list[bytes] = []
-    out, width, held, bits, before = [], 9, 0, 0, b""
+    out, width, held, bits, before, have = [], 9, 0, 0, b"", 0
     for byte in data:
+        if have >= need:
+            break
         held, bits = (held << 8) | byte, bits + 8
         if bits < width:
             continue
@@ -107,6 +120,7 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(entry)
+        have += len(entry)
         if before and len(table) < 4096:
             table.append(before + entry[:1])
         before = entry
@@ -154,7 +168,11 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-UNPACK = {PLAIN: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, need: int = sys.maxsize) -> bytes:
+    return zlib.decompressobj().decompress(data, need)
+
+
+UNPACK = {PLAIN: lambda data, need: bytes(data[:need]), LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 PACK = {PLAIN: bytes, LZW: pack_lzw, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
 
 
@@ -186,13 +204,15 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def page_samples(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
+def page_samples(data: bytes, tags: dict[int, tuple], max_samples: int = MAX_SAMPLES) -> np.ndarray:
     """Samples of one page as (rows, columns, samples)."""
     order = tags[0][0]
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     width, height, samples, bits = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS, 1)
     if not width or not height or bits not in (8, 16) or one(PLANAR, 1) != 1 and samples != 1:
         raise TiffError("unsupported size, depth or plane order")
+    if min(width, height, samples) < 0 or width * height * samples > max_samples:
+        raise TiffError(f"page of more than {max_samples} samples")
     unpack = UNPACK.get(one(COMPRESSION, 1))
     if unpack is None:
         raise TiffError(f"unsupported compression {one(COMPRESSION)}")
@@ -202,8 +222,10 @@ def page_samples(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     tiled = TILE_OFFSETS in tags
     wide, high = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ()))
+    if not wide or not high or wide < 0 or high < 0:
+        raise TiffError("strips or tiles without extent")
     across = -(-width // wide)
-    if not wide or not high or len(offsets) != len(counts) or len(offsets) < across * -(-height // high):
+    if len(offsets) != len(counts) or len(offsets) < across * -(-height // high):
         raise TiffError("too few strips or tiles")
     out = np.zeros((height, width, samples), f"u{bits // 8}")
     for k in range(across * -(-height // high)):
@@ -211,8 +233,10 @@ def page_samples(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
         rows = high if tiled else min(high, height - top)
         if offsets[k] + counts[k] > len(data):
             raise TiffError("strip or tile beyond the end")
-        raw = unpack(data[offsets[k] : offsets[k] + counts[k]])
         need = rows * wide * samples * bits // 8
+        if rows * wide * samples > 4 * max_samples:
+            raise TiffError("tile far larger than a page may be")
+        raw = unpack(data[offsets[k] : offsets[k] + counts[k]], need)
         if len(raw) < need:
             raise TiffError("strip or tile too short")
         part = np.frombuffer(raw[:need], f"{order}u{bits // 8}").reshape(rows, wide, samples).astype(out.dtype)
@@ -222,13 +246,13 @@ def page_samples(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     return out
 
 
-def pages(data: bytes) -> Iterator[tuple[dict[int, tuple], np.ndarray | None, str | None]]:
+def pages(data: bytes, max_samples: int = MAX_SAMPLES) -> Iterator[tuple[dict[int, tuple], np.ndarray | None, str | None]]:
     """(tags, samples, error) of each page."""
     try:
         for tags in directories(data):
             try:
-                yield tags, page_samples(data, tags), None
-            except (ValueError, zlib.error, struct.error, IndexError, KeyError, TypeError) as e:
+                yield tags, page_samples(data, tags, max_samples), None
+            except (ValueError, zlib.error, struct.error, IndexError, KeyError, TypeError, ArithmeticError, MemoryError) as e:
                 yield tags, None, str(e) or type(e).__name__
     except (TiffError, struct.error) as e:
         yield {}, None, str(e)
@@ -284,9 +308,8 @@ def payload_tiff(payload: bytes) -> bytes:
     samples = np.frombuffer(payload, np.uint8).reshape(-1, PAGE_WIDTH)
     images = []
     for k, top in enumerate(range(0, len(samples), PAGE_ROWS)):
-        how = {"compression": PACKBITS if len(samples) == 1 else DEFLATE}
-        if k % 2:
-            how |= {"tile": TILE, "predictor": 2}
+        how = {"compression": PACKBITS if len(samples) == 1 else LZW if len(samples) <= LZW_ROWS or k % 3 == 2 else DEFLATE}
+        how |= {"tile": TILE, "predictor": 2} if k % 2 else {"rows_per_strip": STRIP_ROWS}
         images.append((samples[top : top + PAGE_ROWS], how))
     return write_tiff(images)
 
@@ -314,7 +337,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 PAGES_SCHEMA = "id long, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string"
 
 
-def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", max_samples: int = MAX_SAMPLES) -> DataFrame:
     """One row per page of each file, with its samples in row order (16-bit ones little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +347,7 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
             for i in range(batch.num_rows):
                 if (data := batch.column(1)[i].as_py()) is None:
                     continue
-                for k, (tags, samples, error) in enumerate(pages(data)):
+                for k, (tags, samples, error) in enumerate(pages(data, max_samples)):
                     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default  # noqa: B023, E731
                     row = [batch.column(0)[i].as_py(), k, one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS), one(COMPRESSION, 1), one(PREDICTOR, 1), TILE_OFFSETS in tags, None if samples is None else samples.astype(f"<u{samples.dtype.itemsize}").tobytes(), error]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
