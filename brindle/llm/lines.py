@@ -70,6 +70,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
 FAR = ((40, 24), (100, 19))
 HUB_ROUNDS = 1
+#: Numbers of lines (eight bytes each) that are sent to all tasks to look up texts; more are joined.
+BROADCAST_ITEMS = 1 << 20
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
@@ -163,7 +165,7 @@ def block_keys(hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray,
 
 
 def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of 48 bits, offsets of lines in them); line i has the words first[i]:first[i + 1].  Similar lines share a key, others hardly."""
+    """(keys, offsets of lines in them); line i has the words first[i]:first[i + 1].  Similar lines share a key, others hardly."""
     n_words, size = np.diff(first), end - begin
     bytes_before = np.concatenate(([0], np.cumsum(size)))
     found = []
@@ -184,10 +186,10 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
     found += block_keys(hashes, first)
     key, run = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(run, kind="stable")
-    return key[order] >> U64(16), np.searchsorted(run[order], np.arange(len(n_words) + 1))
+    return key[order], np.searchsorted(run[order], np.arange(len(n_words) + 1))
 
 
-LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, keys array<long>, form string"
+LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, form string"
 
 
 def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +207,8 @@ def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarra
     return out, np.concatenate(([0], ends))[first]
 
 
-def _lines(docs: DataFrame, simhash: bool) -> DataFrame:
-    """One row per line with words: the digest of its normal form, its SimHash, the form's characters, the form and, unless SimHashes decide, its keys."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row per line with words: the digest of its normal form, its SimHash, the form's characters and the form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -228,15 +230,27 @@ def _lines(docs: DataFrame, simhash: bool) -> DataFrame:
             digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]), "<i8").reshape(-1, 2)
             more = np.concatenate(([0], np.cumsum((body & 0xC0) == 0x80, dtype=np.int32)))  # bytes that don't begin a character
             size = np.diff(form_at) - np.diff(more[form_at])
-            keys, key_at = (np.empty(0, U64), np.zeros(len(some) + 1, np.int64)) if simhash else retrieval_keys(low, begin, end, hashes, first)
             rows = pa.array(doc)
             columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(simhashes(hashes, first).view(np.int64)), pa.array(size, pa.int64())]
-            columns += [pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(keys.view(np.int64))), pa.StringArray.from_buffers(len(some), pa.py_buffer(form_at.astype(np.int32)), pa.py_buffer(body))]
+            columns.append(pa.StringArray.from_buffers(len(some), pa.py_buffer(form_at.astype(np.int32)), pa.py_buffer(body)))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text", "body").mapInArrow(run, LINE_SCHEMA)
 
 
+def _keys(distinct: DataFrame) -> DataFrame:
+    """(item, keys) of the forms of distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b, "form")):
+            raw, at = utf8(batch.column(1))
+            begin, end = runs(_IN_WORD[raw], at)
+            keys, key_at = retrieval_keys(raw, begin, end, run_hashes(raw, begin, end), np.searchsorted(begin, at))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(keys.view(np.int64)))], names=["item", "keys"])
+
+    return distinct.select("item", "form").mapInArrow(run, "item long, keys array<long>")
+
+
 def normal_form(line: str) -> str:
     raw = np.frombuffer(line.encode(), np.uint8)
     low = ASCII_LOWER[raw]
@@ -295,23 +309,20 @@ def similar_lines(a: str, b: str, similarity: int) -> bool:
     return edit_distance_within(a, b, (100 - similarity) * max(len(a), len(b)) // 100) is not None
 
 
-def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None) -> DataFrame:
+def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None, broadcast_items: int) -> DataFrame:
     """(doc_id, body, gone): numbers of the lines to remove."""
-    keyed = space.write(_lines(docs.where("doc_id is not null"), flips is not None), "keyed")
+    lines = space.write(_lines(docs.where("doc_id is not null")), "lines")
     place = F.struct("doc_id", "body", "line")
-    distinct = keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("form").alias("form"))
     distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
     space.drop()
     part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
     blocks = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
-    keys = F.col("keys") if flips is None else F.array(*blocks)
-    crowd = hubs.crowded(space, distinct.select(F.explode(keys).alias("key"), "item"), "crowd")
-    space.drop()
+    keys = space.write(_keys(distinct), "keys", "none") if flips is None else distinct.select("item", F.array(*blocks).alias("keys"))
+    crowd = hubs.crowded(space, keys.select(F.explode("keys").alias("key"), "item"), "crowd")
+    space.drop("keys")
     info = F.struct("sim", "size").alias("info")
     met = space.write(crowd.join(distinct.select("item", info), "item"), "met")
-    wanted = distinct.join(crowd.select("item").distinct(), "item").select("item", "first.*")
-    texts = space.write(keyed.join(wanted, ["doc_id", "body", "line"]).dropDuplicates(["item"]).select("item", "form"), "texts")
-    space.drop()
 
     def near(x: Column, y: Column) -> Column:
         """What the edit similarity implies for lengths, and for SimHashes almost surely; with ``flips`` what the definition asks of these."""
@@ -331,6 +342,9 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             trim()
 
+        items = space.write(pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct(), f"items-{name}")
+        items = F.broadcast(items) if items.count() <= broadcast_items else items
+        texts = space.write(distinct.join(items, "item").select("item", "form"), f"texts-{name}")
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
@@ -340,9 +354,9 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     best = grouped.groupBy("group").agg(F.min("first").alias("best"))
     best = space.write(of.join(best, "group").select("item", "best"), "best")
     stays = distinct.join(best, "item", "left").where("n > 1 or best is not null").select("h1", "h2", F.coalesce("best", "first").alias("stays"))
-    gone = keyed.select("doc_id", "body", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(place != F.col("stays"))
+    gone = lines.select("doc_id", "body", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(place != F.col("stays"))
     gone = space.write(gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone")), "gone")
-    space.drop("keyed", "distinct", "crowd", "met", "texts", "best")
+    space.drop("lines", "distinct", "crowd", "met", "best")
     return gone
 
 
@@ -375,10 +389,10 @@ def _kept_lines(text: str, gone: list[int] | None) -> tuple[str, int]:
 RESULT_SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
 
-def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS) -> DataFrame:
+def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
     """One row per document: its lines, how many were removed, and the digest of the rest."""
     docs = _with_body(docs)
-    gone = _decided(docs, similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips)
+    gone = _decided(docs, similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips, broadcast_items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -389,9 +403,9 @@ def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int =
     return docs.join(gone, ["doc_id", "body"], "left").select("doc_id", "text", "gone").mapInArrow(run, RESULT_SCHEMA)
 
 
-def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
     """docs with the repeated lines taken out of ``text`` and ``n_chars``, if there is one, counted anew; null texts stay null."""
-    gone = _decided(_with_body(docs), similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips)
+    gone = _decided(_with_body(docs), similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips, broadcast_items)
     gone = gone.select(F.col("doc_id").alias("__line_id"), F.col("body").alias("__line_body"), F.col("gone").alias("__line_gone"))
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")
