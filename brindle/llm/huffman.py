@@ -172,7 +172,6 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str = toke
     tie = F.xxhash64("text")
     ordered = plain.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     ids = space.write(_tokenised(ordered, tokenizer, end_id), "ids")
-    space.drop()
     # As many rows as the vocabulary has ids, and as there are partitions.
     counts = ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     totals = sorted(ids.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n")).collect())

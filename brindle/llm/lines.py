@@ -70,8 +70,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
 FAR = ((40, 24), (100, 19))
 HUB_ROUNDS = 1
-#: Numbers of lines (eight bytes each) that are sent to all tasks to look up texts; more are joined.
-BROADCAST_ITEMS = 1 << 20
+#: Bytes of what is sent to all tasks (numbers of lines to look up, lines to remove); more is joined.
+BROADCAST_BYTES = 16 << 20
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
@@ -309,13 +309,12 @@ def similar_lines(a: str, b: str, similarity: int) -> bool:
     return edit_distance_within(a, b, (100 - similarity) * max(len(a), len(b)) // 100) is not None
 
 
-def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None, broadcast_items: int) -> DataFrame:
-    """(doc_id, body, gone): numbers of the lines to remove."""
+def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None, broadcast_bytes: int) -> DataFrame:
+    """(doc_id, body, gone): numbers of the lines to remove, to be broadcast if they are few."""
     lines = space.write(_lines(docs.where("doc_id is not null")), "lines")
     place = F.struct("doc_id", "body", "line")
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("form").alias("form"))
     distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
-    space.drop()
     part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
     blocks = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
     keys = space.write(_keys(distinct), "keys", "none") if flips is None else distinct.select("item", F.array(*blocks).alias("keys"))
@@ -343,7 +342,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
             trim()
 
         items = space.write(pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct(), f"items-{name}")
-        items = F.broadcast(items) if items.count() <= broadcast_items else items
+        items = F.broadcast(items) if 16 * items.count() <= broadcast_bytes else items
         texts = space.write(distinct.join(items, "item").select("item", "form"), f"texts-{name}")
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
@@ -357,7 +356,8 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     gone = lines.select("doc_id", "body", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(place != F.col("stays"))
     gone = space.write(gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone")), "gone")
     space.drop("lines", "distinct", "crowd", "met", "best")
-    return gone
+    size = gone.agg(F.sum(4 * F.size("gone") + 48)).first()[0] or 0
+    return F.broadcast(gone) if size <= broadcast_bytes else gone
 
 
 def _size_pairs(members: DataFrame, near: Callable[[Column, Column], Column], similarity: int) -> DataFrame:
@@ -389,10 +389,10 @@ def _kept_lines(text: str, gone: list[int] | None) -> tuple[str, int]:
 RESULT_SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
 
-def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
+def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: its lines, how many were removed, and the digest of the rest."""
     docs = _with_body(docs)
-    gone = _decided(docs, similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips, broadcast_items)
+    gone = _decided(docs, similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips, broadcast_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -403,9 +403,9 @@ def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int =
     return docs.join(gone, ["doc_id", "body"], "left").select("doc_id", "text", "gone").mapInArrow(run, RESULT_SCHEMA)
 
 
-def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int = HUB_ROUNDS, flips: int | None = FLIPS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the repeated lines taken out of ``text`` and ``n_chars``, if there is one, counted anew; null texts stay null."""
-    gone = _decided(_with_body(docs), similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips, broadcast_items)
+    gone = _decided(_with_body(docs), similarity, hub_rounds, Workspace(docs.sparkSession, "lines"), flips, broadcast_bytes)
     gone = gone.select(F.col("doc_id").alias("__line_id"), F.col("body").alias("__line_body"), F.col("gone").alias("__line_gone"))
     text = F.col("text").cast("string")
     lines = F.split(text, "\n")

@@ -21,7 +21,8 @@ linked when ``100 * |A n B| >= threshold * |A u B|`` on the full sets.
 
 Nulls: a null text has no words; a row with a null id keeps its counts, is
 linked with nothing and is kept, with a null component.  Rows that repeat an
-id are one document.  Extra columns are ignored.
+id are judged each by its own text.  Texts of any length are read whole.  Extra columns are ignored,
+whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from .workspace import Workspace
 SHINGLE, THRESHOLD = 5, 80
 BANDS, ROWS = 32, 5
 HUB_ROUNDS = 2
-#: Up to so many ids of candidates are sent to all tasks; beyond, texts are joined with them.
-BROADCAST_IDS = 300_000
+#: Up to so many ids (eight bytes each) are sent to all tasks; beyond, texts are joined with them.
+BROADCAST_IDS = 1 << 20
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[32] = _IN_WORD[9:14] = False
@@ -168,7 +169,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: int, space: Wo
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.item") < F.col("y.item")) & (F.col("x.component") != F.col("y.component")) & room).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept."""
     space = Workspace(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     similar_size = lambda x, y: 100 * F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
     met = hubs.crowded(space, classes.select(F.explode("keys").alias("key"), F.col("rep").alias("item"), F.col("n_shingles").alias("n")), "met").select("key", "item", F.struct("n").alias("info"))
     few = space.write(met.select(F.col("item").alias("doc_id")).distinct(), "candidates")
-    few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    few = F.broadcast(few) if few.count() <= broadcast_ids else few
     sets = space.write(_sets(docs.join(few, "doc_id", "left_semi"), shingle), "sets")
     confirm = lambda pairs, name: space.write(_confirmed(pairs, sets, threshold), name, batch_rows=128)
     stars = hubs.components(space, met, similar_size, confirm, hub_rounds, lambda members: _prefix_pairs(members, sets, threshold, space))
@@ -188,7 +189,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs but those of documents linked, over any number of links, with one of a smaller id."""
-    gone = near_duplicates(docs, **how).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, **how) -> DataFrame:
+    """The rows of docs but those of documents linked, over any number of links, with one of a smaller id; rows with a null id stay.
+
+    Up to ``broadcast_ids`` ids to leave out are sent to where the texts are read.
+    """
+    gone = near_duplicates(docs, broadcast_ids=broadcast_ids, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = Workspace(docs.sparkSession, "gone").write(gone, "ids")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

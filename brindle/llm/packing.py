@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .textops import U64, mix, pieces
-from .workspace import Workspace
+from .workspace import Workspace, partitions
 
 SIZE = 2048
 ROW_IDS = 4096
+#: Stored bytes of ids for one stretch of the curve; the number of stretches grows with the table.
+STRETCH_BYTES = 32 << 20
 BUCKETS, AXES, AXIS_BITS = 1024, 4, 15
 
 
@@ -159,5 +161,6 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = 1, tokenizer: str = to
     space = Workspace(docs.sparkSession, "packing")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = space.write(_placed(plain, tokenizer, end_id), "placed")
-    stretch = placed.repartitionByRange("place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start", "doc_tokens").select("doc_id", "start", "doc_tokens", "ids")
+    n = partitions(docs.sparkSession, space.size("placed"), STRETCH_BYTES)
+    stretch = placed.repartitionByRange(n, "place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start", "doc_tokens").select("doc_id", "start", "doc_tokens", "ids")
     return stretch.mapInArrow(lambda batches: _packed(batches, size, with_ids), PIECE_SCHEMA + ", ids binary" * with_ids)

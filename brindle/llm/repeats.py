@@ -446,7 +446,6 @@ def _shared_contexts(space: Workspace, docs: DataFrame, length: int, hot: int, b
         buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
     chunks = space.write(_chunks(named), "chunks", "none")
     flags = space.write(_named(chunks, length, buckets).groupBy("bucket").applyInArrow(_flagged(hot), PART_SCHEMA), "flags", "none")
-    space.drop()
     contexts = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_contexts(length, buckets), PART_SCHEMA)
     return chunks, contexts
 
