@@ -102,24 +102,19 @@ def collatz_error(n: Column | str) -> Column:
     return F.when(col(n) < 1, F.format_string("Error with value %d: Input must be greater than zero", col(n).cast("long")))
 
 
-def _factors(n: int) -> list[int]:
-    """Prime factors of a positive integer, ascending: trial division by small numbers, then Pollard's rho."""
-    out = []
-    for p in (2, 3, 5):
-        while n % p == 0:
-            out.append(p)
-            n //= p
-    p, step = 7, 0
-    gaps = (4, 2, 4, 2, 4, 6, 2, 6)
-    while p * p <= n and p < 3000:
-        while n % p == 0:
-            out.append(p)
-            n //= p
-        p, step = p + gaps[step], (step + 1) % 8
-    waiting = [n] if n > 1 else []
+SMALL = 3000
+
+
+def _small_primes() -> list[int]:
+    return [p for p in range(2, SMALL) if all(p % d for d in range(2, math.isqrt(p) + 1))]
+
+
+def _large_factors(n: int) -> list[int]:
+    """Prime factors of an integer without small ones, ascending, by Pollard's rho."""
+    out, waiting = [], [n] if n > 1 else []
     while waiting:
         n = waiting.pop()
-        if n < 9_000_000 or _is_prime(n):
+        if n < SMALL * SMALL or _is_prime(n):
             out.append(n)
         else:
             d = _divisor(n)
@@ -161,8 +156,29 @@ def _divisor(n: int) -> int:
 
 @pandas_udf(ArrayType(LongType()))
 def prime_factors(n: pd.Series) -> pd.Series:
-    """Prime factors in ascending order, repeated as often as they divide; NULL below 1."""
-    return pd.Series([None if pd.isna(x) or x < 1 else _factors(int(x)) for x in n], dtype=object)
+    """Prime factors in ascending order, repeated as often as they divide; NULL below 1.
+
+    Small primes divide all numbers of a batch at once; what they leave is prime, or goes to Pollard's rho.
+    """
+    valid = (n.notna() & (n.fillna(0) >= 1)).to_numpy()
+    left = np.where(valid, n.fillna(1), 1).astype(np.int64)
+    rows, factors = [], []
+    for p in _small_primes():
+        at = np.flatnonzero(left % p == 0)
+        while len(at):
+            left[at] //= p
+            rows.append(at), factors.append(np.full(len(at), p))
+            at = at[left[at] % p == 0]
+        if (left < p * p).all():
+            break
+    for i in np.flatnonzero(left > 1):
+        more = _large_factors(int(left[i])) if left[i] >= SMALL * SMALL else [int(left[i])]
+        rows.append(np.full(len(more), i)), factors.append(np.array(more, np.int64))
+    row = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    factor = np.concatenate(factors) if factors else np.empty(0, np.int64)
+    order = np.lexsort((factor, row))
+    parts = np.split(factor[order], np.searchsorted(row[order], np.arange(1, len(n)))) if len(n) else []
+    return pd.Series([x if ok else None for x, ok in zip(parts, valid)], dtype=object)
 
 
 @pandas_udf(LongType())

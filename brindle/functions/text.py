@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import string
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from .columns import chars, col, long, lookup, num, total
 
@@ -25,11 +22,19 @@ TEMPERATURE_UNITS, SPEED_UNITS = ("°C", "°F"), ("km/h", "mph")
 # ---- words and letters ------------------------------------------------------------------------------
 
 
+def word_parts(phrase: Column | str) -> Column:
+    """What lies between white space and punctuation but for apostrophes, lowered; ``clean_word`` makes words of it."""
+    return F.split(F.lower(col(phrase)), r"(?U)[\s[\p{P}&&[^']]]+")
+
+
+def clean_word(part: Column | str) -> Column:
+    """A part without marks and outer apostrophes; empty if nothing is left."""
+    return trim_quotes(F.regexp_replace(col(part), r"[^\p{L}\p{Nd}']", ""))
+
+
 def word_split(phrase: Column | str) -> Column:
     """Words of a phrase: lowered, cut at white space and punctuation but for apostrophes, other marks dropped, outer apostrophes trimmed."""
-    parts = F.split(F.regexp_replace(F.lower(col(phrase)), r"(?U)[\s[\p{P}&&[^']]]+", " "), " ")
-    words = F.transform(parts, lambda w: trim_quotes(F.regexp_replace(w, r"[^\p{L}\p{Nd}']", "")))
-    return F.filter(words, lambda w: w != "")
+    return F.filter(F.transform(word_parts(phrase), clean_word), lambda w: w != "")
 
 
 def trim_quotes(word: Column | str) -> Column:
@@ -105,8 +110,10 @@ def isbn_digit_value(digit: Column | str) -> Column:
 def is_isbn(isbn: Column | str) -> Column:
     """Ten digits but for dashes, the last of which may be a final X, with weighted sum 0 modulo 11."""
     plain = F.replace(col(isbn), F.lit("-"), F.lit(""))
-    weighted = F.transform(chars(plain), lambda c, i: isbn_digit_value(c) * (10 - i))
-    shaped = plain.rlike("^[0-9]{9}[0-9X]$") & ~col(isbn).rlike("X.") & ~plain.contains("\n")
+    digits = chars(plain)
+    weighted = F.transform(digits, lambda c, i: isbn_digit_value(c) * (10 - i))
+    marked = F.transform(digits, lambda c, i: isbn_digit_valid(c, i, F.size(digits)))
+    shaped = (F.size(digits) == 10) & F.forall(marked, lambda ok: ok) & ~col(isbn).rlike("X.")
     return F.when(col(isbn).isNotNull(), F.when(shaped, total(weighted) % 11 == 0).otherwise(False))
 
 
@@ -218,10 +225,11 @@ def fizz_buzz(limit: Column | str) -> Column:
     return F.when(col(limit) >= 1, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).when(col(limit).isNotNull(), "")
 
 
-@pandas_udf(StringType())
-def one_decimal(values: pd.Series) -> pd.Series:
-    """One decimal of the exact binary value, ties to even; the JVM formats the shortest decimal instead."""
-    return values.map(lambda x: None if pd.isna(x) else f"{x:.1f}")
+def one_decimal(value: Column | str) -> Column:
+    """One decimal of the exact binary value, ties to even."""
+    x = col(value).cast("double")
+    shown = F.call_function("format_number", x, F.lit("0.0"))
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "+Inf").when(x == float("-inf"), "-Inf").otherwise(shown)
 
 
 # ---- templates ----------------------------------------------------------------------------------------------------

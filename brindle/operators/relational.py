@@ -12,13 +12,13 @@ BOOKS = "title string, author string, price double, in_stock bigint, ins_seq big
 
 
 def keep(df: DataFrame, predicate: Column) -> DataFrame:
-    """The rows for which the predicate holds."""
-    return df.filter(F.coalesce(predicate, F.lit(False)))
+    """The rows for which the predicate holds; the scan gets it as a filter."""
+    return df.filter(predicate)
 
 
 def discard(df: DataFrame, predicate: Column) -> DataFrame:
     """All other rows, also those for which it is unknown: keep and discard make up df."""
-    return df.filter(~F.coalesce(predicate, F.lit(False)))
+    return df.filter(~predicate | predicate.isNull())
 
 
 # ---- a store of books, in order of insertion ---------------------------------------------------------------
@@ -56,19 +56,25 @@ def inventory_value(df: DataFrame, price: str, quantity: str, by: list[str] | No
 
 def sell(df: DataFrame, sales: DataFrame, key: str, stock: str) -> DataFrame:
     """Stock after sales of one each: sold while there is any, the rest rejected."""
-    asked = sales.groupBy(key).agg(F.count("*").alias("asked"))
+    asked = sales.groupBy(key).agg(F.count("*").alias("__asked"))
     zero = F.lit(0).cast("long")
-    sold = F.least(F.greatest(F.col(stock), zero), F.coalesce("asked", zero))
-    return df.join(asked, key, "left").select(*[c for c in df.columns if c != stock], (F.col(stock) - sold).alias(stock), sold.alias("sold"), (F.coalesce("asked", zero) - sold).alias("rejected"))
+    sold = F.least(F.greatest(F.col(stock), zero), F.coalesce("__asked", zero))
+    return df.join(asked, key, "left").select(*[c for c in df.columns if c != stock], (F.col(stock) - sold).alias(stock), sold.alias("sold"), (F.coalesce("__asked", zero) - sold).alias("rejected"))
 
 
 # ---- counts ---------------------------------------------------------------------------------------------------
 
 
 def word_counts(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Occurrences of each word; counted before the shuffle."""
-    words = df.select(*(by or []), F.explode(text.word_split(column)).alias("word"))
-    return words.groupBy(*(by or []), "word").agg(F.count("*").alias("n"))
+    """Occurrences of each word in ``n``.
+
+    Parts of the text are counted as they are, before the shuffle; only distinct ones are cleaned, and what
+    becomes the same word is added up.
+    """
+    by = by or []
+    parts = df.select(*by, F.explode(text.word_parts(column)).alias("__part")).groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    words = parts.select(*by, text.clean_word("__part").alias("word"), "__n").where(F.col("word") != "")
+    return words.groupBy(*by, "word").agg(F.sum("__n").alias("n"))
 
 
 def anagram_pairs(words: DataFrame, column: str = "word") -> DataFrame:
@@ -90,21 +96,21 @@ def invert_map(df: DataFrame, key: str, values: str) -> DataFrame:
 # ---- windows by position -----------------------------------------------------------------------------------------
 
 
-def positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Row number from 0 within each key."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+def positions(df: DataFrame, key: str, order: list[str], name: str = "position") -> DataFrame:
+    """Row number from 0 within each key, as the column ``name``."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
 def tumbling_totals(df: DataFrame, key: str, order: list[str], value: str, size: int = 7) -> DataFrame:
     """Sums of each whole run of ``size`` rows of a key; an unfinished run is left out."""
-    run = positions(df.select(key, *order, F.col(value).cast("decimal(18,2)").alias("v")), key, order)
-    week = F.expr(f"position div {size} + 1").cast("long").alias("week")
-    return run.groupBy(key, week).agg(F.sum("v").cast("decimal(28,2)").alias("total"), F.count("*").alias("n")).where(F.col("n") == size).drop("n")
+    run = positions(df.select(key, *order, F.col(value).cast("decimal(18,2)").alias("__v")), key, order, "__position")
+    week = F.expr(f"__position div {size} + 1").cast("long").alias("week")
+    return run.groupBy(key, week).agg(F.sum("__v").cast("decimal(28,2)").alias("total"), F.count("*").alias("__n")).where(F.col("__n") == size).drop("__n")
 
 
 def fix_alternate(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """One more on the first and every second row of a key."""
-    return positions(df, key, order).withColumn(value, F.col(value) + F.when(F.col("position") % 2 == 0, 1).otherwise(0))
+    return positions(df, key, order, "__position").withColumn(value, F.col(value) + F.when(F.col("__position") % 2 == 0, 1).otherwise(0)).drop("__position")
 
 
 def units_table(spark: SparkSession) -> DataFrame:

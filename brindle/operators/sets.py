@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,10 @@ class BitSet:
 
     def test(self, df: DataFrame, position: str, name: str = "there") -> DataFrame:
         """df with whether its position is in the set; NULL outside the capacity."""
-        found = df.withColumn("word", bits.word_index(position)).join(self.rows, "word", "left")
+        rows = self.rows.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+        found = df.withColumn("__at", bits.word_index(position)).join(rows, F.col("__at") == F.col("__word"), "left")
         inside = F.col(position) >= 0 if self.size is None else F.col(position).between(0, bits.capacity(self.size) - 1)
-        return found.withColumn(name, F.when(inside, F.coalesce(bits.test_bit("bits", position), F.lit(False)))).drop("word", "bits")
+        return found.withColumn(name, F.when(inside, F.coalesce(bits.test_bit("__bits", position), F.lit(False)))).drop("__at", "__word", "__bits")
 
     def count(self) -> DataFrame:
         return self.rows.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long").alias("n"))
@@ -61,12 +64,16 @@ class BloomFilter:
     def contains(self, df: DataFrame, element: str, set_bits: DataFrame, name: str = "maybe") -> DataFrame:
         """df with whether all bits of its element are set: no member is ever missed.
 
-        The m bits are one array sent to all tasks while m is small; a larger filter is joined bit by bit.
+        While m is small, the bits are one array of 64-bit words, from a scalar subquery; a larger filter is joined bit by bit.
         """
         if self.m <= 1 << 16:
-            all_bits = set_bits.agg(F.collect_set("bit").alias("all_bits"))  # one row of at most m numbers
-            return df.crossJoin(F.broadcast(all_bits)).withColumn(name, F.forall(self.positions(element), lambda b: F.array_contains("all_bits", b))).drop("all_bits")
-        elements = df.select(F.col(element).alias("_e")).distinct()
-        probed = elements.select("_e", F.explode(self.positions("_e")).alias("bit")).join(set_bits.withColumn("set", F.lit(True)), "bit", "left")
-        known = probed.groupBy("_e").agg(F.bool_and(F.coalesce("set", F.lit(False))).alias(name))
-        return df.join(known, F.col(element).eqNullSafe(F.col("_e")), "left").drop("_e")
+            words = set_bits.groupBy(bits.word_index("bit").alias("word")).agg(F.bit_or(bits.word_mask("bit")).alias("bits"))
+            by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))  # at most m / 64 of them
+            table = words.agg(by_word.alias("by_word")).select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((self.m - 1) // bits.WORD).cast("long")), lambda w: F.coalesce(F.try_element_at(F.col("by_word"), w), F.lit(0).cast("long"))).alias("words"))
+            held = table.scalar()
+            probes = [h(element) % self.m for h in self.hashes]
+            return df.withColumn(name, functools.reduce(operator.and_, [bits.test_bit(F.get(held, bits.word_index(p).cast("int")), p) for p in probes]))
+        elements = df.select(F.col(element).alias("__e")).distinct()
+        probed = elements.select("__e", F.explode(self.positions("__e")).alias("bit")).join(set_bits.select("bit", F.lit(True).alias("set")), "bit", "left")
+        known = probed.groupBy("__e").agg(F.bool_and(F.coalesce("set", F.lit(False))).alias(name))
+        return df.join(known, F.col(element).eqNullSafe(F.col("__e")), "left").drop("__e")

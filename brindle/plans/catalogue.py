@@ -87,7 +87,8 @@ def word_count(spark, d):
     return relational.word_counts(table(spark, d, "documents"), "text")
 
 
-@query((9, 10), f"""WITH {_WORDS_SQL}, k AS (SELECT DISTINCT word, array_to_string(list_sort(string_split(lower(word), '')), '') letters FROM n WHERE word <> '')
+@query((9, 10), f"""WITH {_WORDS_SQL}, u AS MATERIALIZED (SELECT DISTINCT word FROM n WHERE word <> ''),
+k AS MATERIALIZED (SELECT word, array_to_string(list_sort(string_split(lower(word), '')), '') letters FROM u)
 SELECT a.word, b.word other FROM k a JOIN k b ON a.letters = b.letters AND lower(a.word) <> lower(b.word)""")
 def anagram_pairs(spark, d):
     return relational.anagram_pairs(relational.word_counts(table(spark, d, "documents"), "text"))
@@ -236,6 +237,21 @@ def bill_fold(spark, d):
     return folded.select("l_suppkey", arrays.bill_quantity("bill", "peas")["quantity"].alias("quantity"), "accepted")
 
 
+_ITEM_SQL = "CASE l_partkey % 3 WHEN 0 THEN 'peas' WHEN 1 THEN 'corn' ELSE 'rice' END"
+
+
+@query((34, 36, 37), f"""WITH RECURSIVE o AS (SELECT l_suppkey, item, row_number() OVER (PARTITION BY l_suppkey, item ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) rn, CASE WHEN l_quantity > 20 THEN 'add' ELSE 'remove' END op, quantity
+  FROM (SELECT *, {_UNIT_SQL} unit, {_ITEM_SQL} item FROM lineitem) LEFT JOIN {_UNIT_VALUES} USING (unit)),
+r(l_suppkey, item, rn, bill) AS (SELECT DISTINCT l_suppkey, item, 0::bigint, NULL::bigint FROM o UNION ALL
+  SELECT r.l_suppkey, r.item, o.rn, CASE WHEN o.quantity IS NULL THEN bill WHEN op = 'add' THEN coalesce(bill, 0) + o.quantity WHEN bill = o.quantity THEN NULL WHEN bill > o.quantity THEN bill - o.quantity ELSE bill END
+  FROM r JOIN o ON o.l_suppkey = r.l_suppkey AND o.item = r.item AND o.rn = r.rn + 1)
+SELECT l_suppkey, item, bill quantity FROM (SELECT *, max(rn) OVER (PARTITION BY l_suppkey, item) m FROM r) WHERE rn = m AND bill IS NOT NULL""")
+def bill_items(spark, d):
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(F.col("l_quantity") > 20, "add").otherwise("remove").alias("op"), F.expr(_ITEM_SQL).alias("item"), F.expr(_UNIT_SQL).alias("unit"))
+    folded = stateful.bills(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+    return folded.select("l_suppkey", F.explode("bill").alias("item", "quantity"))
+
+
 _COLOURS_SQL = "['black', 'brown', 'red', 'orange', 'yellow', 'green', 'blue', 'violet', 'grey', 'white']"
 
 
@@ -326,10 +342,15 @@ def reverse(spark, d):
 
 
 @query((65, 66), """SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z]'))) = 26 pangram,
-len(list_distinct(regexp_extract_all(lower(string_split(text, ' ')[1]), '\\p{L}'))) = len(regexp_extract_all(lower(string_split(text, ' ')[1]), '\\p{L}')) isogram FROM documents""")
+len(list_distinct(regexp_extract_all(lower(text), '\\p{L}'))) = len(regexp_extract_all(lower(text), '\\p{L}')) isogram FROM documents""")
 def letters_once(spark, d):
-    first = F.get(F.split("text", " "), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", text.is_pangram("text").alias("pangram"), text.is_isogram(first).alias("isogram"))
+    return table(spark, d, "documents").select("doc_id", text.is_pangram("text").alias("pangram"), text.is_isogram("text").alias("isogram"))
+
+
+@query((66,), """SELECT p_partkey, len(list_distinct(regexp_extract_all(lower(p_name), '\\p{L}'))) = len(regexp_extract_all(lower(p_name), '\\p{L}')) isogram,
+len(list_distinct(regexp_extract_all(lower(p_brand), '\\p{L}'))) = len(regexp_extract_all(lower(p_brand), '\\p{L}')) brand_isogram FROM part""")
+def isograms(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.is_isogram("p_name").alias("isogram"), text.is_isogram("p_brand").alias("brand_isogram"))
 
 
 @query((67, 68, 69), """WITH t AS (SELECT p_partkey, lpad((p_partkey * 7919 % 1000000000)::varchar, 9, '0') || CASE WHEN p_size % 11 = 10 THEN 'X' ELSE (p_size % 11)::varchar END s FROM part)
@@ -363,6 +384,12 @@ def caesar(spark, d):
     return table(spark, d, "part").select("p_partkey", text.rotate("p_name", 13).alias("rot13"), cipher.encode("p_name").alias("caesar"), cipher.decode(cipher.encode("p_name")).alias("back"))
 
 
+@query((75, 77, 78, 79), f"""SELECT s_suppkey, translate(regexp_replace(lower(s_name), '[^a-z]', '', 'g'), '{_ABC}', '{_ABC[7:]}{_ABC[:7]}') encoded, regexp_replace(lower(s_name), '[^a-z]', '', 'g') decoded FROM supplier""")
+def shift_cipher(spark, d):
+    cipher = text.Shift.new(7)
+    return table(spark, d, "supplier").select("s_suppkey", cipher.encode("s_name").alias("encoded"), cipher.decode(cipher.encode("s_name")).alias("decoded"))
+
+
 @query((76, 80, 81), """WITH t AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z]', '', 'g') s FROM part)
 SELECT p_partkey, coalesce(array_to_string([chr(((ascii(s[i]) - 97 + ascii(('lemon')[(i - 1) % 5 + 1]) - 97) % 26 + 97)::int) for i in range(1, len(s) + 1)], ''), '') encoded, s decoded FROM t""")
 def vigenere(spark, d):
@@ -425,6 +452,13 @@ def sorting_room(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", thing.alias("t")).select("s_suppkey", text.describe_anything("t").alias("said"), text.extract_fancy("t.kind", text.fancy_value("t")).alias("extracted"))
 
 
+@query((106, 107, 110), """SELECT s_suppkey, printf('This is the number %.1f', s_acctbal / 3) number, printf('This is a box containing the number %.1f', s_acctbal / 7) box,
+CASE WHEN s_suppkey % 2 = 0 THEN printf('This is a fancy box containing the number %.1f', s_nationkey::double) ELSE 'This is a fancy box containing the number 0.0' END fancy FROM supplier""")
+def number_boxes(spark, d):
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "fancy").otherwise("other_fancy")
+    return table(spark, d, "supplier").select("s_suppkey", text.describe_number(F.col("s_acctbal") / 3).alias("number"), text.describe_box(F.col("s_acctbal") / 7).alias("box"), text.describe_fancy(kind, F.col("s_nationkey").cast("string")).alias("fancy"))
+
+
 # ---- numbers and time ---------------------------------------------------------------------------------------------------------
 
 
@@ -502,6 +536,13 @@ def bitset_test(spark, d):
     return chosen.test(events.select("event_id", "user_id"), "user_id")
 
 
+@query((131, 132, 133), """SELECT event_id, xor(-1::bigint, CASE WHEN user_id % 64 = 63 THEN (-9223372036854775808)::bigint ELSE 1::bigint << (user_id % 64)::int END) cleared, false there, user_id // 64 word FROM events WHERE user_id >= 0""")
+def bit_words(spark, d):
+    """Every position of a full word, cleared and tested."""
+    full = table(spark, d, "events").where("user_id >= 0").select("event_id", "user_id", bits.clear_bit(F.lit(-1).cast("long"), "user_id").alias("cleared"))
+    return full.select("event_id", "cleared", bits.test_bit("cleared", "user_id").alias("there"), bits.word_index("user_id").alias("word"))
+
+
 _FNV = "list_reduce(list_prepend(2166136261::bigint, [ascii(c)::bigint for c in string_split(p_brand, '')]), {})"
 _FNV1 = _FNV.format("lambda h, b: xor((h * 16777619) & 4294967295, b)")
 _FNV1A = _FNV.format("lambda h, b: (xor(h, b) * 16777619) & 4294967295")
@@ -529,6 +570,23 @@ def guess_game(spark, d):
     return spark.createDataFrame(list(enumerate(iterative.guess_trace(42, 7), 1)), "trial int, guess int")
 
 
+@query((138, 139, 140), "SELECT 1000::bigint n, true dies, true all_sides, true energies, true animals, true differ")
+def dice_ranges(spark, d):
+    """What holds for any seed: the ranges, all sides seen, and the animals in some order."""
+    rolled, animals = dice(spark, d), F.array(*map(F.lit, sorted(sampling.ANIMALS)))
+    inside = lambda c, low, high: F.bool_and((F.col(c) >= low) & (F.col(c) < high))
+    return rolled.agg(F.count("*").alias("n"), inside("die", 1, 21).alias("dies"), (F.count_distinct("die") == 20).alias("all_sides"), inside("energy", 0, 12).alias("energies"), F.bool_and(F.array_sort("animals") == animals).alias("animals"), (F.count_distinct("animals") > 1).alias("differ"))
+
+
+@query((155,), "SELECT n_nationkey, n_nationkey * 4 + 1 target, n_nationkey * 4 + 1 AS last, true inside, true once FROM nation")
+def guess_games(spark, d):
+    """A game for each nation: the last guess is the target, all are from 1 to 100, and none comes twice."""
+    games = [(k, guess) for k in range(25) for guess in enumerate(iterative.guess_trace(4 * k + 1, k))]
+    rows = spark.createDataFrame([(k, i, g) for k, (i, g) in games], "n_nationkey bigint, trial bigint, guess bigint")
+    ends = rows.groupBy("n_nationkey").agg(F.max_by("guess", "trial").alias("last"), F.bool_and(F.col("guess").between(1, 100)).alias("inside"), (F.count_distinct("guess") == F.count("*")).alias("once"))
+    return table(spark, d, "nation").select("n_nationkey").join(ends, "n_nationkey").select("n_nationkey", (F.col("n_nationkey") * 4 + 1).alias("target"), "last", "inside", "once")
+
+
 # ---- state ---------------------------------------------------------------------------------------------------------------------------------
 
 

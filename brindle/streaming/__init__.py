@@ -1,7 +1,8 @@
-"""Keyed state over streams: counters and stock that change event by event."""
+"""Keyed state over streams: counters, stock and bills that change event by event."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.arrays import UNITS
+
 
 def vote_stream(events: DataFrame, candidate: str, increment: str) -> DataFrame:
     """The counter of each candidate, for output mode update or complete."""
@@ -28,3 +31,30 @@ def stock_stream(sales: DataFrame, title: str, initial: int) -> DataFrame:
 
     schema = "in_stock long, sold long, rejected long"
     return sales.groupBy(F.col(title).alias("title")).applyInPandasWithState(step, f"title string, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
+
+
+def bill_stream(ops: DataFrame, key: str, order: str) -> DataFrame:
+    """The bill of each key after every micro-batch of rows (op, item, unit), by ``order`` within the batch.
+
+    Rows (key as text, item, quantity, accepted) of all items on the bill, output mode update; a bill without items
+    is one row with a null item.  Only the bill and the number of accepted ops are kept, not the ops.
+    """
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bill, accepted = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
+        rows = pd.concat(list(parts)).sort_values("at", kind="stable")
+        for op, item, unit in zip(rows["op"], rows["item"], rows["unit"]):
+            amount, there = UNITS.get(unit), bill.get(item)
+            if amount is None or op != "add" and (there is None or there < amount):
+                continue
+            left = (there or 0) + (amount if op == "add" else -amount)
+            bill[item] = left
+            if not left:
+                del bill[item]
+            accepted += 1
+        state.update((json.dumps(bill), accepted))
+        items = sorted(bill) or [None]
+        yield pd.DataFrame({"key": [group[0]] * len(items), "item": items, "quantity": pd.array([bill.get(i) for i in items], "Int64"), "accepted": [accepted] * len(items)})
+
+    rows = ops.select(F.col(key).cast("string").alias("key"), F.col(order).alias("at"), "op", "item", "unit")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, item string, quantity long, accepted long", "bill string, accepted long", "update", GroupStateTimeout.NoTimeout)
