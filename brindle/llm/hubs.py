@@ -55,17 +55,22 @@ def crowded(space: Workspace, members: DataFrame, name: str) -> DataFrame:
     return space.write(ordered.mapInArrow(run, members.schema), name, batch_rows=1 << 14).select(*columns)
 
 
-def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Column], Column], confirm: Callable[[DataFrame, str], DataFrame], rounds: int, remaining: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Column], Column], confirm: Callable[[DataFrame, str], DataFrame], rounds: int, remaining: Callable[[DataFrame], DataFrame] | None = None, by_degree: bool = True) -> DataFrame:
     """(u, v): the least item v of the component of each other item u.
 
     met: key, item (long) and info (a struct).  ``similar`` is a cheap condition
     on two infos; ``confirm`` writes the linked ones of a table of pairs (a, b)
     under a name and returns them; ``remaining`` gives the pairs to compare at
     the end from (key, item, info, component), all pairs of a key by default.
+    Without ``by_degree`` the hub of a key is its least item, which saves
+    counting where groups are small.
     """
     spark = met.sparkSession
-    degree = met.join(met.groupBy("key").agg(F.count("*").alias("crowd")), "key").groupBy("item").agg(F.sum("crowd").alias("degree"))
-    active = space.write(met.join(degree, "item").withColumn("component", F.col("item")), "active-0")
+    if by_degree:
+        degree = met.join(met.groupBy("key").agg(F.count("*").alias("crowd")), "key").groupBy("item").agg(F.sum("crowd").alias("degree"))
+        active = space.write(met.join(degree, "item").withColumn("component", F.col("item")), "active-0")
+    else:
+        active = met.withColumn("degree", F.lit(0).cast("long")).withColumn("component", F.col("item"))
     stars, tested, k = spark.createDataFrame([], "u long, v long"), None, 0
     while active.limit(1).count():
         top = F.max(F.struct("degree", (-F.col("item")).alias("back"), "component", "info"))

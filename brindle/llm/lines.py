@@ -59,11 +59,11 @@ from .workspace import Workspace
 SIMILARITY = 80
 BITS, FLIPS = 64, 3
 #: Lines of up to so many words, or characters without spaces, have a key for each one left out.
-DROP_WORDS, DROP_CHARS = 12, 24
-#: Pairs of words in a block, blocks kept of a line, and how near to the border of two block sizes (in powers of two) it has both.
-SHARE, BLOCKS_KEPT, BORDER = 3, 12, 0.3
-#: Lines of more pairs of words keep only blocks of two pairs or more: single ones are too common to tell anything.
-SINGLE_PAIRS = 24
+DROP_WORDS, DROP_CHARS = 14, 24
+#: Pairs of words in a block (half of it in lines of up to SHORT_PAIRS pairs), blocks kept of a line, and how near to the border of two block sizes (in powers of two) it has both.
+SHARE, SHORT_PAIRS, BLOCKS_KEPT, BORDER = 3, 12, 12, 0.3
+#: A block tells something if its words have so many bytes together and, in lines of over SINGLE_PAIRS pairs, if it has two pairs or more.
+BLOCK_BYTES, SINGLE_PAIRS = 12, 24
 #: The five blocks of a SimHash (first bit, bits) for ``flips``.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Of lines that share a key, those of over so many characters are compared only if at most so many bits of their SimHashes differ.
@@ -142,15 +142,15 @@ def _without_one(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[
     return mix(np.concatenate((left[small], whole))), np.concatenate((run[small], np.arange(len(whole))))
 
 
-def block_keys(hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def block_keys(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(key, line) of the blocks of every line, in lists; each block is the sum of its share of the pairs of neighbouring words."""
     line = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(line[:-1] == line[1:])
-    line, pair = line[at], mix(hashes[at] * U64(0x9E3779B97F4A7C15) + hashes[at + 1])
+    line, pair, weight = line[at], mix(hashes[at] * U64(0x9E3779B97F4A7C15) + hashes[at + 1]), size[at] + size[at + 1]
     n, found, before = np.diff(first) - 1, [], None
-    size = np.log2(np.maximum(n, 1) / np.where(n > DROP_WORDS, SHARE, SHARE / 2))
+    share = np.log2(np.maximum(n, 1) / np.where(n > SHORT_PAIRS, SHARE, SHARE / 2))
     for border in (-BORDER, BORDER):
-        level = np.maximum(0, np.ceil(size + border)).astype(np.int64)
+        level = np.maximum(0, np.ceil(share + border)).astype(np.int64)
         block = (pair >> U64(32)) & ((U64(1) << level[line].astype(U64)) - U64(1))
         fresh = np.ones(len(n), bool) if before is None else level != before
         take = np.flatnonzero((block < BLOCKS_KEPT) & fresh[line])
@@ -158,7 +158,8 @@ def block_keys(hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray,
         total = np.zeros(len(n) * BLOCKS_KEPT, U64)
         np.add.at(total, slot, mix(pair[take]))
         votes = np.bincount(slot, minlength=len(total))
-        some = np.flatnonzero(votes > np.repeat(n > SINGLE_PAIRS, BLOCKS_KEPT))
+        known = np.bincount(slot, weights=weight[take], minlength=len(total))
+        some = np.flatnonzero((known >= BLOCK_BYTES) & (votes > np.repeat(n > SINGLE_PAIRS, BLOCKS_KEPT)))
         found.append((mix(total[some] + (some % BLOCKS_KEPT + 64 * level[some // BLOCKS_KEPT] + 1).astype(U64) * U64(0xD6E8FEB86659FD93)), some // BLOCKS_KEPT))
         before = level
     return found
@@ -183,7 +184,7 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
     item, at = _ranges(at, short)
     key, run = _without_one(chars[item] ^ U64(0xD6E8FEB86659FD93), at, np.ones(len(item), np.int64))
     found.append((key, take[short][run]))
-    found += block_keys(hashes, first)
+    found += block_keys(hashes, size, first)
     key, run = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(run, kind="stable")
     return key[order], np.searchsorted(run[order], np.arange(len(n_words) + 1))
@@ -347,7 +348,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
-    stars = hubs.components(space, met, near, confirm, hub_rounds, lambda members: _size_pairs(members, near, similarity))
+    stars = hubs.components(space, met, near, confirm, hub_rounds, lambda members: _size_pairs(members, near, similarity), by_degree=False)
     of = stars.select(F.col("u").alias("item"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("item"), F.col("v").alias("group")).distinct())
     grouped = distinct.select("item", "first").join(of, "item")
     best = grouped.groupBy("group").agg(F.min("first").alias("best"))
