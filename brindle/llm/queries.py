@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, huffman, language, licenses, lines, neardup, packing, pii, repeats, tiff
 from .workspace import Workspace
@@ -52,6 +53,12 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(_table(spark, sf_dir, "documents"))
 
 
+def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page of the stored texts; samples by their digest."""
+    stored = Workspace(spark, "tiff-pages").write(tiff.store_texts(_table(spark, sf_dir, "documents")), "media", "none")
+    return tiff.tiff_pages(stored).withColumn("sha256", F.sha2("data", 256)).drop("data")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, threshold=80)
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
+    "tiff_pages": tiff_pages,
     "pipeline": pipeline,
 }
 
@@ -85,11 +93,12 @@ _TEMPLATE_ROWS = ", ".join(f"('{name}', '{' '.join(w)}', {k}, {(len(licenses.shi
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": f"""
 WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) v(license, body, size, power)),
-tr AS (SELECT license, size, power, list_distinct([array_to_string(b[i:i + size - 1], ' ') for i in range(1, len(b) - size + 2)]) runs FROM (SELECT *, string_split(body, ' ') b FROM t)),
+tr AS (SELECT license, size, 1 << power step, len(runs) n, unnest(runs) run
+       FROM (SELECT *, list_distinct([array_to_string(b[i:i + size - 1], ' ') for i in range(1, len(b) - size + 2)]) runs FROM (SELECT *, string_split(body, ' ') b FROM t))),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') w FROM documents),
-ds AS (SELECT doc_id, size, [array_to_string(w[i:i + size - 1], ' ') for i in range(1, len(w) - size + 2)] r FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) >= size),
-wn AS (SELECT doc_id, size, power, b, r[b + 1:b + (2 << power)] win FROM (SELECT doc_id, ds.size, power, r, unnest(range(0, len(r), 1 << power)) b FROM ds JOIN (SELECT DISTINCT size, power FROM t) USING (size))),
-m AS (SELECT doc_id, license, b, len(list_intersect(win, runs)) x, len(runs) n FROM wn JOIN tr USING (size, power) WHERE list_has_any(win, runs))
+ds AS (SELECT doc_id, size, p, array_to_string(w[p + 1:p + size], ' ') run FROM (SELECT doc_id, size, w, unnest(range(0, len(w) - size + 1)) p FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) >= size)),
+h AS (SELECT doc_id, license, n, run, step, unnest([p // step * step, p // step * step - step]) b FROM ds JOIN tr USING (size, run)),
+m AS (SELECT doc_id, license, b, n, count(DISTINCT run) x FROM h WHERE b >= 0 GROUP BY doc_id, license, b, n)
 SELECT doc_id, license, max(x / n) containment, count(DISTINCT b) n_windows, min(b) first_word FROM m WHERE 100 * x >= 80 * n GROUP BY doc_id, license""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),

@@ -24,7 +24,8 @@ own occurrences; together they cover it.
 
 Nulls: a null text is empty; a row with a null id is neither compared nor cut.
 Rows that repeat an id are parts of one document: they don't remove each other.
-Extra columns are ignored.
+Texts of any length are read whole.  Extra columns are ignored, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ HOT_PLACES = 20_000
 #: Bytes of contexts for one suffix array.
 SLICE_BYTES = 1 << 20
 #: Bytes of text in a chunk, and for each bucket.
-CHUNK_TEXT, BUCKET_BYTES = 2 << 20, 24 << 20
-MIN_BUCKETS = 24
+CHUNK_TEXT, BUCKET_BYTES = 2 << 20, 16 << 20
+MIN_BUCKETS = 4
 
 _HIGH = U64(0xFFFFFFFF00000000)
 
@@ -160,7 +161,7 @@ PART_SCHEMA = "bucket long, chunk long, part binary"
 
 
 def _named(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
-    """The distinct anchors of each chunk by bucket; with each, twice the number of its places there (up to 127) and whether two documents have it."""
+    """The distinct anchors of each chunk by bucket; with each, twice the number of its places there and whether two documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +171,7 @@ def _named(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
                 known, first, order = _distinct(hashes)
                 last = np.append(first[1:], len(order)) - 1
                 several = doc[order[first]] != doc[order[last]] if len(known) else np.empty(0, bool)
-                many = (np.minimum(last - first + 1, 127) * 2 + several).astype(np.uint8)
+                many = ((last - first + 1) * 2 + several).astype(np.uint32)
                 cuts = np.searchsorted(_bucket(known, buckets), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cuts))
                 parts = [_packed(known[a:b].byteswap().view(np.uint8).reshape(-1, 8)[:, :6], many[a:b]) for a, b in zip(cuts[some], cuts[some + 1])]
@@ -179,8 +180,8 @@ def _named(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
     return chunks.mapInArrow(run, PART_SCHEMA)
 
 
-def _flagged(hot: int):
-    """For each part, which anchors are in several documents (1) or have very many places (2)."""
+def _flagged(hot: int, within: bool):
+    """For each part, which anchors are in several documents (1) or have very many places (2); ``within`` one document counts too."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpacked(x) for x in table.column("part").to_pylist()]
@@ -192,6 +193,7 @@ def _flagged(hot: int):
         count = np.diff(np.append(first, len(order)))
         several = (count > 1) | (np.maximum.reduceat(many[order] & 1, first) > 0)
         places = np.add.reduceat((many[order] >> 1).astype(np.int64), first)
+        several |= within & (places > 1)
         flag = np.where(several & (places > hot), 2, several).astype(np.uint8)
         out = np.empty(len(order), np.uint8)
         out[order] = np.repeat(flag, count)
@@ -438,25 +440,28 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _shared_contexts(space: Workspace, docs: DataFrame, length: int, hot: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
-    """(chunks, contexts by bucket)."""
-    named = docs.where("doc_id is not null")
+def _shared_contexts(space: Workspace, docs: DataFrame, length: int, hot: int, buckets: int | None, within: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """(chunks, contexts by bucket, tasks): both are dealt to so many tasks, which grow with their size."""
+    named, spark = docs.where("doc_id is not null"), docs.sparkSession
     if buckets is None:
         size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
-    chunks = space.write(_chunks(named), "chunks", "none")
-    flags = space.write(_named(chunks, length, buckets).groupBy("bucket").applyInArrow(_flagged(hot), PART_SCHEMA), "flags", "none")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    chunks = space.write(_chunks(named), "chunks", "none").repartition(tasks, "chunk")
+    parts = _named(chunks, length, buckets).repartition(tasks, "bucket")
+    flags = space.write(parts.groupBy("bucket").applyInArrow(_flagged(hot, within), PART_SCHEMA), "flags", "none").repartition(tasks, "chunk")
     contexts = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_contexts(length, buckets), PART_SCHEMA)
-    return chunks, contexts
+    return chunks, contexts.repartition(tasks, "bucket"), tasks
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT_PLACES, buckets: int | None = None) -> DataFrame:
-    """group_id, length, doc_id, start (bytes): maximal repeats of at least ``length`` bytes with all their occurrences.
+    """group_id, length, doc_id, start (bytes): repeats of at least ``length`` bytes with all their occurrences, within one document too.
 
-    A repeat is reported in pieces of at most a context, and an interval inside
-    a longer repeat may be reported along with it where a context begins.
+    Repeats are maximal inside their contexts of at most 84 bytes (``length`` for anchors with over ``hot`` places): a longer repeat
+    is reported in overlapping pieces that cover it, not as one group, and an interval inside a longer repeat may be reported along
+    with it where a context begins.
     """
-    _, contexts = _shared_contexts(Workspace(docs.sparkSession, "repeats"), _plain(docs), length, hot, buckets)
+    _, contexts, _ = _shared_contexts(Workspace(docs.sparkSession, "repeats"), _plain(docs), length, hot, buckets, within=True)
     return contexts.groupBy("bucket").applyInArrow(_groups(length, SLICE_BYTES), GROUP_SCHEMA)
 
 
@@ -490,8 +495,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT_PLACES,
     ``with_text`` adds the bytes that are kept, as binary: a cut may fall inside a character.
     """
     space, docs = Workspace(docs.sparkSession, "repeats"), _plain(docs)
-    chunks, contexts = _shared_contexts(space, docs, length, hot, buckets)
-    ranges = space.write(contexts.groupBy("bucket").applyInArrow(_ranges(length, slice_bytes), "chunk long, part binary"), "ranges", "none")
+    chunks, contexts, tasks = _shared_contexts(space, docs, length, hot, buckets)
+    ranges = space.write(contexts.groupBy("bucket").applyInArrow(_ranges(length, slice_bytes), "chunk long, part binary"), "ranges", "none").repartition(tasks, "chunk")
     space.drop("flags")
     out = chunks.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(_kept(with_text), RESULT_SCHEMA + ", kept binary" * with_text)
     zero, body = F.lit(0).cast("long"), F.coalesce("text", F.lit("")).cast("binary")

@@ -7,7 +7,7 @@ row whose ``error`` says why, and so does one of more than ``max_samples``
 samples; blocks are unpacked no further than the page needs.
 
 The writer stores a byte payload as 8-bit gray pages of width 64.  Pages hold
-1024 rows in strips of 256 rows or, every second page, in tiles with horizontal
+128 rows in strips of 32 rows or, every second page, in tiles with horizontal
 differencing.  Payloads of one row are PackBits, those of up to LZW_ROWS rows
 and every third page of longer ones LZW, all others deflate, so equal payloads
 have equal files.
@@ -41,7 +41,7 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 
-PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 1024, 256, 64
+PAGE_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 64, 128, 32, 64
 LZW_ROWS = 8
 #: Samples of a page that the reader decodes at most.
 MAX_SAMPLES = 1 << 28

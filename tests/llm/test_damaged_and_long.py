@@ -43,7 +43,7 @@ def test_damaged_pages_are_rows(spark):
     assert got[9].error is None and bytes(got[9].data) == bytes(64) and got[10].error is None and bytes(got[10].data) == b"\1" * 64
 
 
-@pytest.mark.parametrize("rows", [1, 2, 8, 9, 1024, 1025, 2049, 3500])
+@pytest.mark.parametrize("rows", [1, 2, 8, 9, 128, 129, 257, 500])
 def test_stored_pages(rows):
     """PackBits, LZW and deflate, strips and tiles are all written, and what is written is read."""
     payload = np.random.default_rng(rows).integers(97, 101, rows * 64).astype(np.uint8).tobytes()
@@ -52,7 +52,7 @@ def test_stored_pages(rows):
     kinds = [t[tiff.COMPRESSION][0] for t, _, _ in found]
     assert kinds == {1: [tiff.PACKBITS], 2: [tiff.LZW], 8: [tiff.LZW], 9: [tiff.DEFLATE]}.get(rows, [tiff.DEFLATE, tiff.DEFLATE, tiff.LZW, tiff.DEFLATE][: len(kinds)])
     assert [tiff.TILE_OFFSETS in t for t, _, _ in found] == [k % 2 == 1 for k in range(len(found))]
-    assert rows <= 256 or len(found[0][0][tiff.STRIP_OFFSETS]) == -(-min(rows, 1024) // 256)
+    assert rows < 9 or len(found[0][0][tiff.STRIP_OFFSETS]) == -(-min(rows, 128) // 32)
 
 
 @pytest.mark.parametrize("text,spans", [
@@ -67,7 +67,7 @@ def test_spans(text, spans):
 
 
 def test_long_text_of_personal_data(spark):
-    text = "zeros 1.1.1." + "0" * 300_000 + " then x@y.org and 4111 1111 1111 1111 " + "9" * 200_000 + " +1 555 010 2345 " + "a" * 500_000 + "@b.cd"
+    text = "zeros 1.1.1." + "0" * 300_000 + " then x@y.org and 4111 1111 1111 1111, " + "9" * 200_000 + " +1 555 010 2345 " + "a" * 500_000 + "@b.cd"
     got = pii.personal_data_digest(spark.createDataFrame([(1, text, 4)], DOCS + ", n_ip int")).collect()
     assert [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_spans) for r in got] == [(1, 2, 1, 1, 1, 5)]
 
