@@ -69,7 +69,7 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Of lines that share a key, those of over so many characters are compared only if at most so many bits of their SimHashes differ.
 #: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
 FAR = ((40, 24), (100, 19))
-HUB_ROUNDS = 1
+HUB_ROUNDS = 2
 #: Bytes of what is sent to all tasks (numbers of lines to look up, lines to remove); more is joined.
 BROADCAST_BYTES = 16 << 20
 
@@ -348,7 +348,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
-    stars = hubs.components(space, met, near, confirm, hub_rounds, lambda members: _size_pairs(members, near, similarity), by_degree=False)
+    stars = hubs.components(space, met, near, confirm, hub_rounds, lambda members: _size_pairs(members, near, similarity))
     of = stars.select(F.col("u").alias("item"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("item"), F.col("v").alias("group")).distinct())
     grouped = distinct.select("item", "first").join(of, "item")
     best = grouped.groupBy("group").agg(F.min("first").alias("best"))
