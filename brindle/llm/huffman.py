@@ -15,6 +15,8 @@ advances all runs of a block at once, each from its checkpoint.
 
 Nulls: a null text counts as empty, so its document holds the end id only; null
 ids sort first.  Repeated ids keep one place each, by the hash of their text.
+Texts of any length are encoded whole.  Extra columns are ignored, whatever
+their names.  An empty table gives an empty codebook and no block.
 """
 
 from __future__ import annotations

@@ -6,15 +6,17 @@ scaled to length 1.  Linear support vector machines predict the language
 family first (one against the rest); within the winning family one-versus-one
 machines vote between its languages, summed margins breaking ties.
 
-The machines are fitted on a bounded sample: about ``SAMPLE_ROWS`` labelled
-documents, shared equally between the languages and picked by a hash of their
-id.  Only rows whose crc32(id as text) mod 3 is not 1 are ever used for
+The machines are fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled
+documents, shared equally between the ``MAX_LANGUAGES`` most frequent languages
+and picked by a hash of id and text, equal rows once.  Only rows whose crc32(id as text) mod 3 is not 1 are ever used for
 fitting; the others are marked ``held_out``.  Prediction reads whole texts.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0;
 so is every text if nothing can be learned.  A row with a null id is predicted
 but neither learned from nor held out.  Languages outside the family table
-form one family each.  Extra columns are ignored, repeated rows repeat.
+form one family each.  Texts of any length are read whole.  Extra columns are
+ignored, whatever their names, repeated rows repeat, and an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 DIMENSIONS = 4096
-SAMPLE_ROWS = 1200
+SAMPLE_ROWS, MAX_LANGUAGES = 1200, 240
 #: Below this score the pipeline takes a text for no language at all.
 MIN_SCORE = 0.3
 
@@ -147,16 +149,20 @@ def _remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from the columns doc_id, text and lang; None without labelled rows."""
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """A model from the columns doc_id, text and lang; None without labelled rows.
+
+    At most ``max_languages`` counts and twice ``sample_rows`` vectors come to the driver.
+    """
     usable = docs.where("lang is not null and text is not null").where(_remainder() != 1)
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
-    each = max(20, sample_rows // len(counts))
+    each = max(1, sample_rows // len(counts))
     scale = 1 << 20
     share = F.create_map(*[F.lit(v) for code, n in counts.items() for v in (code, min(scale, scale * each * 5 // (4 * n) + 1))])
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share[F.col("lang")])
+    row = F.xxhash64("doc_id", "text")
+    picked = usable.where(F.pmod(row, F.lit(scale)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).withColumn("row", row).dropDuplicates(["lang", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -164,7 +170,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
             rows = np.flatnonzero(some)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array([x[i].astype(np.float16).tobytes() for i in rows], pa.binary())], names=["doc_id", "lang", "vector"])
 
-    rows = sorted(picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, vector binary").collect(), key=lambda r: (r[1], r[0], r[2]))
+    rows = sorted(picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, vector binary").limit(2 * sample_rows + 20 * max_languages).collect(), key=lambda r: (r[1], r[0], r[2]))
     taken: dict[str, int] = {}
     kept = [r for r in rows if taken.setdefault(r[1], 0) < each and not taken.update({r[1]: taken[r[1]] + 1})]
     if not kept:

@@ -70,6 +70,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
 FAR = ((40, 24), (100, 19))
 HUB_ROUNDS = 2
+#: Characters between two looks at whether an edit distance can still be small enough.
+STRETCH = 48
 #: Bytes of what is sent to all tasks (numbers of lines to look up, lines to remove); more is joined.
 BROADCAST_BYTES = 16 << 20
 
@@ -275,7 +277,10 @@ def _common(a: str, b: str) -> int:
 
 
 def edit_distance_within(a: str, b: str, limit: int) -> int | None:
-    """The Levenshtein distance if it is at most limit: one column of the table at a time, as the bits of two integers."""
+    """The Levenshtein distance if it is at most limit: one column of the table at a time, as the bits of two integers.
+
+    A few columns are looked at as a whole, so that most pairs of unlike texts end early.
+    """
     n = _common(a, b)
     a, b = a[n:][::-1], b[n:][::-1]
     n = _common(a, b)
@@ -289,23 +294,34 @@ def edit_distance_within(a: str, b: str, limit: int) -> int | None:
         places[c] = places.get(c, 0) | 1 << i
     every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     more, less, cost, left = every, 0, len(a), len(b)
-    for c in b:
-        same = places.get(c, 0)
-        down = same | less
-        across = ((same & more) + more ^ more) | same
-        up, low = less | (every & ~(across | more)), more & across
-        left -= 1
-        if up & last:
-            cost += 1
-        elif low & last:
-            cost -= 1
-        if cost - left > limit:
+    step = max(STRETCH, -(-len(b) // 16))
+    for begin in range(0, len(b), step):
+        for c in b[begin : begin + step]:
+            same = places.get(c, 0)
+            down = same | less
+            across = ((same & more) + more ^ more) | same
+            up, low = less | (every & ~(across | more)), more & across
+            left -= 1
+            if up & last:
+                cost += 1
+            elif low & last:
+                cost -= 1
+            if cost - left > limit:
+                return None
+            up, low = up << 1 | 1, low << 1
+            more, less = (low | ~(down | up)) & every, up & down & every
+        if left and _least_cost(more, less, len(a), len(b) - left, left) > limit:
             return None
-        up, low = up << 1 | 1, low << 1
-        more, less = (low | ~(down | up)) & every, up & down & every
     return cost if cost <= limit else None
 
 
+def _least_cost(more: int, less: int, rows: int, column: int, left: int) -> int:
+    """The least distance that any cell of a column of the table can still lead to."""
+    bits = [np.unpackbits(np.frombuffer(x.to_bytes(-(-rows // 8), "little"), np.uint8), count=rows, bitorder="little") for x in (more, less)]
+    cells = np.concatenate(([column], column + np.cumsum(bits[0].astype(np.int64) - bits[1])))
+    return int((cells + np.abs(rows - np.arange(rows + 1) - left)).min())
+
+
 def similar_lines(a: str, b: str, similarity: int) -> bool:
     return edit_distance_within(a, b, (100 - similarity) * max(len(a), len(b)) // 100) is not None
 

@@ -11,7 +11,9 @@ document may go on in the next stretch.  What is left at the end of a stretch is
 into powers of two, which need no padding either.
 
 Nulls: a null text counts as empty and packs its end id alone; null ids sort
-first among equal keys.  Repeated rows are packed as often as they occur.
+first among equal keys.  Repeated rows are packed as often as they occur, ties
+of the key by id.  Texts of any length are packed whole.  Extra columns are
+ignored, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

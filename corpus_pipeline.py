@@ -10,6 +10,14 @@ one's docs.  All but the last return the columns of ``documents``:
    least id stays (five-word shingles, similarity 0.8);
 4. decontamination: documents that share ten words in a row with ``benchmark`` go;
 5. packing: the rest is packed into training sequences, one row per piece.
+
+Nulls and empty texts go in the first stage, as they are in no language; a null
+id is allowed: its row is neither compared with others nor removed for copies of
+others.  Very long texts are worked on whole.  Of ties (equal lines, equal
+documents) the one of the least id stays; repeated rows share one fate.  Further
+columns are kept by all stages but the last, whatever their names.  Empty tables
+give an empty result; an empty benchmark removes nothing, and without labels no
+language is known and nothing is kept.
 """
 
 from __future__ import annotations

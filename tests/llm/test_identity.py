@@ -85,3 +85,28 @@ def test_near_duplicate_lookup_by_broadcast_and_join(spark, limit):
     rows = [(i, " ".join(f"w{j}" if j != i else "x" for j in range(60))) for i in range(9)] + [(20, "other text"), (None, None)]
     got = neardup.drop_near_duplicates(spark.createDataFrame([(*r, 5) for r in rows], DOCS + ", rep int"), broadcast_ids=limit, shingle=1)
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == [-1, 0, 20]
+
+
+def test_edit_distance_of_long_texts():
+    rnd = random.Random(11)
+
+    def levenshtein(a, b):
+        row = np.arange(len(b) + 1)
+        other = np.array([ord(c) for c in b])
+        for i, c in enumerate(a, 1):
+            best = np.minimum(row[1:] + 1, row[:-1] + (other != ord(c)))
+            row = np.minimum.accumulate(np.concatenate(([i], best)) - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+        return int(row[-1])
+
+    for _ in range(150):
+        a = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(60, 500)))
+        b = list(a) if rnd.random() < 0.8 else [rnd.choice("abcde ") for _ in range(rnd.randint(60, 500))]
+        for _ in range(rnd.randint(0, 60)):
+            k = rnd.randint(0, len(b))
+            b[k : k + rnd.randint(0, 4)] = rnd.choice(["", "x", "yz", "abc"])
+        if rnd.random() < 0.3:
+            b = b[len(b) // 3 :] + b[: len(b) // 3]
+        b, d = "".join(b), None
+        d = levenshtein(a, b)
+        for limit in (d - 1, d, d + 5, 20 * max(len(a), len(b)) // 100):
+            assert lines.edit_distance_within(a, b, limit) == (d if d <= limit else None)
