@@ -157,7 +157,7 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[first], first, order
 
 
-PART_SCHEMA = "bucket long, chunk long, part binary"
+PART_SCHEMA = "bucket int, chunk long, part binary"
 
 
 def _named(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _named(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
                 cuts = np.searchsorted(_bucket(known, buckets), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cuts))
                 parts = [_packed(known[a:b].byteswap().view(np.uint8).reshape(-1, 8)[:, :6], many[a:b]) for a, b in zip(cuts[some], cuts[some + 1])]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(some), pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "chunk", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(some), pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "chunk", "part"])
 
     return chunks.mapInArrow(run, PART_SCHEMA)
 
@@ -208,7 +208,7 @@ def _contexts(length: int, buckets: int):
     """Contexts of a chunk's shared anchors by bucket, with all their places."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "part": pa.array([], pa.binary())})
+        empty = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "part": pa.array([], pa.binary())})
         if not right.num_rows or not left.num_rows:
             return empty
         ids, at, raw = _opened(*(left.column(k)[0] for k in ("doc_ids", "sizes", "body")))
@@ -240,7 +240,7 @@ def _contexts(length: int, buckets: int):
             places = order[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             parts.append(_packed((key[head[mine]] & U64(0xFFFF)).astype(np.uint16), size.astype(np.uint32), body, n.astype(np.uint32), ids[doc_of[places]], doc_of[places].astype(np.uint32), (start[places] - at[doc_of[places]]).astype(np.int64)))
         trim()
-        return pa.table({"bucket": pa.array(out, pa.int64()), "chunk": pa.array([left.column("chunk")[0].as_py()] * len(out), pa.int64()), "part": pa.array(parts, pa.binary())})
+        return pa.table({"bucket": pa.array(out, pa.int32()), "chunk": pa.array([left.column("chunk")[0].as_py()] * len(out), pa.int64()), "part": pa.array(parts, pa.binary())})
 
     return run
 
@@ -448,10 +448,10 @@ def _shared_contexts(space: Workspace, docs: DataFrame, length: int, hot: int, b
         buckets = max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     chunks = space.write(_chunks(named), "chunks", "none").repartition(tasks, "chunk")
-    parts = _named(chunks, length, buckets).repartition(tasks, "bucket")
+    parts = _named(chunks, length, buckets).repartitionById(buckets, F.col("bucket"))  # a task for each bucket
     flags = space.write(parts.groupBy("bucket").applyInArrow(_flagged(hot, within), PART_SCHEMA), "flags", "none").repartition(tasks, "chunk")
     contexts = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_contexts(length, buckets), PART_SCHEMA)
-    return chunks, contexts.repartition(tasks, "bucket"), tasks
+    return chunks, contexts.repartitionById(buckets, F.col("bucket")), tasks
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, hot: int = HOT_PLACES, buckets: int | None = None) -> DataFrame:
