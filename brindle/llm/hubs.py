@@ -4,7 +4,8 @@
 item.  In every bucket the item that meets most others is the hub; members are
 compared with it, confirmed links merge components, and a bucket whose members
 are in one component is done.  The others go on without that hub, whose links
-there are all known.  After ``rounds`` rounds every pair still between two
+there are all known.  After ``rounds`` rounds, and as many more as still link at
+least one in GOING of the pairs they compare, every pair still between two
 components of a bucket is compared, unless ``remaining`` can tell exactly that
 it isn't linked.  So each link between candidates is found or lies within a
 component, and a large group of copies costs a number of pairs in proportion
@@ -24,6 +25,10 @@ from .components import connected
 from .workspace import Workspace
 
 
+#: Hub rounds go on while one in so many compared pairs is linked, up to a number of rounds: large groups whose members are linked through others.
+GOING, MOST_ROUNDS = 10, 24
+
+
 def crowded(space: Workspace, members: DataFrame, name: str) -> DataFrame:
     """The rows of members (key, item and further numbers) whose key another item has too, written as a table; repeated rows once.
 
@@ -66,12 +71,14 @@ def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Colu
     spark = met.sparkSession
     degree = met.join(met.groupBy("key").agg(F.count("*").alias("crowd")), "key").groupBy("item").agg(F.sum("crowd").alias("degree"))
     active = space.write(met.join(degree, "item").withColumn("component", F.col("item")), "active-0")
-    stars, tested, k = spark.createDataFrame([], "u long, v long"), None, 0
+    stars, tested, k, going = spark.createDataFrame([], "u long, v long"), None, 0, False
     while active.limit(1).count():
-        top = F.max(F.struct("degree", (-F.col("item")).alias("back"), "component", "info"))
+        order = F.col("degree") if k == 0 else F.xxhash64("item", F.lit(k))  # later any member: who meets most may be like none
+        top = F.max(F.struct(order.alias("order"), (-F.col("item")).alias("back"), "component", "info"))
         hubs = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), top.alias("hub")).where("low <> high").select("key", "size", "hub")
         members, hub = active.join(hubs, "key"), -F.col("hub.back")
-        if k < rounds:
+        hub_round = k < rounds or going
+        if hub_round:
             pairs = members.where((F.col("component") != F.col("hub.component")) & similar(F.col("info"), F.col("hub.info"))).select(F.least("item", hub).alias("a"), F.greatest("item", hub).alias("b"))
         elif remaining is not None:
             pairs = remaining(members.select("key", "item", "info", "component"))
@@ -83,9 +90,11 @@ def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Colu
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = space.write(pairs, f"pairs-{k}")
         links = confirm(pairs, f"links-{k}")
-        if links.limit(1).count():
+        n_pairs, n_links = pairs.count(), links.count()
+        going = k + 1 < MOST_ROUNDS and n_links > 0 and GOING * n_links >= n_pairs
+        if n_links:
             stars = connected(space, stars.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links), f"stars-{k}")
-        if k >= rounds:
+        if not hub_round:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
         rest = members.where((F.col("item") != hub) & (F.col("size") > 2)).select("key", "item", "info", "degree").join(stars, F.col("item") == F.col("u"), "left")

@@ -69,7 +69,7 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Of lines that share a key, those of over so many characters are compared only if at most so many bits of their SimHashes differ.
 #: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
 FAR = ((40, 24), (100, 19))
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 #: Characters between two looks at whether an edit distance can still be small enough.
 STRETCH = 48
 #: Bytes of what is sent to all tasks (numbers of lines to look up, lines to remove); more is joined.
@@ -338,7 +338,11 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     crowd = hubs.crowded(space, keys.select(F.explode("keys").alias("key"), "item"), "crowd")
     space.drop("keys")
     info = F.struct("sim", "size").alias("info")
-    met = space.write(crowd.join(distinct.select("item", info), "item"), "met")
+    # a key for lines of about one length: each line is in its class and the next one, as wide as similar lines may differ
+    step = -math.log(similarity / 100) if 0 < similarity < 100 else 1.0
+    of_size = F.floor(F.log(F.col("info.size").cast("double")) / step) if similarity > 0 else F.lit(0).cast("long")
+    sized = crowd.join(distinct.select("item", info), "item").withColumn("class", F.explode(F.array(of_size, of_size + 1)))
+    met = space.write(sized.select(F.xxhash64("key", "class").alias("key"), "item", "info"), "met")
 
     def near(x: Column, y: Column) -> Column:
         """What the edit similarity implies for lengths, and for SimHashes almost surely; with ``flips`` what the definition asks of these."""
@@ -364,7 +368,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
-    stars = hubs.components(space, met, near, confirm, hub_rounds, lambda members: _size_pairs(members, near, similarity))
+    stars = hubs.components(space, met, near, confirm, hub_rounds)
     of = stars.select(F.col("u").alias("item"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("item"), F.col("v").alias("group")).distinct())
     grouped = distinct.select("item", "first").join(of, "item")
     best = grouped.groupBy("group").agg(F.min("first").alias("best"))
@@ -377,22 +381,6 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     return F.broadcast(gone) if size <= broadcast_bytes else gone
 
 
-def _size_pairs(members: DataFrame, near: Callable[[Column, Column], Column], similarity: int) -> DataFrame:
-    """Pairs (a, b) of the members of a key that are ``near`` but in different components.
-
-    Sizes are cut into classes as wide as similar lines may differ, so a line meets its own class and the next longer one only.
-    """
-    step = -math.log(similarity / 100) if 0 < similarity < 100 else 1.0
-    of = F.floor(F.log(F.col("info.size").cast("double")) / step) if similarity > 0 else F.lit(0).cast("long")
-    classed = members.select("key", "item", "info", "component", of.alias("class"))
-    x = classed.withColumn("meets", F.explode(F.array(F.col("class"), F.col("class") + 1))).alias("x")
-    y = classed.alias("y")
-    ordered = F.struct(F.col("x.info.size"), F.col("x.item")) < F.struct(F.col("y.info.size"), F.col("y.item"))
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.meets") == F.col("y.class"))
-    pairs = x.join(y, same & ordered & (F.col("x.component") != F.col("y.component")) & near(F.col("x.info"), F.col("y.info")))
-    return pairs.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b"))
-
-
 def _with_body(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("body"))
 
