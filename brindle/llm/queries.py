@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, huffman, language, licenses, lines, neardup, packing, pii, repeats, tiff
+from . import decontam, huffman, language, licenses, lines, neardup, packing, pii, repeats, tiff, whitening
 from .workspace import Workspace
 
 
@@ -63,6 +63,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, threshold=80)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_whitening": op11_whitening,
     "tiff_pages": tiff_pages,
     "pipeline": pipeline,
 }
