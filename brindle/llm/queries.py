@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, huffman, language, licenses, lines, neardup, packing, pii, repeats, tiff, whitening
+from . import decontam, divergence, huffman, language, licenses, lines, neardup, packing, pii, repeats, tiff, whitening
 from .workspace import Workspace
 
 
@@ -67,6 +67,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_whitening": op11_whitening,
+    "op12_divergence": op12_divergence,
     "tiff_pages": tiff_pages,
     "pipeline": pipeline,
 }
@@ -128,4 +133,21 @@ p AS (SELECT a.doc_id u, b.doc_id v FROM e a JOIN e b ON a.x = b.x AND a.doc_id
 y AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
 r(d, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT y.v, r.c FROM r JOIN y ON y.u = r.d)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) n_shingles, min(c) component_id, s.doc_id = min(c) kept FROM s JOIN r ON r.d = s.doc_id GROUP BY s.doc_id, len(g)""",
+    "op12_divergence": f"""
+WITH d AS (SELECT coalesce(lang, '') lang, coalesce(source, '') source, row_number() OVER () r, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') w FROM documents),
+c AS (SELECT lang, source, term, count(*) n, count(DISTINCT r) docs FROM (SELECT lang, source, r, unnest(w) term FROM d) GROUP BY lang, source, term),
+k AS (SELECT lang, term, sum(n) total FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+kc AS (SELECT c.lang, c.source, c.term, c.n FROM c JOIN k ON c.lang = k.lang AND c.term = k.term),
+lv AS (SELECT lang, count(*) v, sum(total) of_lang FROM k GROUP BY lang),
+ng AS (SELECT lang, source, sum(n) of_group FROM kc GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+gs AS (SELECT g.lang, g.source, v, of_lang, coalesce(of_group, 0) of_group FROM g JOIN lv ON g.lang = lv.lang LEFT JOIN ng ON ng.lang = g.lang AND ng.source = g.source),
+e AS (SELECT gs.lang, gs.source, k.term, coalesce(kc.n, 0) n, 1 + 1000000000::HUGEINT * (coalesce(kc.n, 0) + 1) // (of_group + v) p, 1 + 1000000000::HUGEINT * (total + 1) // (of_lang + v) q
+      FROM gs JOIN k ON gs.lang = k.lang LEFT JOIN kc ON kc.lang = gs.lang AND kc.source = gs.source AND kc.term = k.term),
+s AS (SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) value FROM e a JOIN e b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT x.lang, x.source, 'pair' part, y.source item, coalesce(value, 0) value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+        LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM e WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) "value", CAST(rank AS INTEGER) "rank"
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) rank FROM r) WHERE part = 'pair' OR rank <= 200""",
 }
