@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, huffman, language, licenses, lines, neardup, packing, pii, repeats, tiff, whitening
+from . import decontam, divergence, huffman, language, licenses, lines, neardup, packing, pii, repeats, rules, tiff, whitening
 from .workspace import Workspace
 
 
@@ -71,6 +71,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_whitening": op11_whitening,
     "op12_divergence": op12_divergence,
+    "op13_quality": op13_quality,
     "tiff_pages": tiff_pages,
     "pipeline": pipeline,
 }
