@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.arrays import UNITS
+from .segments import Position, Segments
 
 BOOKS = "title string, author string, price double, in_stock bigint, ins_seq bigint"
 
@@ -97,8 +98,8 @@ def invert_map(df: DataFrame, key: str, values: str) -> DataFrame:
 
 
 def positions(df: DataFrame, key: str, order: list[str], name: str = "position") -> DataFrame:
-    """Row number from 0 within each key, as the column ``name``."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    """Row number from 0 within each key, as the column ``name``; a key's rows may span any number of tasks."""
+    return Segments(df, [key], order).scan(Position(name))
 
 
 def tumbling_totals(df: DataFrame, key: str, order: list[str], value: str, size: int = 7) -> DataFrame:

@@ -248,8 +248,7 @@ r(l_suppkey, item, rn, bill) AS (SELECT DISTINCT l_suppkey, item, 0::bigint, NUL
 SELECT l_suppkey, item, bill quantity FROM (SELECT *, max(rn) OVER (PARTITION BY l_suppkey, item) m FROM r) WHERE rn = m AND bill IS NOT NULL""")
 def bill_items(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(F.col("l_quantity") > 20, "add").otherwise("remove").alias("op"), F.expr(_ITEM_SQL).alias("item"), F.expr(_UNIT_SQL).alias("unit"))
-    folded = stateful.bills(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
-    return folded.select("l_suppkey", F.explode("bill").alias("item", "quantity"))
+    return stateful.bill_lines(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).where("quantity is not null").select("l_suppkey", "item", "quantity")
 
 
 _COLOURS_SQL = "['black', 'brown', 'red', 'orange', 'yellow', 'green', 'blue', 'violet', 'grey', 'white']"

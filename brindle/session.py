@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC and ANSI arithmetic are assumed by the operators; AQE sizes shuffles at run time.
@@ -23,3 +27,19 @@ def local_session(app: str = "brindle", cores: int | str = "*", shuffle_partitio
     spark = builder.config(map=SETTINGS).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session checkpoints to; a temporary one is set if there is none and master is local."""
+    context = spark.sparkContext
+    if found := context.getCheckpointDir():
+        return found
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        context.setCheckpointDir(folder)
+    elif context.master.split("[")[0] == "local":
+        made = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        context.setCheckpointDir(f"file://{made}")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return context.getCheckpointDir()

@@ -44,7 +44,7 @@ FUNCTIONS = {
     "functions.arrays.units": (33,),
     "functions.arrays.new_bill": (34,),
     "operators.relational.bill_totals": (35,),
-    "operators.stateful.apply_bill_op": (36,),
+    "operators.stateful.bill_lines": (36,),
     "functions.arrays.bill_quantity": (37,),
     "functions.arrays.colours": (38,),
     "functions.arrays.colour_code": (39,),
