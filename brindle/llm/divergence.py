@@ -5,7 +5,7 @@ Terms are runs of ASCII letters and non-ASCII characters, A-Z lowered.  A langua
 ``p = 1 + floor(SCALE * (count + 1) / (N + V))`` there, and group a is ``sum over kept terms of floor((p - q)**2 / q)``
 away from group b, with p of a and q of b.  All of it is whole numbers.
 
-1. Pieces of some megabytes of text become rows (lang, source, term, occurrences, documents), in a table.
+1. Tasks count their texts in pieces and gather up to ``HELD`` rows (lang, source, term, occurrences, documents) for a table.
 2. Each task adds the documents of its rows up in a count-min sketch of ``DEPTH`` rows.  Counters stop at ``least``, which
    is all that is asked of them, so merging them by chunks is exact and never too low.  A bit a counter, whether
    it has reached ``least``, goes to all tasks (``DEPTH * MAX_WIDTH`` bits, 6 MB, at most).
@@ -40,6 +40,8 @@ from .workspace import Workspace
 SCALE, LEAST_DOCS, TOP = 1_000_000_000, 3, 200
 #: Bytes of text that are counted at once.
 PIECE = 8 << 20
+#: Counts that a task gathers before it passes them on.
+HELD = 1 << 21
 DEPTH, MIN_WIDTH, MAX_WIDTH = 3, 1 << 16, 1 << 24
 CHUNK = 1 << 16
 #: Sources of a block and entries of a bucket, on average.
@@ -62,29 +64,61 @@ def terms_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return flat.dictionary_encode(), owners(np.searchsorted(starts, at))
 
 
+def _added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys in order, and the sums of the values of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], *[np.add.reduceat(v[order], first) if len(first) else v for v in values]
+
+
+class _Counts:
+    """Counts of some pieces, by group and term."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.held: list[tuple] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        terms, doc = terms_of(batch.column(2))
+        names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        group = np.array([self.groups.setdefault(name, len(self.groups)) for name in names], np.int64)
+        size = max(1, len(terms.dictionary))
+        both, n = np.unique(doc * size + terms.indices.to_numpy(), return_counts=True)
+        keys, n, docs = _added(group[both // size] * size + both % size, n, np.ones(len(both), np.int64))
+        self.held.append((terms.dictionary, keys // size, (keys % size).astype(np.int32), n, docs))
+        self.rows += len(keys)
+
+    def flush(self) -> pa.RecordBatch:
+        """The counts so far, which start anew."""
+        words = pa.concat_arrays([h[0] for h in self.held]).dictionary_encode()
+        size = max(1, len(words.dictionary))
+        place = np.cumsum([0] + [len(h[0]) for h in self.held])
+        codes = words.indices.to_numpy()
+        keys = np.concatenate([h[1] * size + codes[at + h[2]] for h, at in zip(self.held, place)])
+        keys, n, docs = _added(keys, *[np.concatenate([h[i] for h in self.held]) for i in (3, 4)])
+        names = list(self.groups)
+        lang, source = (pa.array([name[i] for name in names], pa.string()) for i in (0, 1))
+        of = pa.array(keys // size)
+        self.groups, self.held, self.rows = {}, [], 0
+        return pa.RecordBatch.from_arrays([lang.take(of), source.take(of), words.dictionary.take(pa.array(keys % size)).cast(pa.string()), pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+
+
 FOUND = "lang string, source string, term string, n long, docs long"
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
-    """Partial counts by (lang, source, term): a row for each of them and piece of text."""
+    """Partial counts by (lang, source, term): a row for each of them and ``HELD`` rows of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts()
         for batch in (p for b in batches for p in pieces(b, limit=PIECE)):
-            terms, doc = terms_of(batch.column(2))
-            lang, source = (batch.column(i).dictionary_encode() for i in (0, 1))
-            many, size = len(source.dictionary), max(1, len(terms.dictionary))
-            group = lang.indices.to_numpy().astype(np.int64) * many + source.indices.to_numpy()
-            both, n = np.unique(doc * size + terms.indices.to_numpy(), return_counts=True)
-            keys, where = np.unique(group[both // size] * size + both % size, return_inverse=True)
-            of = keys // size
-            columns = [
-                lang.dictionary.take(pa.array(of // max(1, many))),
-                source.dictionary.take(pa.array(of % max(1, many))),
-                terms.dictionary.take(pa.array(keys % size)).cast(pa.string()),
-                pa.array(np.bincount(where, n, len(keys)).astype(np.int64)),
-                pa.array(np.bincount(where, minlength=len(keys)).astype(np.int64)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+            counts.add(batch)
+            if counts.rows >= HELD:
+                yield counts.flush()
+        if counts.rows:
+            yield counts.flush()
 
     return docs.select("lang", "source", "text").mapInArrow(run, FOUND)
 

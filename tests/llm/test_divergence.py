@@ -53,7 +53,7 @@ def documents(seed=7):
 
 @pytest.mark.parametrize(("block", "bucket", "piece", "width"), [(128, 1 << 14, 8 << 20, 1 << 16), (3, 20, 300, 8), (2, 7, 1, 1 << 10)])
 def test_against_brute_force(spark, monkeypatch, block, bucket, piece, width):
-    for name, value in (("BLOCK", block), ("BUCKET", bucket), ("PIECE", piece), ("MIN_WIDTH", width), ("MAX_WIDTH", width), ("PAIRS", 50)):
+    for name, value in (("BLOCK", block), ("BUCKET", bucket), ("PIECE", piece), ("MIN_WIDTH", width), ("MAX_WIDTH", width), ("PAIRS", 50), ("HELD", piece)):
         monkeypatch.setattr(divergence, name, value)
     rows = documents()
     got = divergence.audit(spark.createDataFrame(rows, ROWS).repartition(5))
