@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -75,26 +76,55 @@ def add_gigasecond(moment: Column | str) -> Column:
 # ---- loops, whole batches at a time ------------------------------------------------------------------------
 
 
+#: Steps that one look-up makes: each low part of so many bits has its own.
+COLLATZ_BITS = 16
+
+
+@functools.cache
+def _collatz_table(bits: int = COLLATZ_BITS) -> tuple[np.ndarray, ...]:
+    """(factors, rests, steps, steps down to 1) by the low ``bits`` bits b.
+
+    Halving ``bits`` times, with 3n + 1 before each halving of an odd number, takes ``a * 2**bits + b`` to
+    ``a * factor + rest``; the last array is for numbers below ``2**bits`` themselves.
+    """
+    low = np.arange(1 << bits, dtype=np.int64)
+    rest, factor, steps = low.copy(), np.ones_like(low), np.full_like(low, bits)
+    for _ in range(bits):
+        odd = rest & 1 == 1
+        rest = np.where(odd, (3 * rest + 1) >> 1, rest >> 1)
+        factor, steps = np.where(odd, 3 * factor, factor), steps + odd
+    down, value, live = np.zeros_like(low), low.copy(), low > 1
+    while live.any():
+        value[live] = np.where(value[live] & 1 == 1, 3 * value[live] + 1, value[live] >> 1)
+        down[live] += 1
+        live &= value > 1
+    return factor, rest, steps, down
+
+
 @pandas_udf(LongType())
 def collatz_steps(n: pd.Series) -> pd.Series:
-    """Steps down to 1; NULL below 1.  Chains that leave 64 bits go on in unbounded integers."""
-    values = n.fillna(0).to_numpy(np.int64).copy()
-    steps, live = np.zeros(len(values), np.int64), values > 1
-    limit = (2**63 - 2) // 3
-    while live.any():
-        now = values[live]
-        if (now > limit).any():
-            for i in np.flatnonzero(live & (values > limit)):
-                big = int(values[i])
-                while big != 1:
-                    big, steps[i] = (big // 2 if big % 2 == 0 else 3 * big + 1), steps[i] + 1
-                values[i] = 1
-            live &= values > 1
+    """Steps down to 1; NULL below 1.  A look-up makes many steps at once; chains that leave 64 bits go on in unbounded integers."""
+    factor, rest, steps, down = _collatz_table()
+    top, low = COLLATZ_BITS, (1 << COLLATZ_BITS) - 1
+    value = n.fillna(0).to_numpy(np.int64).copy()
+    total = np.zeros(len(value), np.int64)
+    live = np.flatnonzero(value > low)
+    most = (2**63 - 1 - rest) // factor
+    while len(live):
+        high, at = value[live] >> top, value[live] & low
+        if (over := high > most[at]).any():
+            for i in live[over]:
+                big = int(value[i])
+                while big > 1:
+                    big, total[i] = (big >> 1 if big % 2 == 0 else 3 * big + 1), total[i] + 1
+                value[i] = 1
+            live = live[~over]
             continue
-        values[live] = np.where(now % 2 == 0, now // 2, 3 * now + 1)
-        steps[live] += 1
-        live &= values > 1
-    return pd.Series(steps, dtype="Int64").mask(n.isna().to_numpy() | (n.fillna(0) < 1).to_numpy())
+        value[live] = high * factor[at] + rest[at]
+        total[live] += steps[at]
+        live = live[value[live] > low]
+    total += down[np.clip(value, 0, low)]
+    return pd.Series(total, dtype="Int64").mask(n.isna().to_numpy() | (n.fillna(0) < 1).to_numpy())
 
 
 def collatz_error(n: Column | str) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import scan, text
 from ..functions.arrays import UNITS
 from .segments import Position, Segments
 
@@ -29,13 +35,20 @@ def new_book_store(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], BOOKS)
 
 
-def new_book(title: str, author: str, price: float, in_stock: int) -> tuple:
+def new_book(title: Any, author: Any, price: Any, in_stock: Any) -> tuple:
+    """A book of values, or of columns."""
     return title, author, price, in_stock
 
 
-def add_books(store: DataFrame, books: list[tuple]) -> DataFrame:
-    """The store with books behind its last one; repeated ones are kept."""
+def add_books(store: DataFrame, books: list[tuple] | DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The store with books behind its last one; repeated ones are kept.
+
+    Books are tuples, or rows with the columns title, author, price and in_stock, which are added as ``order`` says.
+    """
     last = store.agg(F.coalesce(F.max("ins_seq"), F.lit(-1))).first()[0]
+    if isinstance(books, DataFrame):
+        rows = positions(books.withColumn("__all", F.lit(0)), "__all", order or books.columns, "ins_seq")
+        return store.unionByName(rows.select("title", "author", F.col("price").cast("double").alias("price"), F.col("in_stock").cast("long").alias("in_stock"), (F.col("ins_seq") + last + 1).alias("ins_seq")))
     return store.unionByName(store.sparkSession.createDataFrame([(*b, last + 1 + i) for i, b in enumerate(books)], BOOKS))
 
 
@@ -66,23 +79,73 @@ def sell(df: DataFrame, sales: DataFrame, key: str, stock: str) -> DataFrame:
 # ---- counts ---------------------------------------------------------------------------------------------------
 
 
+#: Bytes of text that are scanned at once.
+PIECE = 4 << 20
+
+
+def _part_counts(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by, __part, __n): how often each distinct part, as ASCII white space and punctuation cut it, is in a piece of text.
+
+    With ``by`` a piece counts each row on its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(len(by))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            for piece in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes // PIECE)) + 1):
+                if not len(piece):
+                    continue
+                rows = batch.slice(int(piece[0]), len(piece))
+                found, row = scan.parts(rows.column(len(by)))
+                words = found.dictionary
+                if by:
+                    size = max(1, len(words))
+                    key, n = np.unique(row * size + found.indices.to_numpy(), return_counts=True)
+                    out = [rows.column(i).take(pa.array(key // size)) for i in range(len(by))] + [words.take(pa.array(key % size))]
+                else:
+                    n, out = np.bincount(found.indices.to_numpy(), minlength=len(words)), [words]
+                yield pa.RecordBatch.from_arrays([*out[:-1], out[-1].cast(pa.string()), pa.array(n.astype(np.int64))], names=[*by, "__part", "__n"])
+
+    low = df.select(*by, F.lower(column).alias("__text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in low.schema.fields[:-1])
+    return low.mapInArrow(run, f"{fields}__part string, __n bigint")
+
+
 def word_counts(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Occurrences of each word in ``n``.
 
-    Parts of the text are counted as they are, before the shuffle; only distinct ones are cleaned, and what
-    becomes the same word is added up.
+    Tasks scan the bytes of whole texts for ASCII cuts and pass on distinct parts with their counts.  Only these are cut
+    at the other white space and punctuation and cleaned, and what becomes the same word is added up.
     """
     by = by or []
-    parts = df.select(*by, F.explode(text.word_parts(column)).alias("__part")).groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    counted = _part_counts(df, column, by).groupBy(*by, "__part").agg(F.sum("__n").alias("__n"))
+    parts = counted.select(*by, F.explode(text.word_parts("__part")).alias("__part"), "__n")
     words = parts.select(*by, text.clean_word("__part").alias("word"), "__n").where(F.col("word") != "")
     return words.groupBy(*by, "word").agg(F.sum("__n").alias("n"))
 
 
-def anagram_pairs(words: DataFrame, column: str = "word") -> DataFrame:
-    """All pairs (word, other) of different words of the same letters, by an equality join on the sorted letters."""
-    keyed = words.select(F.col(column).alias("word"), text.sort_letters(F.lower(column)).alias("letters")).distinct()
-    other = keyed.select(F.col("word").alias("other"), "letters")
-    return keyed.join(other, "letters").where(F.lower("word") != F.lower("other")).select("word", "other")
+#: Words of an anagram class that are stored in one row, on average.
+CLASS_BLOCK = 256
+
+
+def anagram_classes(words: DataFrame, column: str = "word", block: int = CLASS_BLOCK) -> DataFrame:
+    """Words of the same letters: (letters, block, words, members, pairs), large classes in several rows.
+
+    ``pairs`` counts the ordered pairs of different words of the whole class; spellings that differ in case alone are
+    the same word and make none.  Words without an anagram are in no class; repeated words count once.
+    """
+    keyed = words.select(F.col(column).alias("word"), F.lower(column).alias("low"), text.sort_letters(F.lower(column)).alias("letters")).where("word is not null").distinct()
+    spelled = keyed.groupBy("letters", "low").agg(F.count("*").alias("n"))
+    sizes = spelled.groupBy("letters").agg(F.sum("n").alias("members"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs")).where("pairs > 0")
+    dealt = keyed.join(sizes, "letters").withColumn("block", F.pmod(F.xxhash64("word"), F.ceil(F.col("members") / block)).cast("int"))
+    return dealt.groupBy("letters", "block", "members", "pairs").agg(F.array_sort(F.collect_list("word")).alias("words")).select("letters", "block", "words", "members", "pairs")
+
+
+def anagram_pairs(words: DataFrame, column: str = "word", block: int = CLASS_BLOCK) -> DataFrame:
+    """All pairs (word, other) of different words of the same letters: each block of a class with each other one."""
+    classes = anagram_classes(words, column, block).select("letters", "words")
+    pairs = classes.join(classes.select("letters", F.col("words").alias("others")), "letters")
+    return pairs.select(F.explode("words").alias("word"), "others").select("word", F.explode("others").alias("other")).where(F.lower("word") != F.lower("other"))
 
 
 def total_by(df: DataFrame, key: str, value: str, scale: str = "decimal(18,2)") -> DataFrame:

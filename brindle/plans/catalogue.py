@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, bits, decisions, numeric, text
 from ..operators import iterative, relational, sampling, sets, stateful
-from ..sources import demo_books, greeters, table
+from ..sources import greeters, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,16 +66,28 @@ def find_contains(spark, d):
     return relational.find_containing(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "widget")
 
 
-@query((5, 6, 7, 8, 154), """SELECT *, in_stock > 0 has_stock FROM (VALUES ('The Go Programming Language', 'Alan A. A. Donovan', 39.99::double, 5::bigint, 0::bigint),
-('Learning Go', 'Jon Bodner', 29.99, 3, 1), ('Introducing Go', 'Caleb Doxsey', 24.99, 2, 2)) t(title, author, price, in_stock, ins_seq)""")
+_STORE_SQL = "SELECT p_name title, p_brand author, CAST(p_retailprice AS DOUBLE) price, CAST(p_size AS BIGINT) in_stock, row_number() OVER (ORDER BY p_partkey) - 1 ins_seq FROM part"
+
+
+def _parts_store(spark, d):
+    """A new store with a book of each part, by number of the part."""
+    book = relational.new_book(F.col("p_name"), F.col("p_brand"), F.col("p_retailprice"), F.col("p_size"))
+    books = table(spark, d, "part").select(*[c.alias(n) for c, n in zip(book, ("title", "author", "price", "in_stock"))], "p_partkey")
+    return relational.add_books(relational.new_book_store(spark), books, ["p_partkey"])
+
+
+@query((5, 6, 7, 8, 154), f"SELECT *, in_stock > 0 has_stock FROM ({_STORE_SQL})")
 def demo_store(spark, d):
-    return demo_books(spark).withColumn("has_stock", decisions.has_stock("in_stock"))
+    return _parts_store(spark, d).withColumn("has_stock", decisions.has_stock("in_stock"))
 
 
-@query((5,), "SELECT p_partkey, p_name FROM part UNION ALL SELECT p_partkey, p_name FROM part WHERE p_size > 45")
+@query((5, 6, 7), f"""WITH s AS ({_STORE_SQL}) SELECT * FROM s UNION ALL
+SELECT title, author, price, in_stock, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY price DESC, ins_seq) - 1 FROM s WHERE in_stock > 45""")
 def append_rows(spark, d):
-    parts = table(spark, d, "part")
-    return parts.select("p_partkey", "p_name").unionByName(parts.where("p_size > 45").select("p_partkey", "p_name"))
+    """The store with its large books once more, dearest first."""
+    store = _parts_store(spark, d)
+    more = store.where("in_stock > 45").withColumn("fall", -F.col("price"))
+    return relational.add_books(store, more, ["fall", "ins_seq"])
 
 
 _WORDS_SQL = """w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '([\\s\\x{0085}\\p{Z}]|[^\\PP''])+', ' ', 'g'), ' ')) raw FROM documents),
@@ -89,11 +101,20 @@ def word_count(spark, d):
 
 @query((9, 10), f"""WITH {_WORDS_SQL}, u AS MATERIALIZED (SELECT DISTINCT word FROM n WHERE word <> ''),
 k AS MATERIALIZED (SELECT word, array_to_string(list_sort(string_split(lower(word), '')), '') letters FROM u)
-SELECT a.word, b.word other FROM k a JOIN k b ON a.letters = b.letters AND lower(a.word) <> lower(b.word)""")
+SELECT DISTINCT a.word, b.word other FROM k a JOIN k b ON a.letters = b.letters AND lower(a.word) <> lower(b.word)""")
 def anagram_pairs(spark, d):
     return relational.anagram_pairs(relational.word_counts(table(spark, d, "documents"), "text"))
 
 
+@query((9, 10), f"""WITH {_WORDS_SQL}, k AS (SELECT DISTINCT word, array_to_string(list_sort(string_split(lower(word), '')), '') letters FROM n WHERE word <> ''),
+c AS (SELECT letters, count(*) members FROM k GROUP BY letters HAVING count(*) > 1)
+SELECT word, letters, members, members * (members - 1) pairs FROM k JOIN c USING (letters)""")
+def anagram_classes(spark, d):
+    """Every word that has anagrams, with the size of its class and the pairs in it."""
+    classes = relational.anagram_classes(relational.word_counts(table(spark, d, "documents"), "text"))
+    return classes.select(F.explode("words").alias("word"), "letters", "members", "pairs")
+
+
 @query((9, 10), """SELECT p_partkey, array_to_string(list_sort(string_split(p_name, '')), '') letters,
 array_to_string(list_filter([reverse(p_name), upper(p_name), p_type], lambda c: lower(c) <> lower(p_name) AND array_to_string(list_sort(string_split(lower(c), '')), '') = array_to_string(list_sort(string_split(lower(p_name), '')), '')), ',') found FROM part""")
 def anagram_candidates(spark, d):
@@ -422,9 +443,12 @@ def greetings(spark, d):
     return table(spark, d, "customer").select("c_custkey", spoken.alias("g")).select("c_custkey", "g.*")
 
 
-@query((89,), "SELECT * FROM (VALUES ('Italian', 'Ciao %s!'), ('Portuguese', 'Olá %s!')) t(language, template)")
+@query((89,), """SELECT c_custkey, language, replace(template, '%s', c_name) greeting FROM customer JOIN (VALUES (0, 'Italian', 'Ciao %s!'), (1, 'Portuguese', 'Olá %s!')) t(k, language, template) ON c_nationkey % 3 = k""")
 def greeter_table(spark, d):
-    return greeters(spark)
+    """Customers greeted by the table of templates, as far as their language is in it."""
+    language = F.when(F.col("c_nationkey") % 3 == 0, "Italian").when(F.col("c_nationkey") % 3 == 1, "Portuguese").otherwise("German")
+    known = F.broadcast(greeters(spark))  # two rows
+    return table(spark, d, "customer").select("c_custkey", "c_name", language.alias("language")).join(known, "language").select("c_custkey", "language", F.replace("template", F.lit("%s"), "c_name").alias("greeting"))
 
 
 @query((95, 96, 97), """SELECT c_custkey, printf('Happy birthday %s! You are now %d years old!', c_name, c_nationkey) birthday, printf('Welcome to my party, %s!', c_name) || chr(10) ||
@@ -487,14 +511,16 @@ def prime_factors(spark, d):
     return factors.groupBy("p_partkey", "factor").agg(F.count("*").alias("times"))
 
 
-@query((121,), """WITH n AS (SELECT range v FROM range(2, 5001)), c AS (SELECT DISTINCT a.v * b.v x FROM n a JOIN n b ON b.v >= a.v AND a.v * b.v <= 5000 AND a.v <= 70) SELECT v prime FROM n ANTI JOIN c ON v = x""")
+@query((121,), """WITH n AS (SELECT range v FROM range(2, (SELECT max(p_partkey) + 1 FROM part))), c AS (SELECT DISTINCT a.v * b.v x FROM n a JOIN n b ON b.v >= a.v AND a.v * b.v <= (SELECT max(p_partkey) FROM part))
+SELECT p_partkey prime, p_name FROM part JOIN (SELECT v FROM n ANTI JOIN c ON v = x) ON v = p_partkey""")
 def sieve(spark, d):
-    return iterative.sieve(spark, 5000)
+    """Parts whose number is a prime."""
+    return iterative.primes_among(table(spark, d, "part").select(F.col("p_partkey").alias("prime"), "p_name"), "prime")
 
 
-@query((122,), """SELECT range n, CASE WHEN range % 15 = 0 THEN 'FizzBuzz' WHEN range % 3 = 0 THEN 'Fizz' WHEN range % 5 = 0 THEN 'Buzz' ELSE range::varchar END line FROM range(1, 1001)""")
+@query((122,), """SELECT o_orderkey n, CASE WHEN o_orderkey % 15 = 0 THEN 'FizzBuzz' WHEN o_orderkey % 3 = 0 THEN 'Fizz' WHEN o_orderkey % 5 = 0 THEN 'Buzz' ELSE o_orderkey::varchar END line FROM orders WHERE o_orderkey > 0""")
 def fizzbuzz(spark, d):
-    return iterative.fizz_buzz_lines(spark, 1000)
+    return iterative.fizz_buzz_lines(table(spark, d, "orders").select(F.col("o_orderkey").alias("n")).where("n > 0"), "n")
 
 
 @query((122,), """SELECT n_nationkey, coalesce(array_to_string([CASE WHEN i % 15 = 0 THEN 'FizzBuzz' WHEN i % 3 = 0 THEN 'Fizz' WHEN i % 5 = 0 THEN 'Buzz' ELSE i::varchar END || chr(10) for i in range(1, n_nationkey + 1)], ''), '') lines FROM nation""")
@@ -561,15 +587,11 @@ def bloom_membership(spark, d):
 
 @query((138, 139, 140))
 def dice(spark, d):
-    return spark.range(1000).select("id", sampling.roll_die(1).alias("die"), sampling.wand_energy(2).alias("energy"), sampling.shuffled_animals(3).alias("animals"))
-
-
-@query((155,))
-def guess_game(spark, d):
-    return spark.createDataFrame(list(enumerate(iterative.guess_trace(42, 7), 1)), "trial int, guess int")
+    """A roll, a wand and a row of animals for each order."""
+    return table(spark, d, "orders").select("o_orderkey", sampling.roll_die(1).alias("die"), sampling.wand_energy(2).alias("energy"), sampling.shuffled_animals(3).alias("animals"))
 
 
-@query((138, 139, 140), "SELECT 1000::bigint n, true dies, true all_sides, true energies, true animals, true differ")
+@query((138, 139, 140), "SELECT count(*) n, true dies, true all_sides, true energies, true animals, true differ FROM orders")
 def dice_ranges(spark, d):
     """What holds for any seed: the ranges, all sides seen, and the animals in some order."""
     rolled, animals = dice(spark, d), F.array(*map(F.lit, sorted(sampling.ANIMALS)))
@@ -577,13 +599,20 @@ def dice_ranges(spark, d):
     return rolled.agg(F.count("*").alias("n"), inside("die", 1, 21).alias("dies"), (F.count_distinct("die") == 20).alias("all_sides"), inside("energy", 0, 12).alias("energies"), F.bool_and(F.array_sort("animals") == animals).alias("animals"), (F.count_distinct("animals") > 1).alias("differ"))
 
 
-@query((155,), "SELECT n_nationkey, n_nationkey * 4 + 1 target, n_nationkey * 4 + 1 AS last, true inside, true once FROM nation")
+@query((155,))
+def guess_game(spark, d):
+    """The guesses of a game for each customer, whose number gives the target."""
+    rows = table(spark, d, "customer").select("c_custkey", F.posexplode(iterative.guesses(F.col("c_custkey") % 100 + 1, "c_custkey")).alias("trial", "guess"))
+    return rows.withColumn("trial", F.col("trial") + 1)
+
+
+@query((155,), "SELECT c_custkey, c_custkey % 100 + 1 target, c_custkey % 100 + 1 AS last, true inside, true once, true narrowing FROM customer")
 def guess_games(spark, d):
-    """A game for each nation: the last guess is the target, all are from 1 to 100, and none comes twice."""
-    games = [(k, guess) for k in range(25) for guess in enumerate(iterative.guess_trace(4 * k + 1, k))]
-    rows = spark.createDataFrame([(k, i, g) for k, (i, g) in games], "n_nationkey bigint, trial bigint, guess bigint")
-    ends = rows.groupBy("n_nationkey").agg(F.max_by("guess", "trial").alias("last"), F.bool_and(F.col("guess").between(1, 100)).alias("inside"), (F.count_distinct("guess") == F.count("*")).alias("once"))
-    return table(spark, d, "nation").select("n_nationkey").join(ends, "n_nationkey").select("n_nationkey", (F.col("n_nationkey") * 4 + 1).alias("target"), "last", "inside", "once")
+    """The last guess is the target, all are from 1 to 100, none comes twice, and each lies on the target's side of those before."""
+    game = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 100 + 1).alias("target"), iterative.guesses(F.col("c_custkey") % 100 + 1, "c_custkey").alias("g"))
+    inside = F.forall("g", lambda x: x.between(1, 100))
+    narrowing = F.forall(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.forall(F.slice("g", 1, s["i"]), lambda y: F.when(y < F.col("target"), s["x"] > y).otherwise(s["x"] < y)))
+    return game.select("c_custkey", "target", F.element_at("g", -1).alias("last"), inside.alias("inside"), (F.size(F.array_distinct("g")) == F.size("g")).alias("once"), narrowing.alias("narrowing"))
 
 
 # ---- state ---------------------------------------------------------------------------------------------------------------------------------
@@ -597,6 +626,18 @@ def sell_books(spark, d):
     return relational.sell(parts, table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "p_size")
 
 
+@query((8, 141), """WITH RECURSIVE e AS (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END change, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag) rn FROM lineitem),
+r(l_partkey, rn, stock, error) AS (SELECT p_partkey, 0::bigint, (p_size % 7)::bigint, NULL::varchar FROM part UNION ALL
+  SELECT r.l_partkey, e.rn, CASE WHEN change < 0 AND stock < 1 THEN stock ELSE stock + change END, CASE WHEN change < 0 AND stock < 1 THEN 'out_of_stock' END FROM r JOIN e ON e.l_partkey = r.l_partkey AND e.rn = r.rn + 1)
+SELECT l_orderkey, l_linenumber, l_quantity, e.l_partkey, change::bigint change, stock in_stock, error FROM e JOIN r ON e.l_partkey = r.l_partkey AND e.rn = r.rn""")
+def sale_events(spark, d):
+    """A row per line of an order: a sale of one, or one that comes back, with the stock after it and the error."""
+    stock = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 7).cast("long").alias("stock"))
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", F.when(F.col("l_returnflag") == "R", 1).otherwise(-1).cast("long").alias("change"))
+    sold = stateful.sale_events(lines.join(stock, "l_partkey"), "l_partkey", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"], "stock", "change")
+    return sold.select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "change", "in_stock", "error")
+
+
 @query((142, 143, 144), "SELECT event_id, user_id, 5 + sum(event_id % 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::bigint votes FROM events")
 def running_votes(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 3).alias("add"))

@@ -41,7 +41,7 @@ FUNCTIONS = {
     "functions.arrays.prepend_items": (30,),
     "functions.arrays.remove_item": (31,),
     "operators.relational.invert_map": (32,),
-    "functions.arrays.units": (33,),
+    "operators.relational.units_table": (33,),
     "functions.arrays.new_bill": (34,),
     "operators.relational.bill_totals": (35,),
     "operators.stateful.bill_lines": (36,),
@@ -157,11 +157,11 @@ FUNCTIONS = {
     "operators.stateful.new_track": (151,),
     "functions.decisions.can_finish_floored": (153,),
     "plans.demo.books": (154,),
-    "operators.iterative.guess_trace": (155,),
+    "operators.iterative.guesses": (155,),
     "plans.demo.main": (156,),
 }
 #: What the demonstration programs call themselves, outside the catalogue.
-PROGRAMS = {154, 155, 156}
+PROGRAMS = {154, 156}
 
 
 def resolve(name):
