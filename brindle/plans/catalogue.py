@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, bits, decisions, numeric, text
 from ..operators import iterative, relational, sampling, sets, stateful
 from ..sources import greeters, table
+from ..streaming import bill_stream, sale_stream, stock_stream, vote_states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -272,6 +273,13 @@ def bill_items(spark, d):
     return stateful.bill_lines(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).where("quantity is not null").select("l_suppkey", "item", "quantity")
 
 
+@query((34, 36, 37), ORACLE_SQL["bill_items"].replace("SELECT l_suppkey, item, bill quantity", "SELECT l_suppkey::varchar AS key, item, bill quantity"))
+def bill_states(spark, d):
+    """The same bills from keyed state, as a stream keeps it."""
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("at"), F.when(F.col("l_quantity") > 20, "add").otherwise("remove").alias("op"), F.expr(_ITEM_SQL).alias("item"), F.expr(_UNIT_SQL).alias("unit"))
+    return bill_stream(rows, "l_suppkey", "at").where("item is not null").select("key", "item", "quantity")
+
+
 _COLOURS_SQL = "['black', 'brown', 'red', 'orange', 'yellow', 'green', 'blue', 'violet', 'grey', 'white']"
 
 
@@ -638,6 +646,30 @@ def sale_events(spark, d):
     return sold.select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "change", "in_stock", "error")
 
 
+@query((8, 141), """SELECT title, stock - least(stock, n) in_stock, least(stock, n) sold, n - least(stock, n) rejected FROM (SELECT p_partkey::varchar title, (p_size % 7)::bigint stock, n FROM part JOIN (SELECT l_partkey p_partkey, count(*) n FROM lineitem GROUP BY 1) USING (p_partkey))""")
+def stock_states(spark, d):
+    """Stock of each part after sales of one, from keyed state that begins with the table of parts."""
+    stock = table(spark, d, "part").select(F.col("p_partkey").alias("title"), (F.col("p_size") % 7).alias("in_stock"))
+    return stock_stream(table(spark, d, "lineitem"), "l_partkey", stock)
+
+
+@query((8, 141), """WITH s AS (SELECT l_partkey, l_orderkey * 8 + l_linenumber place, (p_size % 7)::bigint stock FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT l_partkey, place, stock, row_number() OVER (PARTITION BY l_partkey ORDER BY place) rn FROM s)
+SELECT l_partkey::varchar title, place "at", greatest(stock - rn, 0) in_stock, CASE WHEN rn > stock THEN 'out_of_stock' END error FROM n""")
+def sale_states(spark, d):
+    """A row for each sale, from the same state."""
+    stock = table(spark, d, "part").select(F.col("p_partkey").alias("title"), (F.col("p_size") % 7).alias("in_stock"))
+    return sale_stream(table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "l_partkey", "at", stock)
+
+
+@query((142, 143, 144), """SELECT user_id::varchar candidate, (user_id % 10 + sum(event_id % 3))::bigint votes FROM events GROUP BY user_id""")
+def vote_totals(spark, d):
+    """Counters that begin with a table, from keyed state."""
+    events = table(spark, d, "events")
+    begun = events.select(F.col("user_id").alias("candidate"), (F.col("user_id") % 10).alias("votes")).distinct()
+    return vote_states(events.withColumn("n", F.col("event_id") % 3), "user_id", "n", begun)
+
+
 @query((142, 143, 144), "SELECT event_id, user_id, 5 + sum(event_id % 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::bigint votes FROM events")
 def running_votes(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 3).alias("add"))

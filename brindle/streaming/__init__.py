@@ -2,59 +2,75 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.arrays import UNITS
+from .processors import BillKeeper, SaleKeeper, StockKeeper, VoteKeeper
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def need_state_store(spark: SparkSession) -> None:
+    """Value and map state live in RocksDB stores; the session is set to them where it has Spark's default."""
+    if "RocksDB" not in spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKSDB)
+    spark.streams  # noqa: B018  a batch query finds the coordinator of its stores once the session's streams are there
+
+
+def _keyed(rows: DataFrame, key: str, order: list[str]) -> GroupedData:
+    """Rows by key.  A batch query gets each key's rows in order; a stream sorts those of a micro-batch in the processor."""
+    if not rows.isStreaming and order:
+        rows = rows.repartition(key).sortWithinPartitions(key, *order)
+    return rows.groupBy(key)
+
+
+def _run(rows: DataFrame, key: str, order: list[str], processor, schema: str, initial: DataFrame | None, ttl_ms: int | None) -> DataFrame:
+    need_state_store(rows.sparkSession)
+    processor.presorted = not rows.isStreaming
+    mode = "processingTime" if ttl_ms else "none"
+    return _keyed(rows, key, order).transformWithStateInPandas(processor, schema, "Update", mode, initialState=initial.groupBy(key) if initial is not None else None)
 
 
 def vote_stream(events: DataFrame, candidate: str, increment: str) -> DataFrame:
-    """The counter of each candidate, for output mode update or complete."""
+    """The counter of each candidate, for output mode update or complete: a sum, which needs no state of its own."""
     return events.groupBy(candidate).agg(F.sum(increment).alias("votes"))
 
 
-def stock_stream(sales: DataFrame, title: str, initial: int) -> DataFrame:
-    """Stock of each title, from an initial number, after every micro-batch of sales: (title, in_stock, sold, rejected), output mode update."""
+def vote_states(events: DataFrame, candidate: str, increment: str, initial: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """(candidate, votes) of each counter that a micro-batch changes, output mode update.
+
+    Counters start at 0, or as ``initial`` (candidate, votes) says; one that has not changed for ``ttl_ms`` starts anew.
+    """
+    rows = events.select(F.col(candidate).cast("string").alias("candidate"), F.col(increment).cast("long").alias("n"))
+    begun = None if initial is None else initial.select(F.col("candidate").cast("string").alias("candidate"), F.col("votes").cast("long").alias("votes"))
+    return _run(rows, "candidate", [], VoteKeeper(ttl_ms), VoteKeeper.SCHEMA, begun, ttl_ms)
+
+
+def stock_stream(sales: DataFrame, title: str, initial: int | DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stock of each title after every micro-batch of sales of one: (title, in_stock, sold, rejected), output mode update.
+
+    ``initial`` is a number for all titles, or a table (title, in_stock) in which other titles have none.
+    """
+    rows = sales.select(F.col(title).cast("string").alias("title"))
+    begun = None if isinstance(initial, int) else initial.select(F.col("title").cast("string").alias("title"), F.col("in_stock").cast("long").alias("in_stock"))
+    return _run(rows, "title", [], StockKeeper(initial if isinstance(initial, int) else 0, ttl_ms), StockKeeper.SCHEMA, begun, ttl_ms)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stock, sold, rejected = state.get if state.exists else (initial, 0, 0)
-        asked = sum(len(p) for p in parts)
-        now = min(stock, asked)
-        stock, sold, rejected = stock - now, sold + now, rejected + asked - now
-        state.update((stock, sold, rejected))
-        yield pd.DataFrame({"title": [key[0]], "in_stock": [stock], "sold": [sold], "rejected": [rejected]})
 
-    schema = "in_stock long, sold long, rejected long"
-    return sales.groupBy(F.col(title).alias("title")).applyInPandasWithState(step, f"title string, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
+def sale_stream(sales: DataFrame, title: str, order: str, initial: int | DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(title, at, in_stock, error) for every sale, by ``order`` within a micro-batch; ``initial`` as in ``stock_stream``."""
+    rows = sales.select(F.col(title).cast("string").alias("title"), F.col(order).cast("long").alias("at"))
+    begun = None if isinstance(initial, int) else initial.select(F.col("title").cast("string").alias("title"), F.col("in_stock").cast("long").alias("in_stock"))
+    return _run(rows, "title", ["at"], SaleKeeper(initial if isinstance(initial, int) else 0, ttl_ms), SaleKeeper.SCHEMA, begun, ttl_ms)
 
 
-def bill_stream(ops: DataFrame, key: str, order: str) -> DataFrame:
+def bill_stream(ops: DataFrame, key: str, order: str, initial: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
     """The bill of each key after every micro-batch of rows (op, item, unit), by ``order`` within the batch.
 
     Rows (key as text, item, quantity, accepted) of all items on the bill, output mode update; a bill without items
-    is one row with a null item.  Only the bill and the number of accepted ops are kept, not the ops.
+    is one row with a null item.  Only quantities by item and the number of accepted ops are kept, not the ops.
+    ``initial`` has lines (key, item, quantity) of bills that go on; lines that have not changed for ``ttl_ms`` are dropped.
     """
-
-    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bill, accepted = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
-        rows = pd.concat(list(parts)).sort_values("at", kind="stable")
-        for op, item, unit in zip(rows["op"], rows["item"], rows["unit"]):
-            amount, there = UNITS.get(unit), bill.get(item)
-            if amount is None or op != "add" and (there is None or there < amount):
-                continue
-            left = (there or 0) + (amount if op == "add" else -amount)
-            bill[item] = left
-            if not left:
-                del bill[item]
-            accepted += 1
-        state.update((json.dumps(bill), accepted))
-        items = sorted(bill) or [None]
-        yield pd.DataFrame({"key": [group[0]] * len(items), "item": items, "quantity": pd.array([bill.get(i) for i in items], "Int64"), "accepted": [accepted] * len(items)})
-
     rows = ops.select(F.col(key).cast("string").alias("key"), F.col(order).alias("at"), "op", "item", "unit")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, item string, quantity long, accepted long", "bill string, accepted long", "update", GroupStateTimeout.NoTimeout)
+    begun = None if initial is None else initial.select(F.col("key").cast("string").alias("key"), "item", F.col("quantity").cast("long").alias("quantity"))
+    return _run(rows, "key", ["at"], BillKeeper(ttl_ms), BillKeeper.SCHEMA, begun, ttl_ms)

@@ -1,10 +1,19 @@
-from brindle.streaming import stock_stream, vote_stream
+"""Streams that stop, start again from their checkpoint and end up with what a batch query says."""
+
+import random
+import time
+
+import pytest
+
+from brindle.functions.arrays import UNITS
+from brindle.operators import stateful
+from brindle.streaming import bill_stream, sale_stream, stock_stream, vote_states, vote_stream
 
 
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     batches = [[("a", 1), ("a", 2), ("b", 1)], [("a", 1), ("b", 4)]]
-    for i, rows in enumerate(batches):
+    for rows in batches:
         spark.createDataFrame(rows, "title string, n bigint").coalesce(1).write.mode("append").parquet(source)
     events = spark.readStream.schema("title string, n bigint").option("maxFilesPerTrigger", 1).parquet(source)
     votes = vote_stream(events, "title", "n").writeStream.format("memory").queryName("votes").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).start()
@@ -15,3 +24,85 @@ def test_streams(spark, tmp_path):
     assert {r.title: r.votes for r in spark.table("votes").collect()} == {"a": 4, "b": 5}
     last = {t: spark.table("stock").where(f"title = '{t}'").orderBy("rejected", "sold").collect()[-1] for t in "ab"}
     assert tuple(last["a"])[1:] == (0, 2, 1) and tuple(last["b"])[1:] == (0, 2, 0)
+
+
+SCHEMA = "at long, k string, op string, item string, unit string, n long"
+
+
+def operations(seed, n=240):
+    rnd = random.Random(seed)
+    return [(i, rnd.choice("aab"), rnd.choice(["add", "remove"]), rnd.choice(["peas", "corn", None]), rnd.choice([*UNITS, "crate"]), rnd.randint(0, 5)) for i in range(n)]
+
+
+def restarted(spark, tmp_path, rows, build):
+    """What a stream puts out that reads four files, stopped and started again after two of them."""
+    source, out = str(tmp_path / "in"), []
+    step = len(rows) // 4
+    for half in (0, 1):
+        for i in (0, 1):
+            at = (2 * half + i) * step
+            spark.createDataFrame(random.Random(at).sample(rows[at : at + step], step), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+            time.sleep(0.01)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        query = build(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, n: out.append((n, df.collect()))).start()
+        query.processAllAvailable()
+        query.stop()
+    assert [n for n, _ in out] == [0, 1, 2, 3]
+    return [r for _, batch in out for r in batch], [batch for _, batch in out]
+
+
+def test_bills_go_on_after_a_restart(spark, tmp_path):
+    rows = operations(1)
+    begun = spark.createDataFrame([("a", "peas", 30), ("z", "corn", 3)], "key string, item string, quantity long")
+    _, batches = restarted(spark, tmp_path, rows, lambda s: bill_stream(s, "k", "at", begun))
+    first = [(-1, "a", "add", "peas", unit, 0) for unit in ("dozen", "dozen", "half_of_a_dozen")]
+    frame = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(first + rows)], SCHEMA)
+    want = {(r.k, r.item, r.quantity) for r in stateful.bill_lines(frame, "k", ["at"]).collect() if r.quantity}
+    accepted = {r.k: r.accepted - 3 * (r.k == "a") for r in stateful.bills(frame, "k", ["at"]).collect()}
+    last = {}
+    for batch in batches:
+        for key in {r.key for r in batch}:
+            last[key] = [r for r in batch if r.key == key]
+    assert {(r.key, r.item, r.quantity) for rows in last.values() for r in rows if r.quantity} == want
+    assert {r.key: r.accepted for rows in last.values() for r in rows} == accepted
+
+
+def test_votes_and_stock_go_on_after_a_restart(spark, tmp_path):
+    rows = operations(2)
+    begun = spark.createDataFrame([("a", 100)], "candidate string, votes long")
+    got, _ = restarted(spark, tmp_path, rows, lambda s: vote_states(s, "k", "n", begun))
+    total = {k: sum(r[5] for r in rows if r[1] == k) + 100 * (k == "a") for k in "ab"}
+    assert {r.candidate: r.votes for r in sorted(got, key=lambda r: r.votes)} == total
+
+
+def test_a_row_per_sale_after_a_restart(spark, tmp_path):
+    rows = operations(3)
+    stock = {"a": 25, "b": 500}
+    begun = spark.createDataFrame(list(stock.items()), "title string, in_stock long")
+    got, _ = restarted(spark, tmp_path, rows, lambda s: sale_stream(s, "k", "at", begun))
+    frame = spark.createDataFrame([(r[0], r[1], stock[r[1]], -1) for r in rows], "at long, k string, stock long, change long")
+    want = {(r.at, r.k, r.in_stock, r.error) for r in stateful.sale_events(frame, "k", ["at"], "stock", "change").collect()}
+    assert {(r.at, r.title, r.in_stock, r.error) for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("ttl", [None, 1])
+def test_state_that_expires(spark, tmp_path, ttl):
+    source = str(tmp_path / "in")
+    last = {}
+    for half in (0, 1):
+        spark.createDataFrame([("a", 2)], "k string, n long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, n long").parquet(source)
+        query = vote_states(stream, "k", "n", ttl_ms=ttl).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, n: last.update({r.candidate: r.votes for r in df.collect()})).start()
+        until = time.time() + 25  # with state that expires batches go on without rows
+        while time.time() < until and not any(p.numInputRows for p in query.recentProgress):
+            time.sleep(0.1)
+        query.stop()
+        time.sleep(0.05)
+    assert last == {"a": 2 if ttl else 4}
+
+
+def test_batch_states_take_rows_in_order(spark):
+    rows = operations(4, 3000)
+    frame = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), SCHEMA).repartition(7)
+    got = {(r.key, r.item): r.quantity for r in bill_stream(frame, "k", "at").collect() if r.quantity}
+    assert got == {(r.k, r.item): r.quantity for r in stateful.bill_lines(frame, "k", ["at"]).collect() if r.quantity}
