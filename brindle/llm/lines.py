@@ -20,9 +20,12 @@ others are removed, in every document.
    sum.  Lines near the border of two block sizes have both.
 3. Short lines have a key for each word, and the shortest for each character,
    that is left out: these meet whatever differs in one of them, surely.
-4. Lines that share a key are compared by hubs (``hubs``), unless their lengths
-   or, in all but short lines, too many bits of their SimHashes differ (FAR);
-   then the edit similarity of the texts decides.
+4. Lines of long words (over UNSPACED characters on average), as scripts without
+   spaces, hashes and encoded data have them, have the least GRAMS_KEPT hashes of
+   their runs of GRAM characters as keys: of similar lines enough runs stay.
+5. Lines that share a key are compared by hubs (``hubs``), unless their lengths
+   or, in all but short lines and lines of few words, too many bits of their
+   SimHashes differ (FAR); then the edit similarity of the texts decides.
 
 Keys only retrieve; none of them decides.  What shares no key is lost: pairs of
 which most words are misspelt, mainly; the README has the measured recall.
@@ -53,7 +56,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hubs
-from .textops import ASCII_LOWER, U64, mix, pieces, powers, run_hashes, runs, trim, utf8
+from .textops import ASCII_LOWER, U64, grams, mix, pieces, powers, run_hashes, runs, trim, utf8
 from .workspace import Workspace
 
 SIMILARITY = 80
@@ -66,9 +69,11 @@ SHARE, SHORT_PAIRS, BLOCKS_KEPT, BORDER = 3, 12, 12, 0.3
 BLOCK_BYTES, SINGLE_PAIRS = 12, 24
 #: The five blocks of a SimHash (first bit, bits) for ``flips``.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Of lines that share a key, those of over so many characters are compared only if at most so many bits of their SimHashes differ.
+#: Characters a word, on average, from which lines have keys of characters; characters in a run (ASCII, others) and keys of a line.
+UNSPACED, GRAM, GRAMS_KEPT = 12, (6, 4), 16
+#: Of lines that share a key, those of FAR_WORDS words or more and of over so many characters are compared only if at most so many bits of their SimHashes differ.
 #: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
-FAR = ((40, 24), (100, 19))
+FAR, FAR_WORDS = ((40, 24), (100, 19)), 12
 HUB_ROUNDS = 3
 #: Characters between two looks at whether an edit distance can still be small enough.
 STRETCH = 48
@@ -167,6 +172,28 @@ def block_keys(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[
     return found
 
 
+def _characters(low: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the characters of the words of the lines in take, offsets of these lines in them, bytes of each line)."""
+    item, at = _ranges(first, take)
+    byte = np.repeat(begin[item] - (np.cumsum(size[item]) - size[item]), size[item]) + np.arange(int(size[item].sum()))
+    head = np.flatnonzero((low[byte] & 0xC0) != 0x80)  # the first byte of each character
+    ends = np.concatenate(([0], np.cumsum(size[item])))[at]
+    return run_hashes(low[byte], head, np.append(head[1:], len(byte))), np.searchsorted(head, ends), np.diff(ends)
+
+
+def gram_keys(chars: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line) of the GRAMS_KEPT least hashes of each line's runs of ``gram`` characters."""
+    found, place = grams(chars, at, gram)
+    line = np.searchsorted(at, place, side="right") - 1
+    order = np.lexsort((found, line))
+    found, line = found[order], line[order]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (line[1:] != line[:-1])
+    found, line = found[fresh], line[fresh]
+    least = np.arange(len(line)) - np.searchsorted(line, line) < GRAMS_KEPT
+    return mix(found[least] + U64(gram)), line[least]
+
+
 def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, offsets of lines in them); line i has the words first[i]:first[i + 1].  Similar lines share a key, others hardly."""
     n_words, size = np.diff(first), end - begin
@@ -177,22 +204,28 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
     key, run = _without_one(hashes[item], at, size[item])
     found.append((key, take[run]))
     take = np.flatnonzero((n_words > 0) & (bytes_before[first[1:]] - bytes_before[first[:-1]] <= 4 * DROP_CHARS))
-    item, at = _ranges(first, take)
-    byte = np.repeat(begin[item] - (np.cumsum(size[item]) - size[item]), size[item]) + np.arange(int(size[item].sum()))
-    head = np.flatnonzero((low[byte] & 0xC0) != 0x80)  # the first byte of each character
-    chars = run_hashes(low[byte], head, np.append(head[1:], len(byte)))
-    at = np.searchsorted(head, np.concatenate(([0], np.cumsum(size[item])))[at])
+    chars, at, _ = _characters(low, begin, size, first, take)
     short = np.flatnonzero(np.diff(at) <= DROP_CHARS)
     item, at = _ranges(at, short)
     key, run = _without_one(chars[item] ^ U64(0xD6E8FEB86659FD93), at, np.ones(len(item), np.int64))
     found.append((key, take[short][run]))
+    heads = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))
+    letters = np.concatenate(([0], np.cumsum(heads[end] - heads[begin])))[first]
+    take = np.flatnonzero((np.diff(letters) > DROP_CHARS) & (np.diff(letters) > UNSPACED * n_words))
+    if len(take):
+        chars, at, weight = _characters(low, begin, size, first, take)
+        for other, gram in enumerate(GRAM):
+            mine = np.flatnonzero((2 * weight > 3 * np.diff(at)) == other)
+            item, mine_at = _ranges(at, mine)
+            key, run = gram_keys(chars[item], mine_at, gram)
+            found.append((key, take[mine][run]))
     found += block_keys(hashes, size, first)
     key, run = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(run, kind="stable")
     return key[order], np.searchsorted(run[order], np.arange(len(n_words) + 1))
 
 
-LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, form string"
+LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, words int, form string"
 
 
 def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +267,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             more = np.concatenate(([0], np.cumsum((body & 0xC0) == 0x80, dtype=np.int32)))  # bytes that don't begin a character
             size = np.diff(form_at) - np.diff(more[form_at])
             rows = pa.array(doc)
-            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(simhashes(hashes, first).view(np.int64)), pa.array(size, pa.int64())]
+            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(simhashes(hashes, first).view(np.int64)), pa.array(size, pa.int64()), pa.array(np.diff(first), pa.int32())]
             columns.append(pa.StringArray.from_buffers(len(some), pa.py_buffer(form_at.astype(np.int32)), pa.py_buffer(body)))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
 
@@ -330,14 +363,14 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     """(doc_id, body, gone): numbers of the lines to remove, to be broadcast if they are few."""
     lines = space.write(_lines(docs.where("doc_id is not null")), "lines")
     place = F.struct("doc_id", "body", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("form").alias("form"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("words").alias("words"), F.first("form").alias("form"))
     distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
     part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
     blocks = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
     keys = space.write(_keys(distinct), "keys", "none") if flips is None else distinct.select("item", F.array(*blocks).alias("keys"))
     crowd = hubs.crowded(space, keys.select(F.explode("keys").alias("key"), "item"), "crowd")
     space.drop("keys")
-    info = F.struct("sim", "size").alias("info")
+    info = F.struct("sim", "size", "words").alias("info")
     # a key for lines of about one length: each line is in its class and the next one, as wide as similar lines may differ
     step = -math.log(similarity / 100) if 0 < similarity < 100 else 1.0
     of_size = F.floor(F.log(F.col("info.size").cast("double")) / step) if similarity > 0 else F.lit(0).cast("long")
@@ -352,7 +385,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
         if flips is not None:
             return fits & (apart <= flips)
         for chars, bits in FAR:
-            fits &= (long <= chars) | (apart <= bits)
+            fits &= (long <= chars) | (apart <= bits) | (F.least(x["words"], y["words"]) < FAR_WORDS)
         return fits
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:

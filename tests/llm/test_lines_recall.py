@@ -87,3 +87,39 @@ def test_only_similar_lines(spark, tmp_path):
             if not similar(" ".join(words), " ".join(other)):
                 found[n].append((" ".join(words), " ".join(other)))
     assert not any(removed(spark, tmp_path, found).values())
+
+
+THAI = "".join(chr(0x0E01 + i) for i in range(46)) + "".join(chr(0x0E30 + i) for i in range(11))
+SCRIPTS = {"hex": "0123456789abcdef", "base 64": "abcdefghijklmnopqrstuvwxyz0123456789", "chinese": "".join(chr(0x4E00 + 7 * i) for i in range(900)) + "。，", "thai": THAI, "japanese": "".join(chr(0x3042 + i) for i in range(80)) + "日本語東京都。"}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_recall_of_lines_without_spaces(spark, tmp_path, script):
+    """Pairs by edit similarity alone: one to as many changed, left out or added characters as leave 0.8."""
+    rnd, found = random.Random(script), {}
+    letters = SCRIPTS[script]
+    for size in (30, 64, 100, 300):
+        for share in (0.01, 0.1, 0.19):
+            pairs_ = found.setdefault((size, share), [])
+            while len(pairs_) < 25:
+                line = [rnd.choice(letters) for _ in range(size)]
+                other = list(line)
+                for _ in range(max(1, int(share * size))):
+                    k = rnd.randrange(len(other))
+                    other[k : k + rnd.randint(0, 1)] = rnd.choice([[rnd.choice(letters)], [rnd.choice(letters)], []])
+                if other != line and similar("".join(line), "".join(other)):
+                    pairs_.append(("".join(line), "".join(other)))
+    got = removed(spark, tmp_path, found)
+    print("recall by characters and share of changes:", script, got)
+    assert all(v == 1 for (_, share), v in got.items() if share == 0.01) and sum(got.values()) / len(got) >= 0.95 and min(got.values()) >= 0.75, got
+
+
+def test_one_changed_character_in_long_words(spark):
+    line = "".join(chr(0x4E00 + 13 * i) for i in range(100))
+    thai = (THAI * 3)[:120]
+    digits = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
+    rows = []
+    for i, x in enumerate((line, thai, digits)):
+        rows += [(3 * i, x), (3 * i + 1, x[:40] + "x" + x[41:]), (3 * i + 2, x[::-1])]
+    got = {r.doc_id: r.n_removed for r in lines.line_digest(spark.createDataFrame(rows, DOCS), flips=None).collect()}
+    assert got == {i: int(i % 3 == 1) for i in range(9)}
