@@ -576,6 +576,15 @@ def bit_words(spark, d):
     return full.select("event_id", "cleared", bits.test_bit("cleared", "user_id").alias("there"), bits.word_index("user_id").alias("word"))
 
 
+@query((130, 131, 132, 134), """WITH s AS (SELECT DISTINCT l_orderkey k FROM lineitem WHERE l_quantity > 20 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_linenumber > 4)
+SELECT k // 32768 bucket, count(*)::int n FROM s GROUP BY 1""")
+def bitset_buckets(spark, d):
+    """Positions by container, after some are cleared."""
+    lines = table(spark, d, "lineitem")
+    held = sets.BitSet.of(lines.where("l_quantity > 20"), "l_orderkey").cleared(lines.where("l_linenumber > 4"), "l_orderkey")
+    return held.rows.select("bucket", "n")
+
+
 _FNV = "list_reduce(list_prepend(2166136261::bigint, [ascii(c)::bigint for c in string_split(p_brand, '')]), {})"
 _FNV1 = _FNV.format("lambda h, b: xor((h * 16777619) & 4294967295, b)")
 _FNV1A = _FNV.format("lambda h, b: (xor(h, b) * 16777619) & 4294967295")
@@ -590,6 +599,24 @@ def bloom_membership(spark, d):
     return found.select("p_brand", bits.fnv1("p_brand").alias("fnv1"), bits.fnv1a("p_brand").alias("fnv1a"), "maybe")
 
 
+@query((135, 136, 137), f"""WITH h AS (SELECT DISTINCT c_name, {_FNV1.replace("p_brand", "c_name")} a, {_FNV1A.replace("p_brand", "c_name")} b FROM customer),
+i AS (SELECT a % 1048576 x FROM h SEMI JOIN (SELECT c_name FROM customer WHERE c_acctbal > 5000) USING (c_name) UNION SELECT b % 1048576 FROM h SEMI JOIN (SELECT c_name FROM customer WHERE c_acctbal > 5000) USING (c_name))
+SELECT c_custkey, a % 1048576 IN (SELECT x FROM i) AND b % 1048576 IN (SELECT x FROM i) maybe FROM customer JOIN h USING (c_name)""")
+def bloom_customers(spark, d):
+    """A filter of a million bits, packed."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    bloom = sets.BloomFilter(1 << 20, [bits.fnv1, bits.fnv1a])
+    return bloom.contains(customers, "c_name", bloom.of(customers.where("c_acctbal > 5000"), "c_name")).select("c_custkey", "maybe")
+
+
+@query((135, 136, 137), """SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders)""")
+def filtered_join(spark, d):
+    """Lines of the most urgent orders; other lines are dropped by a filter before the join."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    first = orders.agg(F.min("o_orderpriority").alias("p")).scalar()
+    return sets.filtered_join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), orders.where(F.col("o_orderpriority") == first), "l_orderkey")
+
+
 # ---- random values ---------------------------------------------------------------------------------------------------------------------
 
 
