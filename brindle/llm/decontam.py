@@ -13,7 +13,8 @@ is reported has been compared word by word.
 A benchmark of at most ``broadcast_bytes`` of text is sent to all tasks, and
 documents are read once without a shuffle.  A larger one is joined: documents
 emit only fingerprints, each with the words around it, and a fixed-size filter
-of the benchmark's fingerprints is applied first.
+of the benchmark's fingerprints is applied first.  Contexts that are equal are
+compared once, however many documents and items have them.
 
 Nulls: a null text has no words; an item with null id or without words is left
 out.  Rows with null ids, repeated rows and repeated items are kept as they
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import ASCII_LOWER, U64, grams, mix, owners, pieces, powers, utf8, words
+from .workspace import Workspace
 
 SPAN = 10
 K = 5
@@ -193,7 +195,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
         return docs.mapInArrow(run, docs.schema)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = _by_join(plain, items, hit_keys=True).select(F.col("row_key").alias("__hit_key"))
-    return docs.join(known, F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("__hit_key"), "left_anti")
+    named = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", _named("__id", "text"))
+    return named.join(known, F.col("__key") == F.col("__hit_key"), "left_anti").select(*docs.columns)
 
 
 def _sent(items: DataFrame):
@@ -222,7 +225,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, RESULT_SCHEMA)
 
 
-PRINT_SCHEMA = "row_key long, print long, pos long, around binary, before int, size int"
+PRINT_SCHEMA = "row_key string, print long, pos long, around binary, before int, size int"
 
 
 def _prints(frame: DataFrame, key: str, bits) -> DataFrame:
@@ -237,7 +240,7 @@ def _prints(frame: DataFrame, key: str, bits) -> DataFrame:
         for batch in (p for b in batches for p in pieces(b)):
             texts = Words(batch.column(1))
             hashes, first = texts.hashes, texts.first
-            keys, owner, sizes = batch.column(0).to_numpy(zero_copy_only=False), owners(first), np.diff(first)
+            owner, sizes = owners(first), np.diff(first)
             found, place = winnow(hashes, first)
             sets = [(found, place, np.full(len(found), SPAN))]
             for n in lengths:
@@ -255,41 +258,63 @@ def _prints(frame: DataFrame, key: str, bits) -> DataFrame:
             low = np.where(kind == SPAN, np.maximum(first[doc], place - (SPAN - K)), place)
             end = np.where(kind == SPAN, np.minimum(first[doc + 1] if len(doc) else doc, place + SPAN), place + kind)
             around = [b" ".join(texts.list(a, b)) for a, b in zip(low.tolist(), end.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[doc], pa.int64()), pa.array(found.view(np.int64)), pa.array(place - first[doc], pa.int64()), pa.array(around, pa.binary()), pa.array(place - low, pa.int32()), pa.array(kind, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(found.view(np.int64)), pa.array(place - first[doc], pa.int64()), pa.array(around, pa.binary()), pa.array(place - low, pa.int32()), pa.array(kind, pa.int32())], names=names)
 
     return frame.select(key, "text").mapInArrow(run, PRINT_SCHEMA)
 
 
+RUN_SCHEMA = "context string, item_context string, a long, b long"
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turn joined fingerprints into runs of shared words."""
+    """Turn pairs of contexts into runs of shared words, counted from the fingerprint's place."""
     for batch in batches:
         c = batch.to_pydict()
-        keys, starts, ends, items = [], [], [], []
-        for key, pos, x, bx, y, by, item, kind in zip(c["row_key"], c["pos"], c["around"], c["before"], c["item_around"], c["item_before"], c["item_id"], c["size"]):
+        out: list[list] = [[], [], [], []]
+        for one, other, x, bx, y, by, kind in zip(c["context"], c["item_context"], c["around"], c["before"], c["item_around"], c["item_before"], c["size"]):
             p, q = x.split(b" "), y.split(b" ")
-            a, n = -min(bx, by), min(len(p) - bx, len(q) - by)
-            for i, j in _equal_runs(p[bx + a : bx + n], q[by + a : by + n], kind):
-                keys.append(key), starts.append(pos + a + i), ends.append(pos + a + j), items.append(item)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(items, pa.string())], names=["row_key", "a", "b", "item_id"])
+            low, n = -min(bx, by), min(len(p) - bx, len(q) - by)
+            for i, j in _equal_runs(p[bx + low : bx + n], q[by + low : by + n], kind):
+                for into, value in zip(out, (one, other, low + i, low + j)):
+                    into.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
+
+
+def _named(key: str, text: str):
+    """A name of a row: its id and a 128-bit digest of its text."""
+    return F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull().cast("string"), F.left(F.sha2(F.col(text).cast("binary"), 256), F.lit(32)))
 
 
 def _by_join(docs: DataFrame, items: DataFrame, hit_keys: bool = False) -> DataFrame:
-    """For benchmarks of any size: rows are named by a hash of id and text, so equal rows share one answer; ``hit_keys`` gives only the names of hit rows."""
+    """For benchmarks of any size: rows are named by id and a digest of the text, so equal rows share one answer.
+
+    A fingerprint and the words around it are a context, named by its digest.  Different contexts alone are joined by
+    fingerprint and compared; places of documents, and ids of items, come to what was found afterwards.  So a passage
+    that very many documents and items have is compared once.  ``hit_keys`` gives only the names of hit rows.
+    """
     spark = docs.sparkSession
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    named = items.withColumn("row_key", F.xxhash64("item_id", "text")).distinct()
-    known = _prints(named, "row_key", None)
+    space = Workspace(spark, "decontamination")
+    context = F.left(F.sha2(F.concat_ws(":", "print", "size", "before", F.hex("around")), 256), F.lit(32))
+    keyed = docs.withColumn("row_key", _named("doc_id", "text"))
+    named = items.withColumn("row_key", _named("item_id", "text")).dropDuplicates(["row_key"])
+    known = space.write(_prints(named, "row_key", None).withColumn("context", context).join(named.select("row_key", "item_id"), "row_key"), "items")
     fixed = known.selectExpr(f"print & {FILTER_BITS - 1} slot").groupBy(F.expr("int(slot div 8)").alias("byte")).agg(F.expr("bit_or(shiftleft(1, int(slot % 8)))").alias("bits"))
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     for part in fixed.toLocalIterator():  # at most FILTER_BITS / 8 bytes, whatever the benchmark's size
         table[part[0]] = part[1]
     lengths = [r[0] for r in known.where(F.col("size") < SPAN).select("size").distinct().collect()]
     sent = spark.sparkContext.broadcast((table, sorted(lengths)))
-    item_side = known.join(named.select("row_key", "item_id"), "row_key").select("print", "size", "item_id", F.col("around").alias("item_around"), F.col("before").alias("item_before"))
-    shared = _prints(keyed, "row_key", sent).join(item_side, ["print", "size"]).mapInArrow(_shared, "row_key long, a long, b long, item_id string")
+    places = space.write(_prints(keyed, "row_key", sent).withColumn("context", context), "places")
+    one = places.select("context", "print", "size", "around", "before").distinct()
+    other = known.select(F.col("context").alias("item_context"), "print", "size", F.col("around").alias("item_around"), F.col("before").alias("item_before")).distinct()
+    runs = space.write(one.join(other, ["print", "size"]).mapInArrow(_shared, RUN_SCHEMA), "runs")
     if hit_keys:
-        return shared.select("row_key").distinct()
-    ordered = shared.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("ranges"), F.array_sort(F.collect_set("item_id")).alias("ids"))
+        return places.join(runs.select("context").distinct(), "context", "left_semi").select("row_key").distinct()
+    held = known.select(F.col("context").alias("item_context"), "item_id").distinct()
+    found = runs.join(held, "item_context").groupBy("context").agg(F.collect_set(F.struct("a", "b")).alias("ranges"), F.collect_set("item_id").alias("ids"))
+    hit = places.select("row_key", "pos", "context").join(found, "context")
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("pos")).alias("a"), (r["b"] + F.col("pos")).alias("b")))
+    ordered = hit.select("row_key", moved.alias("ranges"), "ids").groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ranges")))).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
     covered = F.aggregate("ranges", start, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")))["n"]
     hits = ordered.select("row_key", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
@@ -300,6 +325,6 @@ def _by_join(docs: DataFrame, items: DataFrame, hit_keys: bool = False) -> DataF
             _, first, _, _ = words(raw, at, IN_WORD)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first), pa.int64())], names=["doc_id", "row_key", "n_words"])
 
-    base = keyed.select("doc_id", "text", "row_key").mapInArrow(counts, "doc_id long, row_key long, n_words long")
+    base = keyed.select("doc_id", "text", "row_key").mapInArrow(counts, "doc_id long, row_key string, n_words long")
     zero = F.lit(0).cast("long")
     return base.join(hits, "row_key", "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest(()))).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))

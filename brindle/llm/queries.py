@@ -49,6 +49,11 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeats of at least 50 bytes themselves, with all their places, within one document too."""
+    return repeats.repeat_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digest(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_whitening": op11_whitening,
     "op12_divergence": op12_divergence,
     "op13_quality": op13_quality,
+    "repeat_groups": repeat_groups,
     "tiff_pages": tiff_pages,
     "pipeline": pipeline,
 }

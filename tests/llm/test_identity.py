@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import decontam, hubs, lines, neardup
+from brindle.llm import decontam, hubs, lines, neardup, workspace
 from brindle.llm.textops import run_hashes
 from brindle.llm.workspace import Workspace
 
@@ -55,7 +55,8 @@ def test_contamination(spark, limit):
 @pytest.mark.parametrize("flips", [None, 3])
 def test_lines(spark, flips):
     got = lines.line_digest(spark.createDataFrame([(1, T), (2, U), (3, T)], DOCS), flips=flips).collect()
-    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 1)]
+    linked = flips is None and lines.similar_lines(T, U, lines.SIMILARITY)  # 246 of 2048 characters apart, which is similar
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, int(linked)), (3, 1)]
 
 
 def test_crowded_rows(spark):
@@ -110,3 +111,32 @@ def test_edit_distance_of_long_texts():
         d = levenshtein(a, b)
         for limit in (d - 1, d, d + 5, 20 * max(len(a), len(b)) // 100):
             assert lines.edit_distance_within(a, b, limit) == (d if d <= limit else None)
+
+
+def test_a_passage_in_half_of_all_documents_and_items(spark):
+    """Its contexts are compared once, and every document and item still gets its own answer."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(40))
+    items = [(f"i{k}", passage if k % 2 else f"{passage} {word()}" if k % 4 else " ".join(word() for _ in range(20))) for k in range(40)]
+    docs = [(k, f"{word()} {word()} {passage} {word()}" if k % 2 else " ".join(word() for _ in range(30))) for k in range(200)] + [(1, items[2][1]), (None, passage), (7, None)]
+    frame = spark.createDataFrame([(*d, "z", 1) for d in rnd.sample(docs, len(docs))], "doc_id long, text string, item_id string, a long").repartition(5)
+    bench = spark.createDataFrame([(*i, 0) for i in items + items[:3]], "item_id string, text string, b long")
+    small, large = (sorted(map(tuple, decontam.contamination(frame, bench, broadcast_bytes=limit).collect()), key=repr) for limit in (1 << 20, -1))
+    assert small == large and sum(r[5] for r in small) >= 102
+    left = [sorted((repr(r.doc_id), r.text, r.a) for r in decontam.drop_contaminated(frame, bench, broadcast_bytes=limit).collect() if r.text) for limit in (1 << 20, -1)]
+    assert left[0] == left[1] and len(left[0]) == 100
+
+
+def test_pairs_of_contexts_stay_few(spark, tmp_path):
+    """A thousand copies of one passage on either side make as many joined rows as one copy does."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    sizes = []
+    for n in (1, 1000):
+        docs = spark.createDataFrame([(i, passage) for i in range(n)], "doc_id long, text string")
+        bench = spark.createDataFrame([(f"i{i}", passage) for i in range(n)], "item_id string, text string")
+        got = decontam.contamination(docs, bench, broadcast_bytes=-1)
+        assert {(r.n_hit, r.n_items) for r in got.collect()} == {(30, n)}
+        made = [m for s, m in workspace._MADE if "decontamination" in m][-1]
+        sizes.append(spark.read.parquet(f"{made}/runs").count())
+    assert sizes[0] == sizes[1]
