@@ -20,8 +20,13 @@ document matches a template if some window of it contains at least
 4. The exact share of the template's runs in the window decides.
 
 Templates are a list in the program, so what is broadcast has the size of that
-list, never of the data.  Null texts match nothing; rows with null ids and
-repeated rows give their matches as they are; extra columns are ignored.
+list, never of the data.
+
+Nulls: a null or empty text matches nothing; a row with a null id gives its
+matches with it.  Repeated rows give theirs each.  Of windows that tie in
+containment ``first_word`` names the first.  Texts of any length are read whole,
+window by window.  Extra columns are ignored, whatever their names.  An empty
+table, or a list without templates, gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, partitions
 
 SHINGLE, CONTAINMENT, BANDS = 5, 80, 64
 
@@ -186,10 +191,14 @@ def gate_pattern(words: list[str]) -> str:
     return f"(?<![a-z0-9])(?:{branch(words)})(?![a-z0-9])" if words else "(?!)"
 
 
-def _shingles(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words in order; empty for shorter texts."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
-    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<bigint>"))
+def _shingles(hashes: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words in order, from the words' hashes; empty for shorter texts."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(hashes) - (size - 1)), lambda i: F.xxhash64(F.slice(hashes, i, size)))
+    return F.when(F.size(hashes) >= size, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _seeds(bands: int) -> list[int]:
@@ -209,28 +218,37 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     """One row per document row and license found: doc_id, license, the best containment, how many windows match and where the first begins."""
     templates = {name: words for name, text in (TEMPLATES if templates is None else templates).items() if (words := words_of(text))}
     spark = docs.sparkSession
-    classes: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    if not templates:
+        return spark.createDataFrame([], MATCH_SCHEMA)
+    kinds: dict[tuple[int, int], int] = {}
+    listed = []
     for name, words in templates.items():
         size = min(SHINGLE, len(words))
-        classes.setdefault((size, (len(shingles_of(words, size)) - 1).bit_length()), []).append((name, " ".join(words)))
+        power = (len(shingles_of(words, size)) - 1).bit_length()
+        listed.append(F.struct(F.lit(kinds.setdefault((size, power), len(kinds))).alias("kind"), F.lit(size).alias("size"), F.lit(1 << power).alias("step"), F.lit(name).alias("license"), F.lit(" ".join(words)).alias("body")))
+    sizes = sorted({size for size, _ in kinds})
+    pick = lambda column: F.coalesce(*[F.when(F.col("size") == size, column(size)) for size in sizes])
+
+    # a row per kind of template, as long as the list in the code: its templates with their runs and minima
+    known = spark.range(1).select(F.inline(F.array(*listed)))
+    known = known.select("kind", "size", "step", "license", pick(lambda size: F.array_distinct(_shingles(_hashes(F.split("body", " ")), size))).alias("runs"))
+    member = F.struct("license", "runs", _minima(F.col("runs"), bands).alias("minima"))
+    known = known.groupBy("kind", "size", "step").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("table"), F.collect_list(member).alias("members"))
+
     gate = gate_pattern(gate_words({k: " ".join(v) for k, v in templates.items()}, containment))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    texts = Workspace(spark, "licenses").write(plain.where(F.col("text").rlike(gate)).select("doc_id", F.monotonically_increasing_id().alias("row"), F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "").alias("words")), "texts")
-    out = None
-    for (size, power), members in sorted(classes.items()):
-        known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(body).alias("body")) for name, body in members]))).select("license", F.array_distinct(_shingles(F.split("body", " "), size)).alias("runs"))
-        banded = known.select("license", "runs", F.posexplode(_minima(F.col("runs"), bands)).alias("band", "value"))
-        table = known.select(F.explode("runs").alias("run")).agg(F.collect_set("run").alias("table"))  # of the list of templates
-        length, step = 2 << power, 1 << power
-        rows = texts.select("doc_id", "row", _shingles(F.col("words"), size).alias("runs")).where(F.size("runs") > 0)
-        begins = F.sequence(F.lit(0), F.size("runs") - 1, F.lit(step))
-        cut = F.transform(begins, lambda b: F.struct(b.cast("long").alias("begin"), F.slice("runs", b + 1, length).alias("runs")))  # noqa: B023
-        some = rows.crossJoin(F.broadcast(table)).select("doc_id", "row", F.explode(F.filter(cut, lambda w: F.arrays_overlap(w["runs"], F.col("table")))).alias("w"))  # one row on the right
-        windows = some.select("doc_id", "row", "w.begin", F.array_distinct("w.runs").alias("window"))
-        met = windows.select("*", F.posexplode(_minima(F.col("window"), bands)).alias("band", "value")).join(F.broadcast(banded), ["band", "value"])
-        share = F.size(F.array_intersect("window", "runs")) / F.size("runs")
-        found = met.select("doc_id", "row", "license", "begin", share.alias("share"), (100 * F.size(F.array_intersect("window", "runs")) >= containment * F.size("runs")).alias("enough")).where("enough")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], MATCH_SCHEMA)
-    return out.groupBy("doc_id", "row", "license").agg(F.max("share").alias("containment"), F.countDistinct("begin").alias("n_windows"), F.min("begin").alias("first_word")).drop("row")
+    gated = plain.where(F.col("text").rlike(gate)).select("doc_id", F.monotonically_increasing_id().alias("row"), _hashes(F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != "")).alias("hashes"))
+    # few texts pass, from anywhere in the table: they are dealt to all tasks anew
+    texts = Workspace(spark, "licenses").write(gated.repartition(partitions(spark, 0), "row"), "texts")
+    rows = texts.select("doc_id", "row", *[_shingles(F.col("hashes"), size).alias(f"runs_{size}") for size in sizes])
+    each = rows.select("*", F.explode(F.array(*map(F.lit, kinds.values()))).alias("kind")).join(F.broadcast(known), "kind")
+    each = each.select("doc_id", "row", "step", "table", "members", pick(lambda size: F.col(f"runs_{size}")).alias("runs")).where(F.size("runs") > 0)
+    cut = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.col("step")), lambda b: F.struct(b.cast("long").alias("begin"), F.slice("runs", b + 1, 2 * F.col("step")).alias("runs")))
+    some = each.select("doc_id", "row", "members", F.explode(F.filter(cut, lambda w: F.arrays_overlap(w["runs"], F.col("table")))).alias("w"))
+    windows = some.select("doc_id", "row", "members", "w.begin", F.array_distinct("w.runs").alias("window"))
+    signed = windows.select("*", _minima(F.col("window"), bands).alias("minima"))
+    agree = lambda t: F.exists(F.zip_with("minima", t["minima"], lambda x, y: x == y), lambda same: same)
+    met = signed.select("doc_id", "row", "begin", "window", F.explode(F.filter("members", agree)).alias("t"))
+    shared = F.size(F.array_intersect("window", "t.runs"))
+    found = met.select("doc_id", "row", "begin", F.col("t.license").alias("license"), shared.alias("shared"), F.size("t.runs").alias("all")).where(100 * F.col("shared") >= containment * F.col("all"))
+    return found.groupBy("doc_id", "row", "license").agg(F.max(F.col("shared") / F.col("all")).alias("containment"), F.countDistinct("begin").alias("n_windows"), F.min("begin").alias("first_word")).drop("row")
