@@ -18,8 +18,9 @@ compared once, however many documents and items have them.
 
 Nulls: a null text has no words; an item with null id or without words is left
 out.  Rows with null ids, repeated rows and repeated items are kept as they
-are; texts of any length are read whole; extra columns are ignored; an empty
-benchmark leaves all documents clean, an empty table gives an empty result.
+are; texts of any length are read whole.  Extra columns are ignored, whatever
+their names.  An empty benchmark leaves all documents clean, an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@
 item.  In every bucket the item that meets most others is the hub; members are
 compared with it, confirmed links merge components, and a bucket whose members
 are in one component is done.  The others go on without that hub, whose links
-there are all known.  After ``rounds`` rounds, and as many more as still link at
+there are all known, and with HUBS hubs drawn by hash in each further round.  After ``rounds`` rounds, and as many more as still link at
 least one in GOING of the pairs they compare, every pair still between two
 components of a bucket is compared, unless ``remaining`` can tell exactly that
 it isn't linked.  So each link between candidates is found or lies within a
@@ -26,7 +26,9 @@ from .workspace import Workspace
 
 
 #: Hub rounds go on while one in so many compared pairs is linked, up to a number of rounds: large groups whose members are linked through others.
-GOING, MOST_ROUNDS = 10, 24
+GOING, MOST_ROUNDS = 10, 12
+#: Hubs that a bucket has in each round but the first: fewer rounds, each with more to do, for groups in which no member is like most others.
+HUBS = 3
 
 
 def crowded(space: Workspace, members: DataFrame, name: str) -> DataFrame:
@@ -74,12 +76,14 @@ def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Colu
     stars, tested, k, going = spark.createDataFrame([], "u long, v long"), None, 0, False
     while active.limit(1).count():
         order = F.col("degree") if k == 0 else F.xxhash64("item", F.lit(k))  # later any member: who meets most may be like none
-        top = F.max(F.struct(order.alias("order"), (-F.col("item")).alias("back"), "component", "info"))
-        hubs = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), top.alias("hub")).where("low <> high").select("key", "size", "hub")
-        members, hub = active.join(hubs, "key"), -F.col("hub.back")
+        candidate, draw = F.struct(order.alias("order"), F.col("item").alias("item"), "component", "info"), F.pmod(F.xxhash64("item", F.lit(-k)), F.lit(HUBS))
+        tops = [F.max(candidate)] if k == 0 else [F.max(F.when(draw == i, candidate)) for i in range(HUBS)]
+        hubs = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.array_compact(F.array(*tops)).alias("hubs")).where("low <> high").select("key", "size", "hubs")
+        members = active.join(hubs, "key")
         hub_round = k < rounds or going
         if hub_round:
-            pairs = members.where((F.col("component") != F.col("hub.component")) & similar(F.col("info"), F.col("hub.info"))).select(F.least("item", hub).alias("a"), F.greatest("item", hub).alias("b"))
+            facing = members.select("item", "component", "info", F.explode("hubs").alias("hub"))
+            pairs = facing.where((F.col("component") != F.col("hub.component")) & similar(F.col("info"), F.col("hub.info"))).select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
         elif remaining is not None:
             pairs = remaining(members.select("key", "item", "info", "component"))
         else:
@@ -97,7 +101,7 @@ def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Colu
         if not hub_round:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        rest = members.where((F.col("item") != hub) & (F.col("size") > 2)).select("key", "item", "info", "degree").join(stars, F.col("item") == F.col("u"), "left")
+        rest = members.where(~F.exists("hubs", lambda h: h["item"] == F.col("item")) & (F.col("size") > 2)).select("key", "item", "info", "degree").join(stars, F.col("item") == F.col("u"), "left")
         k += 1
         active = space.write(rest.select("key", "item", "info", "degree", F.coalesce("v", "item").alias("component")), f"active-{k}")
     return stars

@@ -25,7 +25,8 @@ others are removed, in every document.
    their runs of GRAM characters as keys: of similar lines enough runs stay.
 5. Lines that share a key are compared by hubs (``hubs``), unless their lengths
    or, in all but short lines and lines of few words, too many bits of their
-   SimHashes differ (FAR); then the edit similarity of the texts decides.
+   SimHashes differ (FAR); then the edit similarity of the texts decides.  What
+   hubs leave is compared in blocks of a key's lines, and only links come out.
 
 Keys only retrieve; none of them decides.  What shares no key is lost: pairs of
 which most words are misspelt, mainly; the README has the measured recall.
@@ -57,7 +58,7 @@ from pyspark.sql import functions as F
 
 from . import hubs
 from .textops import ASCII_LOWER, U64, grams, mix, pieces, powers, run_hashes, runs, trim, utf8
-from .workspace import Workspace
+from .workspace import Workspace, partitions
 
 SIMILARITY = 80
 BITS, FLIPS = 64, 3
@@ -75,6 +76,8 @@ UNSPACED, GRAM, GRAMS_KEPT = 12, (6, 4), 16
 #: Similar lines of about 40 words differ in 6 mostly and hardly ever in over 16, ones of few words in more; unrelated lines in 22 to 36.
 FAR, FAR_WORDS = ((40, 24), (100, 19)), 12
 HUB_ROUNDS = 3
+#: Members of a key that are compared as one block at the end, on average.
+REST_BLOCK = 128
 #: Characters between two looks at whether an edit distance can still be small enough.
 STRETCH = 48
 #: Bytes of what is sent to all tasks (numbers of lines to look up, lines to remove); more is joined.
@@ -359,9 +362,37 @@ def similar_lines(a: str, b: str, similarity: int) -> bool:
     return edit_distance_within(a, b, (100 - similarity) * max(len(a), len(b)) // 100) is not None
 
 
+def _similar_pairs(similarity: int):
+    """Compares the members of a key, or two blocks of them: pairs (a, b) that are linked; each pair under its least common key alone."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        item, component, block, size, words = (group.column(c).to_numpy() for c in ("item", "component", "block", "size", "words"))
+        sim = group.column("sim").to_numpy().view(U64)
+        keys, forms = [np.array(k) for k in group.column("keys").to_pylist()], group.column("form").to_pylist()
+        across = key[1].as_py() != key[2].as_py()
+        out: list[list[int]] = [[], []]
+        for i in range(len(item)):
+            j = np.arange(len(item)) if across else np.arange(i + 1, len(item))
+            j = j[(component[j] != component[i]) & ((block[j] > block[i]) | (not across))]
+            long, short = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
+            fits = 100 * (long - short) <= (100 - similarity) * long
+            apart, few = np.bitwise_count(sim[j] ^ sim[i]), np.minimum(words[j], words[i]) < FAR_WORDS
+            for chars, bits in FAR:
+                fits &= (long <= chars) | (apart <= bits) | few
+            for k in j[fits].tolist():
+                common = np.intersect1d(keys[i], keys[k], assume_unique=True)
+                if common[0] == key[0].as_py() and similar_lines(forms[i], forms[k], similarity):
+                    out[0].append(min(item[i], item[k]))
+                    out[1].append(max(item[i], item[k]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
 def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None, broadcast_bytes: int) -> DataFrame:
     """(doc_id, body, gone): numbers of the lines to remove, to be broadcast if they are few."""
-    lines = space.write(_lines(docs.where("doc_id is not null")), "lines")
+    spark, lines = docs.sparkSession, space.write(_lines(docs.where("doc_id is not null")), "lines")
     place = F.struct("doc_id", "body", "line")
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("words").alias("words"), F.first("form").alias("form"))
     distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
@@ -388,6 +419,16 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
             fits &= (long <= chars) | (apart <= bits) | (F.least(x["words"], y["words"]) < FAR_WORDS)
         return fits
 
+    def remaining(members: DataFrame) -> DataFrame:
+        """The linked pairs of different components that share a key, found block by block of a key's members: no pair leaves its task unless it is linked."""
+        own = members.groupBy("item").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.first("info").alias("info"), F.first("component").alias("component"))
+        own = space.write(own.join(distinct.select("item", "form"), "item").select("item", "component", "info.*", "keys", "form"), "rest")
+        dealt = members.select("key", "item").join(members.groupBy("key").agg(F.ceil(F.count("*") / REST_BLOCK).cast("int").alias("blocks")), "key")
+        dealt = dealt.select("key", "item", F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("block"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        rows = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "item").join(own, "item")
+        rows = rows.repartition(partitions(spark, 16 * space.size("rest")), "key", "one", "two")  # few bytes, but much to compare
+        return rows.groupBy("key", "one", "two").applyInArrow(_similar_pairs(similarity), "a long, b long").distinct()
+
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -401,7 +442,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
-    stars = hubs.components(space, met, near, confirm, hub_rounds)
+    stars = hubs.components(space, met, near, confirm, hub_rounds, remaining if flips is None else None)
     of = stars.select(F.col("u").alias("item"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("item"), F.col("v").alias("group")).distinct())
     grouped = distinct.select("item", "first").join(of, "item")
     best = grouped.groupBy("group").agg(F.min("first").alias("best"))
