@@ -62,6 +62,17 @@ def crowded(space: Workspace, members: DataFrame, name: str) -> DataFrame:
     return space.write(ordered.mapInArrow(run, members.schema), name, batch_rows=1 << 14).select(*columns)
 
 
+def different(space: Workspace, met: DataFrame, name: str) -> DataFrame:
+    """The rows of met of keys with several items, one key of those that have the same items, written as a table.
+
+    Lines or documents that are much alike share many keys, and nothing is found under one of these that isn't under
+    another.  Sets of items are told apart by their sizes and two sums of 64-bit hashes each.
+    """
+    sums = [F.bit_xor(F.xxhash64("item", F.lit(seed))) for seed in (1, 2)]
+    sets = met.groupBy("key").agg(F.count("*").alias("crowd"), sums[0].alias("one"), sums[1].alias("two")).where("crowd > 1")
+    return space.write(met.join(sets.groupBy("crowd", "one", "two").agg(F.min("key").alias("key")).select("key"), "key"), name)
+
+
 def components(space: Workspace, met: DataFrame, similar: Callable[[Column, Column], Column], confirm: Callable[[DataFrame, str], DataFrame], rounds: int, remaining: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(u, v): the least item v of the component of each other item u.
 

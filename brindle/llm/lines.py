@@ -49,7 +49,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hubs
+from .editing import edit_distance_within, similar_texts
 from .textops import ASCII_LOWER, U64, grams, mix, pieces, powers, run_hashes, runs, trim, utf8
 from .workspace import Workspace, partitions
 
@@ -78,8 +79,8 @@ FAR, FAR_WORDS = ((40, 24), (100, 19)), 12
 HUB_ROUNDS = 3
 #: Members of a key that are compared as one block at the end, on average.
 REST_BLOCK = 128
-#: Characters between two looks at whether an edit distance can still be small enough.
-STRETCH = 48
+#: Pairs whose edit distances are worked out together.
+PAIRS_AT_ONCE = 4096
 #: Bytes of what is sent to all tasks (numbers of lines to look up, lines to remove); more is joined.
 BROADCAST_BYTES = 16 << 20
 
@@ -228,7 +229,7 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
     return key[order], np.searchsorted(run[order], np.arange(len(n_words) + 1))
 
 
-LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, sim long, size long, words int, form string"
+LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, form string"
 
 
 def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +248,7 @@ def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarra
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line with words: the digest of its normal form, its SimHash, the form's characters and the form."""
+    """One row per line with words: the digest of its normal form and the form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -257,20 +258,17 @@ def _lines(docs: DataFrame) -> DataFrame:
             begin, end = runs(inside, at[[0, -1]])
             if not len(begin):
                 continue
-            hashes = run_hashes(low, begin, end)
             start = np.append(0, np.flatnonzero(raw == 10) + 1)
             first = np.searchsorted(begin, start)
             some = np.flatnonzero(np.diff(first))
             doc = np.searchsorted(at, start[some], side="right") - 1
             line = some - np.searchsorted(start, at)[doc]
-            first = np.append(first[some], len(hashes))
+            first = np.append(first[some], len(begin))
             body, form_at = forms(low, inside, begin, end, first)
             data, cuts = body.tobytes(), form_at.tolist()
             digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]), "<i8").reshape(-1, 2)
-            more = np.concatenate(([0], np.cumsum((body & 0xC0) == 0x80, dtype=np.int32)))  # bytes that don't begin a character
-            size = np.diff(form_at) - np.diff(more[form_at])
             rows = pa.array(doc)
-            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(simhashes(hashes, first).view(np.int64)), pa.array(size, pa.int64()), pa.array(np.diff(first), pa.int32())]
+            columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
             columns.append(pa.StringArray.from_buffers(len(some), pa.py_buffer(form_at.astype(np.int32)), pa.py_buffer(body)))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
 
@@ -290,6 +288,24 @@ def _keys(distinct: DataFrame) -> DataFrame:
     return distinct.select("item", "form").mapInArrow(run, "item long, keys array<long>")
 
 
+INFO_SCHEMA = "item long, sim long, size long, words int, form string"
+
+
+def _infos(distinct: DataFrame) -> DataFrame:
+    """The forms of distinct with their SimHashes, characters and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b, "form")):
+            raw, at = utf8(batch.column(1))
+            begin, end = runs(_IN_WORD[raw], at)
+            first = np.searchsorted(begin, at)
+            more = np.concatenate(([0], np.cumsum((raw & 0xC0) == 0x80)))  # bytes that don't begin a character
+            columns = [batch.column(0), pa.array(simhashes(run_hashes(raw, begin, end), first).view(np.int64)), pa.array(np.diff(at) - np.diff(more[at])), pa.array(np.diff(first), pa.int32()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in INFO_SCHEMA.split(", ")])
+
+    return distinct.select("item", "form").mapInArrow(run, INFO_SCHEMA)
+
+
 def normal_form(line: str) -> str:
     raw = np.frombuffer(line.encode(), np.uint8)
     low = ASCII_LOWER[raw]
@@ -298,115 +314,86 @@ def normal_form(line: str) -> str:
     return b" ".join(data[a:b] for a, b in zip(begin.tolist(), end.tolist())).decode()
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the common prefix."""
-    if a[:1] != b[:1]:
-        return 0
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        middle = (low + high + 1) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
-def edit_distance_within(a: str, b: str, limit: int) -> int | None:
-    """The Levenshtein distance if it is at most limit: one column of the table at a time, as the bits of two integers.
-
-    A few columns are looked at as a whole, so that most pairs of unlike texts end early.
-    """
-    n = _common(a, b)
-    a, b = a[n:][::-1], b[n:][::-1]
-    n = _common(a, b)
-    a, b = sorted((a[n:], b[n:]), key=len)
-    if len(b) - len(a) > limit:
-        return None
-    if not a:
-        return len(b)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    more, less, cost, left = every, 0, len(a), len(b)
-    step = max(STRETCH, -(-len(b) // 16))
-    for begin in range(0, len(b), step):
-        for c in b[begin : begin + step]:
-            same = places.get(c, 0)
-            down = same | less
-            across = ((same & more) + more ^ more) | same
-            up, low = less | (every & ~(across | more)), more & across
-            left -= 1
-            if up & last:
-                cost += 1
-            elif low & last:
-                cost -= 1
-            if cost - left > limit:
-                return None
-            up, low = up << 1 | 1, low << 1
-            more, less = (low | ~(down | up)) & every, up & down & every
-        if left and _least_cost(more, less, len(a), len(b) - left, left) > limit:
-            return None
-    return cost if cost <= limit else None
-
-
-def _least_cost(more: int, less: int, rows: int, column: int, left: int) -> int:
-    """The least distance that any cell of a column of the table can still lead to."""
-    bits = [np.unpackbits(np.frombuffer(x.to_bytes(-(-rows // 8), "little"), np.uint8), count=rows, bitorder="little") for x in (more, less)]
-    cells = np.concatenate(([column], column + np.cumsum(bits[0].astype(np.int64) - bits[1])))
-    return int((cells + np.abs(rows - np.arange(rows + 1) - left)).min())
-
-
 def similar_lines(a: str, b: str, similarity: int) -> bool:
     return edit_distance_within(a, b, (100 - similarity) * max(len(a), len(b)) // 100) is not None
 
 
 def _similar_pairs(similarity: int):
-    """Compares the members of a key, or two blocks of them: pairs (a, b) that are linked; each pair under its least common key alone."""
+    """Compares the members of a key, or two blocks of them, in rows that are sorted so: pairs (a, b) that are linked; each pair under its least common key alone."""
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+    def pairs(group: pa.Table) -> Iterator[tuple[int, int, str, str]]:
+        key, one, two = (group.column(c)[0].as_py() for c in ("key", "one", "two"))
         item, component, block, size, words = (group.column(c).to_numpy() for c in ("item", "component", "block", "size", "words"))
+        if component.min() == component.max():
+            return
         sim = group.column("sim").to_numpy().view(U64)
-        keys, forms = [np.array(k) for k in group.column("keys").to_pylist()], group.column("form").to_pylist()
-        across = key[1].as_py() != key[2].as_py()
-        out: list[list[int]] = [[], []]
+        keys, forms = [set(k) for k in group.column("keys").to_pylist()], group.column("form").to_pylist()
         for i in range(len(item)):
-            j = np.arange(len(item)) if across else np.arange(i + 1, len(item))
-            j = j[(component[j] != component[i]) & ((block[j] > block[i]) | (not across))]
+            j = np.arange(len(item)) if one != two else np.arange(i + 1, len(item))
+            j = j[(component[j] != component[i]) & ((block[j] > block[i]) | (one == two))]
+            if not len(j):
+                continue
             long, short = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
             fits = 100 * (long - short) <= (100 - similarity) * long
             apart, few = np.bitwise_count(sim[j] ^ sim[i]), np.minimum(words[j], words[i]) < FAR_WORDS
             for chars, bits in FAR:
                 fits &= (long <= chars) | (apart <= bits) | few
             for k in j[fits].tolist():
-                common = np.intersect1d(keys[i], keys[k], assume_unique=True)
-                if common[0] == key[0].as_py() and similar_lines(forms[i], forms[k], similarity):
-                    out[0].append(min(item[i], item[k]))
-                    out[1].append(max(item[i], item[k]))
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+                if min(keys[i] & keys[k]) == key:
+                    yield int(min(item[i], item[k])), int(max(item[i], item[k])), forms[i], forms[k]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.Table] = []  # the rows of a group whose end isn't seen yet
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            place = np.stack([table.column(c).to_numpy() for c in ("key", "one", "two")])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            if held and any(held[-1].column(c)[-1].as_py() != table.column(c)[0].as_py() for c in ("key", "one", "two")):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            for begin, end in zip([0, *cuts.tolist()], cuts.tolist()):
+                yield pa.concat_tables([*held, table.slice(begin, end - begin)]).combine_chunks()
+                held = []
+            held.append(table.slice(int(cuts[-1]) if len(cuts) else 0))
+        if held:
+            yield pa.concat_tables(held).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _bundles((p for g in groups(batches) for p in pairs(g)), PAIRS_AT_ONCE):
+            a, b, x, y = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(similar_texts(x, y, similarity)))
+        trim()
 
     return run
 
 
+def _bundles(items: Iterator, n: int) -> Iterator[list]:
+    while some := list(islice(items, n)):
+        yield some
+
+
 def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None, broadcast_bytes: int) -> DataFrame:
     """(doc_id, body, gone): numbers of the lines to remove, to be broadcast if they are few."""
     spark, lines = docs.sparkSession, space.write(_lines(docs.where("doc_id is not null")), "lines")
     place = F.struct("doc_id", "body", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.first("words").alias("words"), F.first("form").alias("form"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("form").alias("form"))
     distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
     part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
     blocks = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
-    keys = space.write(_keys(distinct), "keys", "none") if flips is None else distinct.select("item", F.array(*blocks).alias("keys"))
+    keys = space.write(_keys(distinct), "keys", "none") if flips is None else _infos(distinct).select("item", F.array(*blocks).alias("keys"))
     crowd = hubs.crowded(space, keys.select(F.explode("keys").alias("key"), "item"), "crowd")
     space.drop("keys")
+    items = space.write(crowd.select("item").distinct(), "items")
+    items = F.broadcast(items) if 16 * items.count() <= broadcast_bytes else items
+    near_forms = space.write(_infos(distinct.join(items, "item")), "forms")  # of lines that share keys alone
     info = F.struct("sim", "size", "words").alias("info")
     # a key for lines of about one length: each line is in its class and the next one, as wide as similar lines may differ
     step = -math.log(similarity / 100) if 0 < similarity < 100 else 1.0
     of_size = F.floor(F.log(F.col("info.size").cast("double")) / step) if similarity > 0 else F.lit(0).cast("long")
-    sized = crowd.join(distinct.select("item", info), "item").withColumn("class", F.explode(F.array(of_size, of_size + 1)))
-    met = space.write(sized.select(F.xxhash64("key", "class").alias("key"), "item", "info"), "met")
+    sized = crowd.join(near_forms.select("item", info), "item").withColumn("class", F.explode(F.array(of_size, of_size + 1)))
+    met = hubs.different(space, space.write(sized.select(F.xxhash64("key", "class").alias("key"), "item", "info"), "sized"), "met")
 
     def near(x: Column, y: Column) -> Column:
         """What the edit similarity implies for lengths, and for SimHashes almost surely; with ``flips`` what the definition asks of these."""
@@ -422,23 +409,24 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     def remaining(members: DataFrame) -> DataFrame:
         """The linked pairs of different components that share a key, found block by block of a key's members: no pair leaves its task unless it is linked."""
         own = members.groupBy("item").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.first("info").alias("info"), F.first("component").alias("component"))
-        own = space.write(own.join(distinct.select("item", "form"), "item").select("item", "component", "info.*", "keys", "form"), "rest")
+        own = space.write(own.join(near_forms.select("item", "form"), "item").select("item", "component", "info.*", "keys", "form"), "rest")
         dealt = members.select("key", "item").join(members.groupBy("key").agg(F.ceil(F.count("*") / REST_BLOCK).cast("int").alias("blocks")), "key")
         dealt = dealt.select("key", "item", F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("block"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         rows = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "item").join(own, "item")
-        rows = rows.repartition(partitions(spark, 16 * space.size("rest")), "key", "one", "two")  # few bytes, but much to compare
-        return rows.groupBy("key", "one", "two").applyInArrow(_similar_pairs(similarity), "a long, b long").distinct()
+        rows = rows.repartition(partitions(spark, 16 * space.size("rest")), "key", "one", "two").sortWithinPartitions("key", "one", "two")  # few bytes, but much to compare
+        return rows.mapInArrow(_similar_pairs(similarity), "a long, b long").distinct()
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [similar_lines(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for some in _bundles(batches, PAIRS_AT_ONCE // 512):
+                table = pa.Table.from_batches(some).combine_chunks()
+                keep = similar_texts(table.column(2).to_pylist(), table.column(3).to_pylist(), similarity)
+                yield from table.select([0, 1]).filter(pa.array(keep)).to_batches()
             trim()
 
         items = space.write(pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct(), f"items-{name}")
         items = F.broadcast(items) if 16 * items.count() <= broadcast_bytes else items
-        texts = space.write(distinct.join(items, "item").select("item", "form"), f"texts-{name}")
+        texts = space.write(near_forms.join(items, "item").select("item", "form"), f"texts-{name}")
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
@@ -450,7 +438,7 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
     stays = distinct.join(best, "item", "left").where("n > 1 or best is not null").select("h1", "h2", F.coalesce("best", "first").alias("stays"))
     gone = lines.select("doc_id", "body", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(place != F.col("stays"))
     gone = space.write(gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone")), "gone")
-    space.drop("lines", "distinct", "crowd", "met", "best")
+    space.drop("lines", "distinct", "crowd", "items", "forms", "sized", "met", "best")
     size = gone.agg(F.sum(4 * F.size("gone") + 48)).first()[0] or 0
     return F.broadcast(gone) if size <= broadcast_bytes else gone
 
