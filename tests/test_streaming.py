@@ -106,3 +106,29 @@ def test_batch_states_take_rows_in_order(spark):
     frame = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), SCHEMA).repartition(7)
     got = {(r.key, r.item): r.quantity for r in bill_stream(frame, "k", "at").collect() if r.quantity}
     assert got == {(r.k, r.item): r.quantity for r in stateful.bill_lines(frame, "k", ["at"]).collect() if r.quantity}
+
+
+def test_batches_without_a_state_store(spark):
+    """Sales, stock and votes of a batch query: null and unknown titles, negative, repeated and null stock, a title over several tasks."""
+    sales = [("a", i) for i in range(400)] + [("b", 1), ("b", 2), ("c", 1), (None, 1), (None, 2), ("d", 5), ("e", None), ("e", 3)]
+    begun = [("a", 150), ("a", 7), ("b", -2), (None, 1), ("d", None), ("e", 1), ("unsold", 9)]
+    rows = spark.createDataFrame(random.Random(6).sample(sales, len(sales)), "k string, at long").repartition(5)
+    start = spark.createDataFrame(begun, "title string, in_stock long")
+    for initial in (start, 3):
+        stock, want = {}, set()
+        for title, at in sorted(sales, key=lambda s: (s[0] or "", -1 if s[1] is None else s[1])):
+            left = stock.setdefault(title, initial if initial == 3 else sum(n or 0 for t, n in begun if t == title))
+            want.add((title, at, left - (left >= 1), None if left >= 1 else "out_of_stock"))
+            stock[title] = left - (left >= 1)
+        sold = sale_stream(rows, "k", "at", initial)
+        assert {tuple(r) for r in sold.collect()} == want and sold.count() == len(sales)
+        totals = stock_stream(rows, "k", initial)
+        got = {r.title: (r.in_stock, r.sold, r.rejected) for r in totals.collect()}
+        errors = {t: sum(w[0] == t and w[3] is not None for w in want) for t in stock}
+        asked = {t: sum(s[0] == t for s in sales) for t in stock}
+        assert got == {t: (stock[t], asked[t] - errors[t], errors[t]) for t in stock}
+        assert totals.schema.simpleString() == "struct<title:string,in_stock:bigint,sold:bigint,rejected:bigint>"
+        votes = vote_states(rows, "k", "at", start.withColumnsRenamed({"title": "candidate", "in_stock": "votes"}) if initial is start else None)
+        assert {r.candidate: r.votes for r in votes.collect()} == {t: sum(s[1] or 0 for s in sales if s[0] == t) + sum(n or 0 for u, n in begun if u == t and initial is start) for t in stock}
+        for frame in (sold, totals, votes):
+            assert "TransformWithState" not in frame._jdf.queryExecution().toString()
