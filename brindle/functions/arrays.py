@@ -68,6 +68,37 @@ def _largest(digits: str, span: int) -> int:
     return max(2 ** int(a) * 3 ** int(b) * 5 ** int(c) * 7 ** int(d) for a, b, c, d in near)
 
 
+#: Products of up to so many digits are below 2**63.
+_SHORT_SPAN = 19
+
+
+def _largest_of_many(texts: pd.Series, span: int) -> pd.Series:
+    """The largest product of up to _SHORT_SPAN digits in a row of each text, all texts at once: longer products are made of two shorter ones."""
+    known = np.flatnonzero(texts.notna().to_numpy())
+    out = pd.array(np.zeros(len(texts), np.int64), dtype="Int64")
+    out[texts.isna().to_numpy()] = pd.NA
+    if not len(known):
+        return pd.Series(out)
+    texts = texts.iloc[known]
+    at = np.cumsum(texts.str.len().to_numpy(np.int64))
+    power = np.frombuffer("".join(texts).encode(), np.uint8).astype(np.int64) - 48  # products of 1, 2, 4 ... digits from each place on
+    product, done, n = np.ones(len(power) + 1, np.int64), 0, 1
+    while True:
+        if span & n:
+            product = product[: len(power) - done] * power[done:]
+            done += n
+        if done == span:
+            break
+        power = power[:-n] * power[n:]
+        n *= 2
+    begin = np.concatenate(([0], at[:-1]))
+    if len(begin) > 1:
+        for back in range(1, span):  # these begin in one text and end in the next
+            product[begin[1:] - back] = 0
+    out[known] = np.maximum.reduceat(product, begin)
+    return pd.Series(out)
+
+
 def largest_product(digits: Column | str, span: int) -> Column:
     """The largest product of ``span`` digits in a row; NULL for a negative or too long span or other characters.
 
@@ -81,6 +112,14 @@ def largest_product(digits: Column | str, span: int) -> Column:
     if span == 0:
         return F.when(good, F.when(F.length(col(digits)) > 0, one).otherwise(zero))
 
+    if span <= _SHORT_SPAN:
+
+        @F.pandas_udf("bigint")
+        def short(texts: pd.Series) -> pd.Series:
+            return _largest_of_many(texts, span)
+
+        return short(F.when(good, col(digits))).cast("decimal(38,0)")
+
     @F.pandas_udf("decimal(38,0)")
     def largest(texts: pd.Series) -> pd.Series:
         found = [None if t is None else _largest(t, span) for t in texts]

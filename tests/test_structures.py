@@ -1,7 +1,9 @@
 """Scanners, tables of steps, running exponents and classes against plain versions."""
 
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import pandas as pd
@@ -127,3 +129,17 @@ def test_books_of_a_table(spark):
     more = relational.add_books(store, rows, ["place"])
     assert [(r.title, r.ins_seq) for r in more.orderBy("ins_seq").collect()] == [("a", 0), ("b", 1), *[(f"t{49 - i}", 2 + i) for i in range(50)]]
     assert relational.add_books(more, rows.limit(0)).count() == 52
+
+
+def test_largest_products_of_many_texts():
+    """Batches of texts of the span and longer against plain products; 20,000 texts take no more than two seconds."""
+    rnd = random.Random(26)
+    for span in (1, 2, 3, 5, 8, 11, 18, 19):
+        texts = ["".join(rnd.choice("0123456789" if rnd.random() < 0.3 else "789") for _ in range(span + rnd.choice([0, 0, 1, 2, 30]))) for _ in range(300)]
+        texts[7] = texts[-1] = None
+        want = [None if t is None else max(math.prod(map(int, t[i : i + span])) for i in range(len(t) - span + 1)) for t in texts]
+        assert [None if v is pd.NA else v for v in arrays._largest_of_many(pd.Series(texts, index=range(5, 305)), span)] == want
+    assert len(arrays._largest_of_many(pd.Series([None, None], dtype=object), 3)) == 2 and not len(arrays._largest_of_many(pd.Series([], dtype=object), 3))
+    began = time.perf_counter()
+    arrays._largest_of_many(pd.Series(["512345678905"] * 20000), 3)
+    assert time.perf_counter() - began < 2
