@@ -17,8 +17,8 @@ from .textops import U64
 STRETCH = 48
 #: Fewer pairs than so many for each 64 characters (to be compared as arrays) are compared one by one.
 FEW = 24
-#: Pairs of one width that are worked on together have at most so many words of bits in their masks.
-MASK_WORDS = 1 << 22
+#: Pairs that are worked on together have at most so many words of 64 characters.
+WORDS_AT_ONCE = 1 << 15
 
 
 def _common(a: str, b: str) -> int:
@@ -108,15 +108,15 @@ def within(xs: Sequence[str], ys: Sequence[str], limits: np.ndarray) -> np.ndarr
     out = (m - n <= limits) & (m <= limits)  # of two texts with nothing in common the distance is at most the longer length
     open_ = np.flatnonzero((m - n <= limits) & ~out & (n > 0))
     words = (n[open_] + 63) // 64
-    exact = words > 4
-    words[exact] = 1 << np.ceil(np.log2(words[exact])).astype(np.int64)  # few widths, so that many pairs have the same
+    rare = np.bincount(words, minlength=1)[words] < FEW * words
+    words[rare] = 1 << np.ceil(np.log2(words[rare])).astype(np.int64)  # few widths, so that many pairs have the same
     for width in np.unique(words).tolist():
         pairs = open_[words == width]
         if len(pairs) < FEW * width:
             out[pairs] = [edit_distance_within(xs[i], ys[i], int(limits[i])) is not None for i in pairs.tolist()]
             continue
         pairs = pairs[np.argsort(m[pairs], kind="stable")]
-        many = max(FEW, MASK_WORDS // (64 * width * width))
+        many = max(FEW, WORDS_AT_ONCE // width)
         for begin in range(0, len(pairs), many):
             p = pairs[begin : begin + many]
             out[p] = _within(a, at[p] + head[p], n[p], b, bt[p] + head[p], m[p], limits[p], width)
