@@ -88,12 +88,18 @@ def _flat(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
-    """How many of the n characters from at and bt on (backwards for step -1) are equal without a break."""
-    total = np.cumsum(n)
-    place = np.arange(int(total[-1])) - np.repeat(total - n, n)
-    wrong = np.flatnonzero(a[np.repeat(at, n) + step * place] != b[np.repeat(bt, n) + step * place])
-    first = np.append(wrong, int(total[-1]))[np.searchsorted(wrong, total - n)]
-    return np.minimum(first - (total - n), n)
+    """How many of the n characters from at and bt on (backwards for step -1) are equal without a break; looked at in ever longer stretches."""
+    out, open_, stretch = np.zeros(len(n), np.int64), np.flatnonzero(n > 0), 16
+    while len(open_):
+        from_, m = out[open_], np.minimum(n[open_] - out[open_], stretch)
+        total = np.cumsum(m)
+        place = np.arange(int(total[-1])) - np.repeat(total - m - from_, m)
+        wrong = np.flatnonzero(a[np.repeat(at[open_], m) + step * place] != b[np.repeat(bt[open_], m) + step * place])
+        first = np.append(wrong, int(total[-1]))[np.searchsorted(wrong, total - m)]
+        equal = np.minimum(first - (total - m), m)
+        out[open_] += equal
+        open_, stretch = open_[(equal == m) & (out[open_] < n[open_])], 4 * stretch
+    return out
 
 
 def within(xs: Sequence[str], ys: Sequence[str], limits: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ edit similarity ``1 - distance / longer length`` is at least ``similarity``
 connected lines the first occurrence stays, by (doc_id, place in the text); all
 others are removed, in every document.
 
-1. Equal normal forms (by their 128-bit BLAKE2 digests) are one row from the
-   start.
+1. Equal normal forms (by their 128-bit BLAKE2 digests) are one item from the
+   start.  Texts are read once: the forms, what names them and their keys, in
+   buckets of bytes, come out of one pass.
 2. A line's SimHash has 64 bits voted on by its distinct words, and up to
    BLOCKS_KEPT blocks voted on each by its own share of the line's pairs of
    neighbouring words, of about SHARE pairs (half of it in short lines).  A change touches the blocks of the
@@ -79,6 +80,8 @@ FAR, FAR_WORDS = ((40, 24), (100, 19)), 12
 HUB_ROUNDS = 3
 #: Members of a key that are compared as one block at the end, on average.
 REST_BLOCK = 128
+#: Pairs of members whose lengths and SimHashes are looked at together.
+PAIRS_SEEN = 1 << 16
 #: Pairs whose edit distances are worked out together.
 PAIRS_AT_ONCE = 4096
 #: Bytes of what is sent to all tasks (numbers of lines to look up, lines to remove); more is joined.
@@ -213,13 +216,13 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
     item, at = _ranges(at, short)
     key, run = _without_one(chars[item] ^ U64(0xD6E8FEB86659FD93), at, np.ones(len(item), np.int64))
     found.append((key, take[short][run]))
-    heads = np.concatenate(([0], np.cumsum((low & 0xC0) != 0x80)))
-    letters = np.concatenate(([0], np.cumsum(heads[end] - heads[begin])))[first]
-    take = np.flatnonzero((np.diff(letters) > DROP_CHARS) & (np.diff(letters) > UNSPACED * n_words))
+    length = bytes_before[first[1:]] - bytes_before[first[:-1]]
+    take = np.flatnonzero((length > DROP_CHARS) & (length > UNSPACED * n_words))  # by bytes first, then by characters
     if len(take):
         chars, at, weight = _characters(low, begin, size, first, take)
+        long = (np.diff(at) > DROP_CHARS) & (np.diff(at) > UNSPACED * n_words[take])
         for other, gram in enumerate(GRAM):
-            mine = np.flatnonzero((2 * weight > 3 * np.diff(at)) == other)
+            mine = np.flatnonzero(long & ((2 * weight > 3 * np.diff(at)) == other))
             item, mine_at = _ranges(at, mine)
             key, run = gram_keys(chars[item], mine_at, gram)
             found.append((key, take[mine][run]))
@@ -229,7 +232,13 @@ def retrieval_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes:
     return key[order], np.searchsorted(run[order], np.arange(len(n_words) + 1))
 
 
-LINE_SCHEMA = "doc_id long, body long, line int, h1 long, h2 long, form string"
+LINE_SCHEMA = "doc_id long, body long, line int, item long, check long, form string, bucket int, keys binary, items binary"
+
+
+def _digests(data: bytes, cuts: list[int], salt: int) -> np.ndarray:
+    """128 bits of each part of data, as two numbers."""
+    salt_bytes = salt.to_bytes(16, "little")
+    return np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16, salt=salt_bytes).digest() for a, b in zip(cuts, cuts[1:])]), "<i8").reshape(-1, 2)
 
 
 def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +256,23 @@ def forms(low: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarra
     return out, np.concatenate(([0], ends))[first]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line with words: the digest of its normal form and the form."""
+def _sim_keys(sims: np.ndarray) -> np.ndarray:
+    """The keys of SimHashes for ``flips``, a row each: any blocks that three flipped bits leave whole."""
+    parts = [(sims >> U64(begin)) & U64((1 << bits) - 1) for begin, bits in BLOCKS]
+    return np.stack([mix((parts[i] << U64(13) | parts[j]) + U64((k + 1) << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))], axis=1)
+
+
+def _lines(docs: DataFrame, flips: int | None, digests: Callable[[bytes, list[int], int], np.ndarray], salt: int) -> DataFrame:
+    """A row for each line with words, with a number, a further one to check it, and the normal form; and rows with keys of these numbers (``hubs.packed``)."""
+    names = [x.split()[0] for x in LINE_SCHEMA.split(", ")]
+
+    def pack(keys: list[np.ndarray], items: list[np.ndarray]) -> pa.RecordBatch:
+        packs = hubs.packed(np.concatenate(keys), np.concatenate(items))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([*(pa.nulls(packs.num_rows, kind) for kind in kinds), *packs.columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_keys, held_items, held = [], [], 0
         for batch in (p for b in batches for p in pieces(b)):
             raw, at = ended(batch.column(1))
             low = ASCII_LOWER[raw]
@@ -265,27 +287,42 @@ def _lines(docs: DataFrame) -> DataFrame:
             line = some - np.searchsorted(start, at)[doc]
             first = np.append(first[some], len(begin))
             body, form_at = forms(low, inside, begin, end, first)
-            data, cuts = body.tobytes(), form_at.tolist()
-            digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]), "<i8").reshape(-1, 2)
+            digest = digests(body.tobytes(), form_at.tolist(), salt)
             rows = pa.array(doc)
             columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(line, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
             columns.append(pa.StringArray.from_buffers(len(some), pa.py_buffer(form_at.astype(np.int32)), pa.py_buffer(body)))
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINE_SCHEMA.split(", ")])
+            columns += [pa.nulls(len(some), kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            items, take = np.unique(digest[:, 0], return_index=True)
+            word, word_at = _ranges(first, take)
+            hashes = run_hashes(low, begin[word], end[word])
+            if flips is None:
+                keys, key_at = retrieval_keys(low, begin[word], end[word], hashes, word_at)
+            else:
+                keys = _sim_keys(simhashes(hashes, word_at))
+                keys, key_at = keys.ravel(), np.arange(len(keys) + 1) * keys.shape[1]
+            held_keys.append(keys), held_items.append(np.repeat(items, np.diff(key_at)))
+            held += len(keys)
+            if held >= hubs.PACKED_AT_ONCE:
+                yield pack(held_keys, held_items)
+                held_keys, held_items, held = [], [], 0
+        if held:
+            yield pack(held_keys, held_items)
 
     return docs.select("doc_id", "text", "body").mapInArrow(run, LINE_SCHEMA)
 
 
-def _keys(distinct: DataFrame) -> DataFrame:
-    """(item, keys) of the forms of distinct."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in pieces(b, "form")):
-            raw, at = utf8(batch.column(1))
-            begin, end = runs(_IN_WORD[raw], at)
-            keys, key_at = retrieval_keys(raw, begin, end, run_hashes(raw, begin, end), np.searchsorted(begin, at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(keys.view(np.int64)))], names=["item", "keys"])
-
-    return distinct.select("item", "form").mapInArrow(run, "item long, keys array<long>")
+def _numbered(docs: DataFrame, space: Workspace, flips: int | None, digests: Callable[[bytes, list[int], int], np.ndarray] = _digests) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, packed keys, different lines): a line is named by half of its digest; should two have the same half, all are digested anew with another salt."""
+    salt = 0
+    while True:
+        table = space.write(_lines(docs, flips, digests, salt), "lines")
+        lines = table.where("item is not null").select("doc_id", "body", "line", "item", "check", "form")
+        distinct = lines.groupBy("item").agg(F.min(F.struct("doc_id", "body", "line")).alias("first"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        distinct = space.write(distinct, "distinct")
+        if not distinct.where("low <> high").limit(1).count():
+            return lines, table.where("bucket is not null").select("bucket", "keys", "items"), distinct.select("item", "first", "n")
+        salt += 1
 
 
 INFO_SCHEMA = "item long, sim long, size long, words int, form string"
@@ -327,20 +364,23 @@ def _similar_pairs(similarity: int):
         if component.min() == component.max():
             return
         sim = group.column("sim").to_numpy().view(U64)
-        keys, forms = [set(k) for k in group.column("keys").to_pylist()], group.column("form").to_pylist()
-        for i in range(len(item)):
-            j = np.arange(len(item)) if one != two else np.arange(i + 1, len(item))
-            j = j[(component[j] != component[i]) & ((block[j] > block[i]) | (one == two))]
-            if not len(j):
-                continue
+        keys, forms = group.column("keys").to_pylist(), group.column("form").to_pylist()
+        left = np.arange(len(item)) if one == two else np.flatnonzero(block == one)
+        right = left if one == two else np.flatnonzero(block == two)
+        for some in np.array_split(left, -(-len(left) * len(right) // PAIRS_SEEN)):
+            i, j = (x.ravel() for x in np.meshgrid(some, right, indexing="ij"))
+            fits = component[i] != component[j]
+            if one == two:
+                fits &= i < j
+            i, j = i[fits], j[fits]
             long, short = np.maximum(size[i], size[j]), np.minimum(size[i], size[j])
             fits = 100 * (long - short) <= (100 - similarity) * long
             apart, few = np.bitwise_count(sim[j] ^ sim[i]), np.minimum(words[j], words[i]) < FAR_WORDS
             for chars, bits in FAR:
                 fits &= (long <= chars) | (apart <= bits) | few
-            for k in j[fits].tolist():
-                if min(keys[i] & keys[k]) == key:
-                    yield int(min(item[i], item[k])), int(max(item[i], item[k])), forms[i], forms[k]
+            for i, j in zip(i[fits].tolist(), j[fits].tolist()):
+                if next(k for k in keys[i] if k in keys[j]) == key:  # they are in order
+                    yield int(min(item[i], item[j])), int(max(item[i], item[j])), forms[i], forms[j]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.Table] = []  # the rows of a group whose end isn't seen yet
@@ -376,23 +416,21 @@ def _bundles(items: Iterator, n: int) -> Iterator[list]:
 
 def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace, flips: int | None, broadcast_bytes: int) -> DataFrame:
     """(doc_id, body, gone): numbers of the lines to remove, to be broadcast if they are few."""
-    spark, lines = docs.sparkSession, space.write(_lines(docs.where("doc_id is not null")), "lines")
-    place = F.struct("doc_id", "body", "line")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("form").alias("form"))
-    distinct = space.write(distinct.withColumn("item", F.monotonically_increasing_id()), "distinct")
-    part = lambda b: F.shiftrightunsigned("sim", b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
-    blocks = [F.shiftleft(part(BLOCKS[i]), 13).bitwiseOR(part(BLOCKS[j])).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - FLIPS))]
-    keys = space.write(_keys(distinct), "keys", "none") if flips is None else _infos(distinct).select("item", F.array(*blocks).alias("keys"))
-    crowd = hubs.crowded(space, keys.select(F.explode("keys").alias("key"), "item"), "crowd")
-    space.drop("keys")
+    spark, place = docs.sparkSession, F.struct("doc_id", "body", "line")
+    lines, packs, distinct = _numbered(docs.where("doc_id is not null"), space, flips)
+    few = lambda df, bytes_: F.broadcast(df) if bytes_ * df.count() <= broadcast_bytes else df
+    crowd = hubs.shared(space, packs, "crowd", space.size("lines"))
     items = space.write(crowd.select("item").distinct(), "items")
-    items = F.broadcast(items) if 16 * items.count() <= broadcast_bytes else items
-    near_forms = space.write(_infos(distinct.join(items, "item")), "forms")  # of lines that share keys alone
+    firsts = space.write(distinct.join(few(items, 16), "item").select("item", "first.*"), "firsts")
+    texts = lines.join(few(firsts, 40), ["item", "doc_id", "body", "line"]).select("item", "form")
+    near_forms = space.write(_infos(texts), "forms")  # of lines that share keys alone
+    if near_forms.count() > firsts.count():  # repeated rows of documents
+        near_forms = space.write(near_forms.dropDuplicates(["item"]), "forms-once")
     info = F.struct("sim", "size", "words").alias("info")
     # a key for lines of about one length: each line is in its class and the next one, as wide as similar lines may differ
     step = -math.log(similarity / 100) if 0 < similarity < 100 else 1.0
     of_size = F.floor(F.log(F.col("info.size").cast("double")) / step) if similarity > 0 else F.lit(0).cast("long")
-    sized = crowd.join(near_forms.select("item", info), "item").withColumn("class", F.explode(F.array(of_size, of_size + 1)))
+    sized = crowd.join(few(near_forms.select("item", info), 40), "item").withColumn("class", F.explode(F.array(of_size, of_size + 1)))
     met = hubs.different(space, space.write(sized.select(F.xxhash64("key", "class").alias("key"), "item", "info"), "sized"), "met")
 
     def near(x: Column, y: Column) -> Column:
@@ -425,20 +463,21 @@ def _decided(docs: DataFrame, similarity: int, hub_rounds: int, space: Workspace
             trim()
 
         items = space.write(pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct(), f"items-{name}")
-        items = F.broadcast(items) if 16 * items.count() <= broadcast_bytes else items
-        texts = space.write(near_forms.join(items, "item").select("item", "form"), f"texts-{name}")
+        texts = space.write(near_forms.join(few(items, 16), "item").select("item", "form"), f"texts-{name}")
         left, right = texts.select(F.col("item").alias("a"), F.col("form").alias("x")), texts.select(F.col("item").alias("b"), F.col("form").alias("y"))
         return space.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name, batch_rows=512)
 
     stars = hubs.components(space, met, near, confirm, hub_rounds, remaining if flips is None else None)
     of = stars.select(F.col("u").alias("item"), F.col("v").alias("group")).union(stars.select(F.col("v").alias("item"), F.col("v").alias("group")).distinct())
-    grouped = distinct.select("item", "first").join(of, "item")
+    of = space.write(of, "of")
+    grouped = distinct.select("item", "first").join(few(of, 24), "item")
     best = grouped.groupBy("group").agg(F.min("first").alias("best"))
     best = space.write(of.join(best, "group").select("item", "best"), "best")
-    stays = distinct.join(best, "item", "left").where("n > 1 or best is not null").select("h1", "h2", F.coalesce("best", "first").alias("stays"))
-    gone = lines.select("doc_id", "body", "line", "h1", "h2").join(stays, ["h1", "h2"]).where(place != F.col("stays"))
+    stays = distinct.join(few(best, 40), "item", "left").where("n > 1 or best is not null").select("item", F.coalesce("best", "first").alias("stays"))
+    stays = space.write(stays, "stays")
+    gone = lines.select("doc_id", "body", "line", "item").join(few(stays, 40), "item").where(place != F.col("stays"))
     gone = space.write(gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone")), "gone")
-    space.drop("lines", "distinct", "crowd", "items", "forms", "sized", "met", "best")
+    space.drop("lines", "distinct", "crowd", "items", "firsts", "forms", "forms-once", "sized", "met", "of", "best", "stays")
     size = gone.agg(F.sum(4 * F.size("gone") + 48)).first()[0] or 0
     return F.broadcast(gone) if size <= broadcast_bytes else gone
 
@@ -447,10 +486,11 @@ def _with_body(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("body"))
 
 
-def _kept_lines(text: str, gone: list[int] | None) -> tuple[str, int]:
-    lines = text.split("\n")
-    gone = set(gone or ())
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines)
+def _kept_lines(text: bytes, gone: list[int] | None) -> tuple[bytes, int]:
+    if not gone:
+        return text, text.count(b"\n") + 1
+    lines, gone = text.split(b"\n"), set(gone)
+    return b"\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines)
 
 
 RESULT_SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
@@ -463,9 +503,9 @@ def line_digest(docs: DataFrame, similarity: int = SIMILARITY, hub_rounds: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
-            kept = [_kept_lines(t or "", g) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            kept = [_kept_lines(t or b"", g) for t, g in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
             n_gone = [len(g or ()) for g in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in kept], pa.int64()), pa.array(n_gone, pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t, _ in kept], pa.string())], names=[x.split()[0] for x in RESULT_SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in kept], pa.int64()), pa.array(n_gone, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t, _ in kept], pa.string())], names=[x.split()[0] for x in RESULT_SCHEMA.split(", ")])
 
     return docs.join(gone, ["doc_id", "body"], "left").select("doc_id", "text", "gone").mapInArrow(run, RESULT_SCHEMA)
 
